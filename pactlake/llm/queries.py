@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, toxicity, urlfilter
+from . import langid, mixing, quality, sadedup, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.languages(_table(spark, folder, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return sadedup.digest(_table(spark, folder, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -25,12 +29,16 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(_table(spark, folder, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.url_filter(_table(spark, folder, "pages"), urlfilter.RULES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_toxicity, op8_mixing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_toxicity, op8_mixing, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -64,7 +64,7 @@ def _features(texts: list[str], bits: int, orders: tuple[int, ...]) -> Iterator[
             yield own[stamp[own] == at]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 2500, bits: int = 18, orders: tuple[int, ...] = ORDERS, alpha: float = 1.0, least_ratio: float = 1.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 2000, bits: int = 18, orders: tuple[int, ...] = ORDERS, alpha: float = 1.0, least_ratio: float = 1.0) -> ToxicityModel:
     """A model of `labels` (id_col, label_col of 0 or 1) on the texts of `docs`. At most `per_label` texts of each label are used."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).cast("int").alias("_y"))
     sample = bounded_sample(known, id_col, "_y", per_label)
