@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, quality, sadedup, toxicity, urlfilter
+from . import langid, lmscore, mixing, neardup, quality, sadedup, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return sadedup.digest(_table(spark, folder, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lmscore.scores(_table(spark, folder, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -42,7 +46,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_toxicity, op6_near_dedup, op8_mixing, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_lm_score, op4_toxicity, op6_near_dedup, op8_mixing, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
