@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lmscore, mixing, neardup, quality, sadedup, toxicity, urlfilter
+from . import decontam, langid, license, lmscore, mixing, neardup, quality, sadedup, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,10 +29,18 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"), size=3, percent=85)
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license.licenses(_table(spark, folder, "documents"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
@@ -46,8 +54,11 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_lm_score, op4_toxicity, op6_near_dedup, op8_mixing, op9_quality, op10_url_filter)}
+    import corpus_pipeline
+
+    own = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_lm_score, op4_toxicity, op5_decontamination, op6_near_dedup, op7_license_scan, op8_mixing, op9_quality, op10_url_filter)}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE}
+    return {"op8_mixing": mixing.ORACLE}  # the pipeline's first stage learns a model: corpus_pipeline.ORACLE_SQL is None
