@@ -81,14 +81,59 @@ def make_title(text: Column, domain: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes as text: `512 B`, `1.5 KB`, `2.0 MB`; null and 0 as `Unknown`."""
-    tenth = lambda x: F.format_number(x, 1)
+    """Bytes as text: `0.15 MB` from a hundredth of a megabyte on, else `7 KB` or `512 B`; null for null. Halves go up."""
+    mb, kb = size / 1048576, size / 1024
     return (
-        F.when(F.coalesce(size, F.lit(0)) <= 0, "Unknown").when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-        .when(size < 1024 * 1024, F.concat(tenth(size / 1024), F.lit(" KB"))).otherwise(F.concat(tenth(size / 1048576), F.lit(" MB")))
+        F.when(mb >= 0.01, F.concat(F.format_number(F.floor(mb * 100 + 0.5) / 100, 2), F.lit(" MB")))
+        .when(kb >= 1, F.concat(F.floor(kb + 0.5).cast("string"), F.lit(" KB"))).when(size.isNotNull(), F.concat(size.cast("string"), F.lit(" B")))
     )
 
 
+# Titles by the words of a clause, in order; the inner list goes before the title at its end.
+TITLES = (
+    (("service provider", "provider agrees", "provider shall"), ((("consulting",), "Service Provider Obligations"), (("scope",), "Scope of Services")), "Provider Responsibilities"),
+    (("payment", "pay", "fee"), ((("schedule",), "Payment Schedule"), (("client shall", "client will"), "Payment Terms"), (("invoice",), "Invoicing and Payment")), "Payment Obligations"),
+    (("confidential",), ((("disclose",), "Confidentiality and Disclosure"), (("both parties",), "Mutual Confidentiality")), "Confidentiality Obligations"),
+    (("liability", "liable"), ((("not liable", "not responsible"), "Limitation of Liability"),), "Liability Provisions"),
+    (("governing law", "jurisdiction"), (), "Governing Law and Jurisdiction"),
+    (("termination", "terminate"), (), "Termination Conditions"),
+    (("intellectual property", "copyright"), (), "Intellectual Property Rights"),
+    (("warranty", "guarantee"), (), "Warranties and Guarantees"),
+    (("dispute", "arbitration"), (), "Dispute Resolution"),
+)
+DOMAIN_TITLES = (("operational", "Operational Clause "), ("financial", "Financial Clause "), ("confidential", "Confidentiality Clause "), ("", "Clause "))
+
+
+def _has_any(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def proper_title(text: Column, domain: Column, number: Column) -> Column:
+    """A title for a clause: by its words, else by its domain and number."""
+    low, kind = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(domain, F.lit("")))
+    out = F.lit(None).cast("string")
+    for word, title in reversed(DOMAIN_TITLES):
+        out = F.when(F.contains(kind, F.lit(word)), F.concat(F.lit(title), number.cast("string"))).otherwise(out)
+    for words, inner, title in reversed(TITLES):
+        own = F.lit(title)
+        for w, t in reversed(inner):
+            own = F.when(_has_any(low, w), t).otherwise(own)
+        out = F.when(_has_any(low, words), own).otherwise(out)
+    return out
+
+
+def reversed_text(text: Column) -> Column:
+    return F.reverse(text)
+
+
+def plausible_email(text: Column) -> Column:
+    """Only asks for a dot, as its model does: an address without `@` passes."""
+    return F.contains(text, F.lit("."))
+
+
 def query_terms(text: Column) -> Column:
     """Distinct words of three characters or more that carry meaning."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9%.]{3,}"), F.lit(0))

@@ -131,3 +131,34 @@ def analysis_state(status: Column, n_results: Column, complete: Column) -> Colum
 
 def overall_badge(high: Column, total: Column) -> Column:
     return F.when(high > 0, "high").when(total > 0, "medium").otherwise("low")
+
+
+def summary_input(classified: DataFrame, chars: int = 12_000) -> DataFrame:
+    """contract_id, total_clauses, high, medium, low (all others) and preview: the first characters of the clauses in order."""
+    level = F.lower(F.col("risk_level"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clause_id", "text"))), lambda x: x["text"]), "\n")
+    per = classified.groupBy("contract_id").agg(F.count(F.lit(1)).alias("total_clauses"), F.count_if(level == "high").alias("high"), F.count_if(level == "medium").alias("medium"), F.substring(lines, 1, chars).alias("preview"))
+    return per.withColumn("low", F.col("total_clauses") - F.col("high") - F.col("medium"))
+
+
+def summarise(inputs: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Inputs with a user's model's reply (field reply) and its parts; the sentiment is Balanced where it is missing."""
+    from ..functions.text import recover_object
+
+    said = with_model(inputs, model, {"reply": "string"})
+    found = recover_object(F.col("reply"), ["executive_summary"])
+    part = lambda k: F.get_json_object(found, f"$.{k}")
+    return said.withColumn("executive_summary", part("executive_summary")).withColumn("overall_sentiment", F.coalesce(part("overall_sentiment"), F.lit("Balanced")))
+
+
+def recommendation_prompts(classified: DataFrame) -> DataFrame:
+    """A prompt for each high-risk clause; others get none."""
+    prompt = F.concat(F.lit("Suggest a safer wording.\nReasons: "), F.col("reason"), F.lit("\nClause: "), F.col("text"))
+    return classified.where(F.lower("risk_level") == "high").withColumn("prompt", prompt)
+
+
+def with_context(clauses: DataFrame, similar: DataFrame, most: int = 3) -> DataFrame:
+    """Clauses with the texts of their most similar ones (contract_id, clause_id, place, text of a search) as one prompt for classification."""
+    per = similar.where(F.col("place") <= most).groupBy("contract_id", "clause_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n- ").alias("_c"))
+    out = clauses.join(per, ["contract_id", "clause_id"], "left")
+    return out.withColumn("prompt", F.concat(F.lit("Similar clauses:\n- "), F.coalesce("_c", F.lit("none")), F.lit("\nClause: "), F.col("text"))).drop("_c")

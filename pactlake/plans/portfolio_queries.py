@@ -437,7 +437,7 @@ def fn_names(spark: SparkSession, d: str) -> DataFrame:
     return view.contracts(spark, d).select("contract_id", text.norm_name(F.col("customer_name")).alias("norm"), text.stem(F.col("filename")).alias("stem"), text.base_name(path).alias("base"))
 
 
-@query("SELECT doc_id, CASE WHEN n <= 0 THEN 'Unknown' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{:,.1f}', n / 1024) || ' KB' ELSE format('{:,.1f}', n / 1048576) || ' MB' END AS size FROM (SELECT doc_id, n_chars AS n FROM documents)")
+@query("SELECT doc_id, CASE WHEN n / 1048576 >= 0.01 THEN format('{:,.2f}', floor(n / 1048576 * 100 + 0.5) / 100) || ' MB' WHEN n / 1024 >= 1 THEN floor(n / 1024 + 0.5)::BIGINT || ' KB' ELSE n || ' B' END AS size FROM (SELECT doc_id, n_chars AS n FROM documents)")
 def fn_human_size(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.human_size(F.col("n_chars")).alias("size"))
 
@@ -446,3 +446,50 @@ def fn_human_size(spark: SparkSession, d: str) -> DataFrame:
 def fn_strip_reasoning(spark: SparkSession, d: str) -> DataFrame:
     wrapped = F.concat(F.lit("<think>let me see\n</think>```json\n"), F.trim("text"), F.lit("\n```"))
     return table(spark, d, "documents").select("doc_id", F.trim(text.strip_reasoning(wrapped)).alias("text"))
+
+
+def _titles_sql() -> str:
+    rules = []
+    for words, inner, title in text.TITLES:
+        own = "".join(f"WHEN {_any(LOW, w)} THEN {_quoted(t)} " for w, t in inner)
+        rules.append(f"WHEN {_any(LOW, words)} THEN " + (f"CASE {own}ELSE {_quoted(title)} END" if inner else _quoted(title)))
+    rules += [f"WHEN contains(lower(domain), {_quoted(w)}) THEN {_quoted(t)} || clause_id" for w, t in text.DOMAIN_TITLES]
+    return "CASE " + " ".join(rules) + " END"
+
+
+@query("WITH " + CLASSIFIED_SQL + f" SELECT contract_id, clause_id, {_titles_sql()} AS title FROM classified")
+def fn_proper_title(spark: SparkSession, d: str) -> DataFrame:
+    return classified(spark, d).select("contract_id", "clause_id", text.proper_title(F.col("text"), F.col("domain"), F.col("clause_id")).alias("title"))
+
+
+@query("SELECT c_custkey, reverse(c_name) AS backwards, contains(c_name, '.') AS email FROM customer WHERE c_acctbal >= 18")
+def fn_exercises(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").where("c_acctbal >= 18").select("c_custkey", text.reversed_text(F.col("c_name")).alias("backwards"), text.plausible_email(F.col("c_name")).alias("email"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+def fn_count_by_user(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH " + COUNTS_SQL + ", t AS (SELECT contract_id, substr(string_agg(text, chr(10) ORDER BY clause_id), 1, 12000) AS preview FROM clauses GROUP BY 1) SELECT contract_id, total_clauses, high, medium, total_clauses - high - medium AS low, length(preview)::INT AS n_chars, md5(preview) AS preview FROM counts JOIN t USING (contract_id)")
+def sum_input(spark: SparkSession, d: str) -> DataFrame:
+    out = cl.summary_input(classified(spark, d))
+    return out.select("contract_id", "total_clauses", "high", "medium", "low", F.length("preview").alias("n_chars"), F.md5(F.col("preview").cast("binary")).alias("preview"))
+
+
+@query("WITH " + CLASSIFIED_SQL + " SELECT contract_id, clause_id FROM classified WHERE risk_level = 'High'")
+def sum_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    return cl.recommendation_prompts(classified(spark, d)).select("contract_id", "clause_id")
+
+
+@query("SELECT l_orderkey AS contract_id, count(*) AS n FROM lineitem GROUP BY 1")
+def qry_point_listing(spark: SparkSession, d: str) -> DataFrame:
+    return view.clauses(spark, d).groupBy("contract_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH " + CLASSIFIED_SQL + ", d AS (SELECT contract_id, list(DISTINCT domain) AS ds FROM classified GROUP BY 1) SELECT o_orderkey AS contract_id, check_id FROM orders LEFT JOIN d ON contract_id = o_orderkey CROSS JOIN (SELECT 'fin_payment' AS check_id, 'Financial' AS domain UNION ALL SELECT 'fin_late', 'Financial') c WHERE NOT coalesce(list_contains(ds, c.domain), false)")
+def pol_required_missing(spark: SparkSession, d: str) -> DataFrame:
+    clauses, checks = classified(spark, d), pol.default_checks(spark).where("domain = 'Financial'").withColumn("required", F.lit(True))
+    out = pol.roll_up(view.contracts(spark, d), clauses, pol.evaluate(clauses, checks), checks)
+    return out.where("outcome = 'missing' and reason like 'No clause%'").select("contract_id", "check_id")
