@@ -43,11 +43,10 @@ _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D),
 
 def _features(texts: list[str], bits: int, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
     """The distinct feature numbers of each text: n-grams of its lower-cased characters, a space put before and after."""
-    padded = [f" {t.lower()} " if t else "" for t in texts]
-    ends = np.cumsum([0, *map(len, padded)])
+    ends = np.cumsum([0, *map(len, texts)])
     stamp = np.zeros(1 << bits, np.int32)
-    for i, j in slices(ends, SLICE):
-        code, offs = characters(padded[i:j])
+    for i, j in slices(ends, SLICE // 2):
+        code, offs = characters([f" {t.lower()} " if t else "" for t in texts[i:j]])
         code = np.where((code == 10) | (code == 9) | (code == 13), _SPACE, code)
         grams = []
         for n in orders:
@@ -64,7 +63,7 @@ def _features(texts: list[str], bits: int, orders: tuple[int, ...]) -> Iterator[
             yield own[stamp[own] == at]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 2000, bits: int = 18, orders: tuple[int, ...] = ORDERS, alpha: float = 1.0, least_ratio: float = 1.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 2000, bits: int = 18, orders: tuple[int, ...] = ORDERS, alpha: float = 1.0, least_ratio: float = 0.5, least_texts: int = 4) -> ToxicityModel:
     """A model of `labels` (id_col, label_col of 0 or 1) on the texts of `docs`. At most `per_label` texts of each label are used."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).cast("int").alias("_y"))
     sample = bounded_sample(known, id_col, "_y", per_label)
@@ -87,21 +86,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
     starts, index = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
     starts, index = starts - starts[0], index[starts[0] : starts[-1]]
-    order = np.lexsort((np.add.reduceat(np.append(index, 0), np.minimum(starts[:-1], len(index))), np.diff(starts), y))  # the same order of rows on each run
+    sums = np.array([int(index[a:b].sum()) for a, b in zip(starts[:-1], starts[1:], strict=True)])
+    order = np.lexsort((sums, np.diff(starts), y))  # the same order of rows on each run
     index = np.concatenate([index[starts[k] : starts[k + 1]] for k in order]) if len(index) else index
     starts, y = np.concatenate([[0], np.cumsum(np.diff(starts)[order])]), y[order]
-    row = np.repeat(np.arange(len(y)), np.diff(starts))
     n1, n0 = y.sum(), len(y) - y.sum()
-    with1 = np.bincount(index, y[row], 1 << bits)
-    with0 = np.bincount(index, 1 - y[row], 1 << bits)
+    border = starts[int(n0)]  # rows of label 0 come first
+    with0, with1 = np.bincount(index[:border], minlength=1 << bits), np.bincount(index[border:], minlength=1 << bits)
     ratio = np.log((with1 + alpha) / (n1 + 2 * alpha)) - np.log((with0 + alpha) / (n0 + 2 * alpha))
-    used = (with1 + with0 >= 2) & (np.abs(ratio) >= least_ratio)
+    used = (with1 + with0 >= least_texts) & (np.abs(ratio) >= least_ratio)
     keep = used[index]
-    number = np.cumsum(used) - 1
+    starts = np.concatenate([[0], np.cumsum(keep)])[starts]
+    number = (np.cumsum(used) - 1).astype(np.int32)
     kept = number[index[keep]]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(y)))])
     each = np.where(y > 0, total[1.0] / n1, total[0.0] / n0)
-    w, bias = fit_logistic(starts, kept, ratio[used][kept], y, each, int(used.sum()), l2=2e-3, steps=120, rate=0.01)
+    w, bias = fit_logistic(starts, kept, ratio[used][kept], y, each, int(used.sum()), l2=1e-2, steps=120, rate=0.01)
     weight[used] = (w * ratio[used]).astype(np.float32)
     return ToxicityModel(weight, bias, bits, orders)
 
