@@ -56,11 +56,10 @@ def codewords(k: int, code_bits: int = 31, seed: int = 7) -> np.ndarray:
 
 def _grams(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of texts: the feature number of each n-gram of the letters (other characters count as a space), and where each text's begin."""
-    padded = [f" {t.lower()}  " for t in texts]
-    ends = np.cumsum([0, *map(len, padded)])
+    ends = np.cumsum([0, *map(len, texts)])
     shift = np.uint32(32 - bits)
     for i, j in slices(ends, SLICE // 2):
-        code, offs = characters(padded[i:j])
+        code, offs = characters([f" {t.lower()}  " for t in texts[i:j]])
         letter = (code >= 192) & (code != 215) & (code != 247) & ((code < 0x2000) | (code > 0x2BFF)) | (code >= 97) & (code <= 122)
         code = np.where(letter, code, 32).astype(np.uint32)
         keep = np.ones(len(code), bool)  # a run of spaces counts once
