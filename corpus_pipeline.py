@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pactlake.llm import decontam, mixing, neardup, sadedup, toxicity
 
 #: A text goes from this score on; the labels are fitted on their own share of toxic texts.
-REJECT = 0.5
+REJECT = 0.3
 #: Bytes of a passage that is cut wherever it occurs twice: below 50 words of any of the languages.
 PASSAGE = 200
 
