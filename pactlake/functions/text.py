@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -211,10 +214,6 @@ def party_address(header: Column, role: str) -> Column:
 
 def link_citations(replies, sources):
     """Every `[Source 1]`, `[Sources 1, 3]` or `[1-3]` as `[Source n](#source-n)`; numbers beyond the sources stay plain, code stays as it is. An Arrow UDF: Spark has no replacement by function."""
-    import re
-
-    import pandas as pd
-
     form = re.compile(r"\[\s*(?:sources?\s*:?\s*)?((?:source\s*)?\d+(?:\s*(?:,|and|&|-|–|to)\s*(?:source\s*)?\d+)*)\s*\](?!\()", re.I)
 
     def one(m: re.Match, n: int) -> str:

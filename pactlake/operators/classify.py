@@ -69,7 +69,7 @@ def classify(clauses: DataFrame) -> DataFrame:
 
 def with_model(clauses: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], fields: dict[str, str]) -> DataFrame:
     """`clauses` with what a user's model says of them, null where it fails. The model gets and returns data frames of a batch; its `fields` (name: type) are taken by position of the rows."""
-    names = list(fields)
+    names, columns = list(fields), clauses.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -78,7 +78,7 @@ def with_model(clauses: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]
                 pdf = pdf.assign(**{n: said[n].values for n in names})
             except Exception as e:  # one failed call must not lose the batch: the rows stay, marked as failed
                 pdf = pdf.assign(**dict.fromkeys(names), model_error=str(e)[:200])
-            yield pdf.reindex(columns=[*clauses.columns, *names, "model_error"])
+            yield pdf.reindex(columns=[*columns, *names, "model_error"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in clauses.schema), *(f"`{n}` {t}" for n, t in fields.items()), "model_error string"])
     return clauses.mapInPandas(run, schema)
