@@ -74,11 +74,12 @@ def with_model(clauses: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             try:
-                said = model(pdf)
-                pdf = pdf.assign(**{n: said[n].values for n in names})
+                said, error = model(pdf), None
             except Exception as e:  # one failed call must not lose the batch: the rows stay, marked as failed
-                pdf = pdf.assign(**dict.fromkeys(names), model_error=str(e)[:200])
-            yield pdf.reindex(columns=[*columns, *names, "model_error"])
+                said, error = None, str(e)[:200]
+            plain = lambda values: pd.Series([None if v is None or v is pd.NA or v != v else v for v in values], index=pdf.index, dtype=object)  # noqa: B023, E731
+            out = {n: plain(said[n] if said is not None else [None] * len(pdf)) for n in names}
+            yield pdf[columns].assign(**out, model_error=plain([error] * len(pdf)))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in clauses.schema), *(f"`{n}` {t}" for n, t in fields.items()), "model_error string"])
     return clauses.mapInPandas(run, schema)
