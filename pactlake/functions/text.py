@@ -61,7 +61,7 @@ def dates_found(text: Column) -> Column:
 
 
 def phrases_in(text_lower: Column, phrases: tuple[str, ...]) -> Column:
-    return F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(text_lower, p))
+    return F.array_compact(F.array(*[F.when(F.contains(text_lower, F.lit(p)), p) for p in phrases]))
 
 
 def risky_terms(text: Column) -> Column:

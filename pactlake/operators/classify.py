@@ -29,8 +29,9 @@ MEDIUM_REASON = "Contains enforcement, termination, or financial-risk language:
 LOW_REASON = "No strong high-risk keywords were detected"
 
 
-def keyword_domain(text: Column) -> Column:
-    low, out = F.lower(text), F.lit("Other")
+def keyword_domain(low: Column) -> Column:
+    """The domain of a text in lower case. Give a column and no expression: it is looked at for each word."""
+    out = F.lit("Other")
     for name, words in reversed(DOMAINS):
         hit = F.contains(low, F.lit(words[0]))
         for w in words[1:]:
@@ -40,16 +41,12 @@ def keyword_domain(text: Column) -> Column:
 
 
 def _hits(low: Column, words: tuple[str, ...]) -> Column:
-    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), w) for w in words]))
 
 
-def keyword_risk(text: Column) -> Column:
-    """A struct of risk_level and reason."""
-    low = F.lower(text)
-    high, medium = _hits(low, HIGH), _hits(low, MEDIUM)
-    level = F.when(F.size(high) > 0, "High").when(F.size(medium) > 0, "Medium").otherwise("Low")
-    reason = F.when(F.size(high) > 0, F.concat(F.lit(HIGH_REASON), F.array_join(high, ", "))).when(F.size(medium) > 0, F.concat(F.lit(MEDIUM_REASON), F.array_join(medium, ", "))).otherwise(LOW_REASON)
-    return F.struct(level.alias("risk_level"), reason.alias("reason"))
+def keyword_risk(low: Column) -> Column:
+    """A struct of the words for high and for medium risk that a text in lower case holds."""
+    return F.struct(_hits(low, HIGH).alias("high"), _hits(low, MEDIUM).alias("medium"))
 
 
 def signals(text: Column) -> Column:
@@ -63,8 +60,12 @@ def signals(text: Column) -> Column:
 
 def classify(clauses: DataFrame) -> DataFrame:
     """`clauses` (with text) with domain, risk_level and reason; a projection without a shuffle."""
-    risk = keyword_risk(F.col("text"))
-    return clauses.withColumn("domain", keyword_domain(F.col("text"))).withColumn("_risk", risk).select(*clauses.columns, "domain", "_risk.risk_level", "_risk.reason")
+    low = clauses.withColumn("_low", F.lower("text"))
+    found = low.withColumn("domain", keyword_domain(F.col("_low"))).withColumn("_risk", keyword_risk(F.col("_low")))
+    high, medium = F.size("_risk.high") > 0, F.size("_risk.medium") > 0
+    level = F.when(high, "High").when(medium, "Medium").otherwise("Low")
+    reason = F.when(high, F.concat(F.lit(HIGH_REASON), F.array_join("_risk.high", ", "))).when(medium, F.concat(F.lit(MEDIUM_REASON), F.array_join("_risk.medium", ", "))).otherwise(LOW_REASON)
+    return found.select(*clauses.columns, "domain", level.alias("risk_level"), reason.alias("reason"))
 
 
 def with_model(clauses: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], fields: dict[str, str]) -> DataFrame:

@@ -37,9 +37,8 @@ def check_keywords(check: Column) -> Column:
 
 
 def keywords_match(text: Column, keywords: Column) -> Column:
-    """Does a text hold at least two, and a third, of the keywords (as substrings)?"""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.size(F.filter(keywords, lambda k: F.contains(low, k)))
+    """Does a text in lower case hold at least two, and a third, of the keywords (as substrings)?"""
+    hits = F.size(F.filter(keywords, lambda k: F.contains(text, k)))
     return (F.size(keywords) > 0) & (hits >= F.greatest(F.lit(2), F.floor(F.size(keywords) / 3)))
 
 
@@ -49,8 +48,9 @@ def evaluate(clauses: DataFrame, checks: DataFrame, model_results: DataFrame | N
     checks are a policy's: a few hundred rows at most, so Spark broadcasts them by their size. model_results (contract_id, clause_id, check_id, matched, reason) take the place of keywords where given.
     """
     keyed = checks.select("domain", "check_id", check_keywords(F.col("check_text")).alias("_kw"))
-    pairs = clauses.select("contract_id", "clause_id", "domain", "text").join(keyed, "domain")
-    by_keyword = keywords_match(F.col("text"), F.col("_kw"))
+    # lower case once for each clause, below the join
+    pairs = clauses.select("contract_id", "clause_id", "domain", F.lower(F.coalesce("text", F.lit(""))).alias("_low")).join(keyed, "domain")
+    by_keyword = keywords_match(F.col("_low"), F.col("_kw"))
     if model_results is None:
         return pairs.select("contract_id", "clause_id", "check_id", by_keyword.alias("matched"), F.lit("Evaluated by keyword fallback (no LLM available).").alias("reason"), F.lit("keyword").alias("method"), F.lit(True).alias("call_failed"))
     said = model_results.select("contract_id", "clause_id", "check_id", F.col("matched").alias("_m"), F.col("reason").alias("_r"))
@@ -66,11 +66,12 @@ def roll_up(contracts: DataFrame, clauses: DataFrame, evaluated: DataFrame, chec
 
     A check is satisfied if any clause of its domain matches. A domain without clauses counts only if the policy requires it. A missing check that `applicability` (contract_id, check_id, applicable, reason) rules out is not_applicable.
     """
+    # each clause is evaluated against all checks of its domain, so what was evaluated tells which checks are due
+    per = evaluated.groupBy("contract_id", "check_id").agg(F.max("matched").alias("ok"), F.array_sort(F.collect_list(F.when(F.col("matched"), F.col("clause_id")))).alias("satisfied_by"), F.min_by(F.when(F.col("reason") != "", F.col("reason")), "clause_id").alias("why"))
+    due = per.join(checks, "check_id").withColumn("present", F.lit(True))
     present = clauses.select("contract_id", "domain").distinct()
-    due = present.join(checks, "domain").withColumn("present", F.lit(True))
     absent = contracts.select("contract_id").join(checks.where("required"), F.lit(True)).join(present, ["contract_id", "domain"], "left_anti").withColumn("present", F.lit(False))
-    per = evaluated.groupBy("contract_id", "check_id").agg(F.max("matched").alias("ok"), F.array_sort(F.collect_list(F.when(F.col("matched"), F.col("clause_id")))).alias("satisfied_by"), F.min_by(F.when(F.col("reason") != "", F.col("reason")), "clause_id").alias("why"))
-    out = due.unionByName(absent.select(due.columns)).join(per, ["contract_id", "check_id"], "left")
+    out = due.unionByName(absent, allowMissingColumns=True)
     if applicability is None:
         out = out.withColumn("_applicable", F.lit(True)).withColumn("_why", F.lit(None).cast("string"))
     else:
