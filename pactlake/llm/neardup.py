@@ -3,18 +3,16 @@
 A document's set holds the identifiers of its word shingles. Documents with equal sets are one node from the start, so
 copies are never compared with each other. The nodes are then searched in `TREES` independent trees:
 
-- At the root of a tree, a node takes the path of its least-hashed token (minwise choice, another hash for each tree and
-  level). Nodes on one path meet. A pair of similarity s stays together on each level with probability s.
-- A path with more than `SMALL` nodes branches on by the next chosen token, up to `DEPTH` levels: within a task up to
-  `TASK` nodes, by Spark beyond; what is still large is dealt out by a hash. On every path that branches, each node is
-  also paired with the path's leader (the node of the least hash), so a large group of near copies stays connected.
-- On a small path all nodes are compared by sketches of 64 bytes. Of the likely pairs, `FORESTS` maximum spanning
-  forests are passed on: as many links as nodes, not as pairs, yet every bridge is among them.
-
-Candidates are confirmed on whole sets made from the texts: first each node's likeliest candidate, then all that lead
-from one component found so far to another. Components come from alternating large-star and small-star steps on the
-confirmed links, with a checkpoint after each. A pair at the threshold with at most `SMALL` nodes on its path is missed
-by all trees with probability (1 - 0.85) ** 8, about 3e-7; with three levels 5e-4.
+- In a tree, a node takes the path of its least-hashed token (minwise choice, another hash for each tree). Nodes on one
+  path meet. A pair of similarity s meets in a tree with probability s, however many nodes its path has.
+- All nodes on a path are compared by sketches of 64 bytes. A path with more than `TASK` nodes is dealt into blocks of
+  about `SMALL` nodes, and each two blocks are compared in a task of their own, so no path is thinned out or cut.
+- A pair counts in the first tree in which it meets, so no pair is taken twice and pairs are never written out.
+
+The texts of nodes with a likely partner follow them to their paths, where all likely pairs are compared on whole sets.
+A task gives each node's number of links and the least node its links reach there; `links` is the sum over paths, and
+components come from alternating large-star and small-star steps, with a checkpoint after each. A pair at the threshold
+of 0.85 is missed by all trees with probability (1 - 0.85) ** 8, about 3e-7.
 
 Texts without a word have an empty set and are linked with nothing. With fewer words than a shingle has, the whole
 sequence is one shingle. Documents without an id take part; they never give a component its name, and without any named
@@ -33,12 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD, combine, cut_lineage, lower_ascii, mix, slices, span_hashes, text_bytes, words
 
-TREES, DEPTH, SMALL, FORESTS = 8, 8, 256, 3
-#: Nodes on one path that a task takes and branches on by itself; paths with more are branched by Spark.
-TASK = 20_000
+TREES, SMALL = 8, 256
+#: Nodes on one path up to which a task compares it whole; paths with more are dealt into blocks of `SMALL`.
+TASK = 512
 #: Links that a task of a component step takes.
 EDGES_A_TASK = 200_000
-COORDINATES = TREES * DEPTH
+COORDINATES = 64
 #: Equal sketch bytes of 64 from which a pair counts as likely: five standard deviations below what a similarity of 0.85 gives.
 LIKELY = 0.22
 U64 = np.uint64
@@ -106,11 +104,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, text_hash long, n_shingles long, node long, sketch binary")
 
 
-PATHS = "path array<long>, node long, small binary"
+PATHS = "key long, node long, tree int, first binary, small binary"
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """A row for each node and tree: its paths by level, and its small sketch."""
+    """A row for each node and tree: the path's key, the tokens chosen in all trees, and the small sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,166 +116,132 @@ def paths(nodes: DataFrame) -> DataFrame:
                 continue
             chosen = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
             small = pa.array([r.tobytes() for r in chosen.astype(np.uint8)], pa.binary())
+            first = pa.array([r.tobytes() for r in chosen[:, :TREES]], pa.binary())
             for t in range(TREES):
-                level = np.full(len(chosen), U64(t + 1))
-                levels = np.empty((len(chosen), DEPTH), np.int64)
-                for d in range(DEPTH):
-                    level = mix(combine(level, chosen[:, t * DEPTH + d].astype(U64)))
-                    levels[:, d] = level.view(np.int64)
-                path = pa.ListArray.from_arrays(pa.array(np.arange(len(chosen) + 1, dtype=np.int32) * DEPTH), pa.array(levels.ravel()))
-                yield pa.RecordBatch.from_arrays([path, batch.column(0), small], ["path", "node", "small"])
+                key = mix(combine(np.full(len(chosen), U64(t + 1)), chosen[:, t].astype(U64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), pa.array(np.full(len(chosen), t, np.int32)), first, small], ["key", "node", "tree", "first", "small"])
 
     return nodes.select("node", "sketch").mapInArrow(run, PATHS)
 
 
-def forests(node: np.ndarray, small: np.ndarray, least: int, count: int = FORESTS) -> list[tuple[int, int, int]]:
-    """Maximum spanning forests, one after the other, of the pairs whose sketches agree in `least` bytes or more."""
-    m = len(node)
-    if m == 2:
-        same = int((small[0] == small[1]).sum())
-        return [(int(node.min()), int(node.max()), same)] if same >= least else []
-    score = np.empty((m, m), np.int32)
-    for i in range(0, m, 64):
-        score[i : i + 64] = (small[i : i + 64, None, :] == small[None]).sum(2)
-    score[score < least] = 0
-    np.fill_diagonal(score, 0)
-    out = []
-    for _ in range(min(count, m - 1)):
-        part = np.arange(m)
-        used = []
-        while True:
-            open_ = np.where(part[:, None] != part[None], score, 0)
-            j = open_.argmax(1)
-            best = open_[np.arange(m), j]
-            if not best.any():
-                break
-            order = np.lexsort((np.arange(m), -best))
-            for i in order[best[order] > 0]:
-                a, b = part[i], part[j[i]]
-                if a != b:
-                    part[part == max(a, b)] = min(a, b)
-                    used.append((i, j[i]))
-        if not used:
-            break
-        for i, k in used:
-            out.append((int(min(node[i], node[k])), int(max(node[i], node[k])), int(score[i, k])))
-            score[i, k] = score[k, i] = 0
-    return out
-
+def dealt(rows: DataFrame) -> DataFrame:
+    """`rows` of paths with part and cross. A path of more than `TASK` nodes becomes a key for each two of its parts; there only nodes of different parts are compared (cross)."""
+    counts = cut_lineage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK))
+    if counts.isEmpty():
+        return rows.withColumn("part", F.lit(0)).withColumn("cross", F.lit(False))
+    parts = F.coalesce(F.ceil(F.col("n") / SMALL), F.lit(1)).cast("int")
+    split = rows.join(counts, "key", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    return split.select(key.alias("key"), "node", "tree", "first", "small", "part", (F.col("part") != F.col("other")).alias("cross"))
 
-EDGES = "a long, b long, same int"
 
-
-def branch(node: np.ndarray, path: np.ndarray, small: np.ndarray, depth: int, least: int) -> list[tuple[int, int, int]]:
-    """Likely pairs among the nodes on one path of level `depth`, branching on while they are many."""
-    out, todo = [], [(np.arange(len(node)), depth)]
-    while todo:
-        own, d = todo.pop()
-        if len(own) <= SMALL:
-            out += forests(node[own], small[own], least)
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, cut so that no key goes on in the next one."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        leader = own[np.argmin(mix(node[own].view(U64) + U64(d)))]
-        same = (small[own] == small[leader]).sum(1)
-        for k in np.flatnonzero((same >= least) & (own != leader)):
-            out.append((int(min(node[own[k]], node[leader])), int(max(node[own[k]], node[leader])), int(same[k])))
-        if d + 1 < DEPTH:
-            key = path[own, d + 1]
-        else:  # the levels are used up: deal out by a hash
-            key = (mix(node[own].view(U64) + U64(99)) % U64(-(-len(own) // SMALL) * 2)).view(np.int64)
-        order = np.argsort(key, kind="stable")
-        cut = np.flatnonzero(np.diff(key[order])) + 1
-        todo += [(own[x], min(d + 1, DEPTH - 1)) for x in np.split(order, cut) if len(x) > 1]
-    return out
-
-
-def paired(rows: DataFrame, depth: int, least: int) -> DataFrame:
-    """Likely pairs of each group of rows (key, node, path, small) on one path of level `depth`. Groups are dealt out by key and sorted; a task holds one group at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(key: np.ndarray, node: np.ndarray, path: np.ndarray, small: np.ndarray) -> pa.RecordBatch:
-            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            out = []
-            for k in np.flatnonzero(np.diff(cut) > 1):
-                own = slice(cut[k], cut[k + 1])
-                out += branch(node[own], path[own], small[own], depth, least)
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["a", "b", "same"])
-
-        rest: tuple | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().reshape(-1, DEPTH), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES))
-            if rest is not None:
-                now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last group may go on
-            if last:
-                yield pairs(*(x[:last] for x in now))
-            rest = tuple(x[last:] for x in now)
-        if rest is not None:
-            yield pairs(*rest)
-
-    return rows.select("key", "node", "path", "small").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, EDGES)
-
-
-def agree(rows: DataFrame, least: int) -> DataFrame:
-    """Pairs (node, leader) of rows with both small sketches that are likely."""
+        key = batch.column(0).to_numpy()
+        if rest and rest[0].column(0)[0].as_py() != key[0]:
+            yield from joined(rest)
+            rest = []
+        last = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if last:
+            yield from joined([*rest, batch.slice(0, last)])
+            rest = []
+        rest.append(batch.slice(last))
+    yield from joined(rest)
+
+
+def joined(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if batches:
+        yield from pa.Table.from_batches(batches).combine_chunks().to_batches()
+
+
+def likely(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of whole keys (key, node, tree, first, small, part, cross) that meet here first and whose sketches agree in `least` bytes or more."""
+    key, tree, part, cross = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 5, 6))
+    first = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(len(key), -1)
+    small = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    left, right, at, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(key)), 0
+    while len(at):  # rows that are d apart
+        d += 1
+        at = at[at + d < len(key)]
+        at = at[key[at] == key[at + d]]
+        for k in range(0, len(at), 1 << 16):
+            i = at[k : k + (1 << 16)]
+            i = i[~cross[i] | (part[i] != part[i + d])]
+            meet = first[i] == first[i + d]
+            i = i[meet.any(1) & (meet.argmax(1) == tree[i])]
+            i = i[(small[i] == small[i + d]).sum(1) >= least]
+            left.append(i)
+            right.append(i + d)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def with_partner(rows: DataFrame, least: int) -> DataFrame:
+    """The `rows` that are in a likely pair of their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (1, 3))
-            a, b, same = batch.column(0).to_numpy(), batch.column(2).to_numpy(), (x == y).sum(1)
-            ok = (same >= least) & (a != b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(same[ok].astype(np.int32))], ["a", "b", "same"])
-
-    return rows.select("node", "small", "leader", "leader_small").mapInArrow(run, EDGES)
-
-
-def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs (a, b) of nodes and how many of their sketch bytes agree."""
-    least = int(np.floor((threshold - LIKELY) * COORDINATES))
-    rows = paths(nodes)
-    found = None
-    for d in range(DEPTH):
-        rows = rows.withColumn("key", F.col("path")[d])
-        counts = cut_lineage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("node", "small"), F.xxhash64("node", F.lit(d))).alias("leader")).where(F.col("n") > TASK))
-        hot = not counts.isEmpty()
-        pairs = paired(rows.join(counts.select("key"), "key", "left_anti") if hot else rows, d, least)
-        found = pairs if found is None else found.unionByName(pairs)
-        if not hot:
-            break
-        rows = rows.join(counts, "key")
-        star = agree(rows.select("node", "small", F.col("leader.node").alias("leader"), F.col("leader.small").alias("leader_small")), least)
-        found = found.unionByName(star)
-        if d == DEPTH - 1:
-            deal = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TASK) * 2))
-            found = found.unionByName(paired(rows.withColumn("key", deal), d, least))
-        rows = cut_lineage(rows.select("path", "node", "small"))
-    return cut_lineage(found.groupBy("a", "b").agg(F.max("same").alias("same")))
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose whole sets have at least `percent` of 100 parts in common. texts: node, text."""
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+        for batch in whole(batches):
+            yield batch.take(pa.array(np.unique(np.concatenate(likely(batch, least)))))
+
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, rows.schema)
+
+
+def in_common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many elements the sets i and j share, for each pair."""
+    if len(i) <= 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
+    who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    who, of = who[count[of] > 1], shared[of[count[of] > 1]]
+    order = np.argsort(of, kind="stable")
+    who, of = who[order], of[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(of[-1]) + 1 if len(of) else 0, 4096):
+        a, b = np.searchsorted(of, [lo, lo + 4096])
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[who[a:b], of[a:b] - lo] = 1
+        both += has @ has.T
+    return both[i, j].astype(np.int64)
+
+
+def confirm(rows: DataFrame, size: int, percent: int, least: int) -> DataFrame:
+    """node, root (the least node that its links reach within the key) and links of each row with a link. Linked are likely pairs whose whole sets have at least `percent` of 100 parts in common. rows: as for `likely`, and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in whole(batches):
+            i, j = likely(batch, least)
             sets = []
-            for c in (2, 3):
-                own = []
-                for tokens, count in shingle_sets(batch.column(c), size):
-                    own += np.split(tokens, np.cumsum(count)[:-1])
-                sets.append(own)
-            ok = []
-            for x, y in zip(*sets, strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
+            for tokens, count in shingle_sets(batch.column(7), size):
+                sets += np.split(tokens, np.cumsum(count)[:-1])
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            ends = np.searchsorted(i, cut)
+            lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+            ok = np.zeros(len(i), bool)
+            for a, b, x, y in zip(cut[:-1], cut[1:], ends[:-1], ends[1:], strict=True):
+                if y > x:
+                    common = in_common(sets[a:b], i[x:y] - a, j[x:y] - a)
+                    ok[x:y] = 100 * common >= percent * (lengths[i[x:y]] + lengths[j[x:y]] - common)
+            i, j = i[ok], j[ok]
+            links = np.bincount(i, minlength=len(key)) + np.bincount(j, minlength=len(key))
+            root, before = node.copy(), None
+            while before is None or (root != before).any():
+                before = root.copy()
+                low = np.minimum(root[i], root[j])
+                np.minimum.at(root, i, low)
+                np.minimum.at(root, j, low)
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(root[some]), pa.array(links[some].astype(np.int64))], ["node", "root", "links"])
+
+    own = rows.select("key", "node", "tree", "first", "small", "part", "cross", "text")
+    return own.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "node long, root long, links long")
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -313,26 +277,16 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     """The rows' sketches (id, text_hash, n_shingles, node), and node, first (the least id of the node's rows), root and links of each node."""
     signed = cut_lineage(sketches(docs, id_col, text_col, size))
     nodes = cut_lineage(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first"), F.max("sketch").alias("sketch")))
-    likely = candidates(nodes, percent / 100)
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    least = int(np.floor((percent / 100 - LIKELY) * COORDINATES))
+    met = cut_lineage(with_partner(dealt(paths(nodes)), least))
+    wanted = met.select("node").distinct()
     at = signed.where(F.col("node").isNotNull()).join(wanted, "node").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("at")).select("node", "at.id", "at.text_hash")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).where(F.col("text").isNotNull()).alias("d")
     picked = own.join(at.alias("a"), F.col("d.id").eqNullSafe(F.col("a.id")) & (F.col("d.text_hash") == F.col("a.text_hash")))
     texts = cut_lineage(picked.select("node", "text").groupBy("node").agg(F.min("text").alias("text")))
-    # first each node's likeliest candidate
-    ends = likely.select(F.col("a").alias("u"), "a", "b", "same").unionByName(likely.select(F.col("b").alias("u"), "a", "b", "same"))
-    first = ends.groupBy("u").agg(F.max_by(F.struct("a", "b"), F.struct("same", F.xxhash64("a", "b"))).alias("e")).select("e.a", "e.b").distinct()
-    sure = cut_lineage(confirm(first, texts, size, percent))
-    roots = components(sure)
-    left = likely.join(first, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        left = left.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    more = cut_lineage(confirm(left.where("root_a <> root_b").select("a", "b"), texts, size, percent))
-    every = sure.unionByName(more)
-    if not more.isEmpty():
-        roots = components(every)
-    degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    found = cut_lineage(confirm(met.join(texts, "node"), size, percent, least))
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     placed = nodes.select("node", "first").join(roots, "node", "left").join(degree, "node", "left")
     return signed.drop("sketch"), placed.select("node", "first", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
 

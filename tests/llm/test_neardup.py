@@ -68,3 +68,29 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in neardup.near_duplicates(docs).collect())
     assert got == [("5", "5", True), ("5", "5", True), ("7", "7", True), ("None", "5", False), ("None", "None", True)]
     assert neardup.near_duplicates(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("small,task", [(256, 512), (20, 50)])
+def test_links_of_a_dense_family(spark, monkeypatch, small, task):
+    """Variants of one text whose similarities lie around the threshold: each pair is compared, and each link counted once."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "TASK", task)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(200):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.choice([2, 3, 3, 4, 5])):
+            copy[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(copy)))
+    sets = [shingles(t, 3) for _, t in rows]
+    links = [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+                links[i] += 1
+                links[j] += 1
+    assert 4_000 < sum(links) < 2 * 19_900 - 4_000
+    got = {r.doc_id: r.links for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(links))
