@@ -1,7 +1,7 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A document's set holds the identifiers of its word shingles. Documents with equal sets are one node from the start, so
-copies are never compared with each other. The nodes are then searched in `TREES` independent trees:
+copies are never compared with each other. The nodes are then searched in independent trees:
 
 - In a tree, a node takes the path of its least-hashed token (minwise choice, another hash for each tree). Nodes on one
   path meet. A pair of similarity s meets in a tree with probability s, however many nodes its path has.
@@ -11,8 +11,11 @@ copies are never compared with each other. The nodes are then searched in `TREES
 
 The texts of nodes with a likely partner follow them to their paths, where all likely pairs are compared on whole sets.
 A task gives each node's number of links and the least node its links reach there; `links` is the sum over paths, and
-components come from alternating large-star and small-star steps, with a checkpoint after each. A pair at the threshold
-of 0.85 is missed by all trees with probability (1 - 0.85) ** 8, about 3e-7.
+components come from alternating large-star and small-star steps, with a checkpoint after each.
+
+Recall: a threshold s takes the least number of trees with (1 - s) ** trees <= `MISS` (8 at 0.85, 9 at 0.8), and the
+sketch bytes asked for are so few that a pair at the threshold falls short with probability `MISS` at most. So a pair at
+the threshold is missed with probability 2e-6 at most, one above it with less, whatever the size of its paths.
 
 Texts without a word have an empty set and are linked with nothing. With fewer words than a shingle has, the whole
 sequence is one shingle. Documents without an id take part; they never give a component its name, and without any named
@@ -23,6 +26,7 @@ Sets are compared by 64-bit identifiers of shingles, nodes by a 64-bit identifie
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +35,40 @@ from pyspark.sql import functions as F
 
 from .common import WORD, combine, cut_lineage, lower_ascii, mix, slices, span_hashes, text_bytes, words
 
-TREES, SMALL = 8, 256
+#: Most that a pair at the threshold may be missed by: by all trees, and by its sketch.
+MISS = 1e-6
+SMALL = 256
 #: Nodes on one path up to which a task compares it whole; paths with more are dealt into blocks of `SMALL`.
 TASK = 512
 #: Links that a task of a component step takes.
 EDGES_A_TASK = 200_000
 COORDINATES = 64
-#: Equal sketch bytes of 64 from which a pair counts as likely: five standard deviations below what a similarity of 0.85 gives.
-LIKELY = 0.22
 U64 = np.uint64
 _ADD = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _TIMES = mix(np.arange(1001, 1001 + COORDINATES, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
+def trees(threshold: float) -> int:
+    """The least number of trees of which none holds a pair of that similarity together with probability `MISS` at most."""
+    n = 1
+    while (1 - threshold) ** n > MISS:
+        n += 1
+    if n > COORDINATES:
+        raise ValueError(f"a threshold of {threshold} takes {n} trees, more than {COORDINATES}")
+    return n
+
+
+def least_equal(threshold: float) -> int:
+    """The most equal bytes of a sketch that a pair of that similarity falls short of with probability `MISS` at most."""
+    below, k = 0.0, 0
+    while k < COORDINATES:
+        below += comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k)
+        if below > MISS:
+            break
+        k += 1
+    return k
+
+
 def shingle_sets(col: pa.Array | pa.ChunkedArray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For slices of a text column: the distinct shingle identifiers of all its texts, sorted within each, and how many each has."""
     buf, offs = text_bytes(col)
@@ -107,7 +132,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 PATHS = "key long, node long, tree int, first binary, small binary"
 
 
-def paths(nodes: DataFrame) -> DataFrame:
+def paths(nodes: DataFrame, n_trees: int) -> DataFrame:
     """A row for each node and tree: the path's key, the tokens chosen in all trees, and the small sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +141,8 @@ def paths(nodes: DataFrame) -> DataFrame:
                 continue
             chosen = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
             small = pa.array([r.tobytes() for r in chosen.astype(np.uint8)], pa.binary())
-            first = pa.array([r.tobytes() for r in chosen[:, :TREES]], pa.binary())
-            for t in range(TREES):
+            first = pa.array([r.tobytes() for r in chosen[:, :n_trees]], pa.binary())
+            for t in range(n_trees):
                 key = mix(combine(np.full(len(chosen), U64(t + 1)), chosen[:, t].astype(U64)))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), pa.array(np.full(len(chosen), t, np.int32)), first, small], ["key", "node", "tree", "first", "small"])
 
@@ -277,8 +302,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     """The rows' sketches (id, text_hash, n_shingles, node), and node, first (the least id of the node's rows), root and links of each node."""
     signed = cut_lineage(sketches(docs, id_col, text_col, size))
     nodes = cut_lineage(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first"), F.max("sketch").alias("sketch")))
-    least = int(np.floor((percent / 100 - LIKELY) * COORDINATES))
-    met = cut_lineage(with_partner(dealt(paths(nodes)), least))
+    least = least_equal(percent / 100)
+    met = cut_lineage(with_partner(dealt(paths(nodes, trees(percent / 100))), least))
     wanted = met.select("node").distinct()
     at = signed.where(F.col("node").isNotNull()).join(wanted, "node").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("at")).select("node", "at.id", "at.text_hash")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).where(F.col("text").isNotNull()).alias("d")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -94,3 +95,24 @@ def test_links_of_a_dense_family(spark, monkeypatch, small, task):
     assert 4_000 < sum(links) < 2 * 19_900 - 4_000
     got = {r.doc_id: r.links for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(links))
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_stated_recall(percent):
+    s, least = percent / 100, neardup.least_equal(percent / 100)
+    assert (1 - s) ** neardup.trees(s) <= neardup.MISS < (1 - s) ** (neardup.trees(s) - 1)
+    short = lambda k: sum(math.comb(64, x) * s**x * (1 - s) ** (64 - x) for x in range(k))
+    assert short(least) <= neardup.MISS < short(least + 1)
+
+
+def test_links_on_crowded_paths(spark, monkeypatch):
+    """Pairs at 0.8 that share their paths with many texts are found as well as in a table of their own."""
+    monkeypatch.setattr(neardup, "SMALL", 24)
+    monkeypatch.setattr(neardup, "TASK", 24)
+    rng = random.Random(11)
+    rows = []
+    for k in range(1500):  # nine words each, six of them in all texts; the two of a pair share eight of ten
+        own = [*"abcdef", f"x{k}", f"y{k}"]
+        rows += [(2 * k, " ".join([*own, f"z{rng.randrange(10**9)}"])), (2 * k + 1, " ".join([*own, f"z{rng.randrange(10**9)}"]))]
+    got = [r.links for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1, percent=80).collect()]
+    assert got == [1] * len(rows)
