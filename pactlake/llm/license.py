@@ -7,6 +7,7 @@ gaps without an anchor, whose equal words at both ends count. Coverage is the sh
 A text may hold several notices, also the same one twice, so alignment is by region: words of the templates that are
 distinctive (`DISTINCT` letters or more) are searched in all texts at once (an Aho-Corasick automaton); places of one
 template's words that are no further apart than the template is long form a region. Texts without such words are done.
+In a region, the template is aligned with a window of twice its words from each place of any of its words.
 
 One pass without a shuffle. Null texts and texts without a notice get null and 0. Repeated rows get a result each. All
 columns are kept; `_notices` holds license, coverage, start and end (in characters) of each region above the limit.
@@ -18,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, compress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,17 +131,24 @@ class Scanner:
         return sorted(({k: x[k] for k in ("license", "coverage", "start", "end")} for x in best), key=lambda x: (x["start"], x["license"]))
 
     def _in_region(self, name: str, own: list[str], low: str, lo: int, hi: int) -> list[dict]:
-        out, todo = [], [(lo, hi)]
+        out, todo, known_words = [], [(lo, hi)], set(own)
         while todo:
             lo, hi = todo.pop()
             have = words(low[lo:hi])
-            first = [p for p, (w, _, _) in enumerate(have) if w == own[0]] or [0]
+            known = [w in known_words for w, _, _ in have]
+            upto = [0, *accumulate(known)]
             best = None
-            for p in first:  # a notice that is repeated in the region has no word that occurs once: try from each start
-                part = have[p : p + 2 * len(own)]
+            for p in compress(range(len(have)), known):  # a notice may start with any of its words: the first may be changed or missing
+                stop = min(p + 2 * len(own), len(have))
+                if upto[stop] - upto[p] < self.least * len(own):
+                    continue
+                part = have[p:stop]
                 pairs = align([w for w, _, _ in part], own)
-                if pairs and (best is None or len(pairs) > best[0]):
-                    best = (len(pairs), lo + part[pairs[0][0]][1], lo + part[pairs[-1][0]][2])
+                if not pairs:
+                    continue
+                now = (len(pairs), lo + part[pairs[0][0]][1], lo + part[pairs[-1][0]][2])
+                if best is None or (now[0], now[1] - now[2]) > (best[0], best[1] - best[2]):  # of equals the shortest
+                    best = now
             if best and best[0] >= self.least * len(own):
                 out.append({"license": name, "matched": best[0], "coverage": best[0] / len(own), "start": best[1], "end": best[2]})
                 todo += [(x, y) for x, y in ((lo, best[1]), (best[2], hi)) if y - x > len(own)]

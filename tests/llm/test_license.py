@@ -32,3 +32,18 @@ def test_scan(spark):
     assert got[7][1:] == (2, ["Apache-2.0", "MIT"])
     assert all(got[k] == (None, 0, []) for k in (0, 1, 2, 8))
     assert lic.licenses(frame.limit(0)).collect() == []
+
+
+def test_notices_without_their_first_word_in_prose():
+    rng = random.Random(5)
+    noise = lambda n: " ".join("".join(rng.choice("aeiorst") for _ in range(5)) for _ in range(n))
+    scanner = lic.Scanner(lic.TEMPLATES, 0.8)
+    notices = [("MIT", "Distributed under the MIT License."), *((name, text.split(" ", 1)[1]) for name, text in lic.TEMPLATES if len(lic.words(text)) > 5)]
+    for name, notice in notices:
+        for before, after in ((0, 0), (80, 80), (7, 300)):
+            text = f"{noise(before)} {notice} {noise(after)}"
+            found = scanner(text)
+            assert [x["license"] for x in found] == [name], notice
+            assert found[0]["coverage"] >= 0.8 and text.find(notice) <= found[0]["start"] < found[0]["end"] <= text.find(notice) + len(notice)
+        two = scanner(f"{noise(40)} {notice} {noise(60)} {notice} {noise(40)}")  # places of one region
+        assert [x["license"] for x in two] == [name, name]
