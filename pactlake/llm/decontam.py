@@ -9,7 +9,8 @@ The items are a stated query set. They are read in blocks of at most `block_char
 aggregate, and each block is matched with all texts in one pass without a shuffle; only a block is ever broadcast.
 With several blocks, the table is checkpointed between passes.
 
-Items of null text or fewer than `least_chars` characters (after trimming) are left out; equal items are all reported.
+Items under `least_chars` characters (after trimming) count only where they occur without an edit and between word borders.
+Items of null or blank text are left out; equal items are all reported.
 Null texts match nothing. Repeated rows get a result each. All columns are kept; `_hits` holds item, distance, start and
 end (in characters) of the best match in each window. Without items all hits are empty.
 """
@@ -44,6 +45,12 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def bordered(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on over either end of text[start:end]."""
+    part = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+    return not (part(start - 1) and part(start)) and not (part(end - 1) and part(end))
+
+
 def masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for k, c in enumerate(pattern):
@@ -75,15 +82,18 @@ def nearest(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """All items of a block."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int):
         import ahocorasick
 
         self.items, self.auto, self.any = [], ahocorasick.Automaton(), False
         where: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             item, k = plain(text).strip(), len(self.items)
-            errors = budget(len(item), rate)
-            self.items.append((item_id, len(item), errors, masks(item), masks(item[::-1])))
+            if not item:
+                continue
+            short = len(item) < least_chars
+            errors = 0 if short else budget(len(item), rate)
+            self.items.append((item_id, len(item), errors, short, masks(item), masks(item[::-1])))
             for offset, piece in pieces(item, errors):
                 where.setdefault(piece, []).append((k, offset))
         for piece, at in where.items():
@@ -102,8 +112,11 @@ class Matcher:
                 starts.setdefault(k, set()).add(end + 1 - size - offset)
         out = []
         for k, found in starts.items():
-            item_id, m, errors, forward, backward = self.items[k]
+            item_id, m, errors, short, forward, backward = self.items[k]
             order = sorted(found)
+            if short:  # its one piece is the item
+                out += [{"item": item_id, "distance": 0, "start": a, "end": a + m} for a in order if bordered(text, a, a + m)]
+                continue
             i = 0
             while i < len(order):
                 j = i
@@ -122,17 +135,17 @@ class Matcher:
 _matchers: dict[tuple, Matcher] = {}
 
 
-def _matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
-    key = (hash(items), rate)
+def _matcher(items: tuple[tuple[int, str], ...], rate: float, least_chars: int) -> Matcher:
+    key = (hash(items), rate, least_chars)
     if key not in _matchers:
         _matchers.clear()
-        _matchers[key] = Matcher(list(items), rate)
+        _matchers[key] = Matcher(list(items), rate, least_chars)
     return _matchers[key]
 
 
 def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.08, least_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
     """`docs` with _hits."""
-    known = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("item_text")).where(F.length(F.trim("item_text")) >= least_chars)
+    known = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("item_text")).where(F.length(F.trim("item_text")) > 0)
     total = known.select(F.sum(F.length("item_text")).alias("n")).first()["n"] or 0
     blocks = -(-int(total) // block_chars)
     out = docs.withColumn("_hits", F.array().cast(HITS))
@@ -143,7 +156,7 @@ def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted((r["item"], r["item_text"]) for r in own.collect())))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shared.value, rate)
+            matcher = _matcher(shared.value, rate, least_chars)
             for batch in batches:
                 hits = [(old or []) + matcher(t or "") for old, t in zip(batch.column(hits_at).to_pylist(), batch.column(at).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, _ARROW_HITS)], batch.schema.names)

@@ -58,3 +58,13 @@ def test_against_brute_force(spark, block_chars):
     assert kept == {d for d, x in want.items() if not x}
     assert decontam.contamination(frame, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.contamination(frame.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("block_chars", [10**6, 5])
+def test_short_items(spark, block_chars):
+    bench = spark.createDataFrame([(1, " Who won? "), (2, "iron ore"), (3, "Iron\tore"), (4, " \n"), (5, None), (6, "(c) 42")], "item_id long, text string")
+    docs = ["and WHO WON? they asked", "whoso won?", "iron\nore, then iron ores", "environ ore", "iron orb", "x(c) 42.", "(c) 421", "", None]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: [(h.item, h.distance, h.start, h.end) for h in r._hits] for r in decontam.match(frame, bench, block_chars=block_chars).collect()}
+    got = {k: sorted(v) for k, v in got.items()}
+    assert got == {0: [(1, 0, 4, 12)], 1: [], 2: [(2, 0, 0, 8), (3, 0, 0, 8)], 3: [], 4: [], 5: [(6, 0, 1, 7)], 6: [], 7: [], 8: []}
