@@ -169,6 +169,18 @@ def fit_logistic(starts: np.ndarray, index: np.ndarray, value: np.ndarray | None
     return w, float(b)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """A column name for each of `wanted` that no column of `df` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` as a reliable checkpoint in the shared folder of spark.checkpoint.dir (a folder of its own only where that is unset, as in tests)."""
     spark = df.sparkSession
