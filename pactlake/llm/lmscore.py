@@ -6,14 +6,15 @@ probability (distinct bytes over the same sum) times its probability in the cont
 bytes seen in the longer context are excluded. Bytes seen nowhere share what is left evenly. A text ends with a zero
 byte, so the score of a text is a probability over all texts.
 
-Counting: each task counts its texts' (ORDER + 1)-grams with numpy, the partial counts are summed by Spark, and shorter
-contexts are sums of these. All training texts count. Only the trie goes through the driver and to the tasks: at most
-`max_nodes` nodes of 20 bytes; if more were seen, those with counts below the least sufficient power of two stay out,
-as in any trie of bounded memory (contexts that stay out fall back on shorter ones; every byte is still scored).
+The trie is a Spark table, without a bound: a row for each node of each order. What a byte costs depends on the gram of
+the `ORDER` bytes before it and itself, so the orders are joined from the shortest to the longest, each node with the
+one that lacks its first byte (at most 256 nodes share one), and sums over a context are windows of at most 256 rows.
+That gives a logarithm for each gram that any text holds.
 
-The unigram base score needs exact counts of an unbounded vocabulary, so it is joined and not broadcast: texts are dealt
-into blocks of about `block_bytes`, each block sends each of its distinct words once with its training count, and gets
-the words' total counts back. A hot word has a row for each block, not for each occurrence.
+Texts are dealt into blocks of about `block_bytes`. A block sends each of its distinct grams and words once, with its
+training count (0 for those of held-out texts only), and gets each gram's logarithm and each word's total count back. So
+a hot gram or word has a row for each block, not for each occurrence; its total is an aggregate that is joined back, and
+adaptive execution can split that join. Nothing that grows with the texts passes the driver or is broadcast.
 
 Null and empty texts hold one token, the end, and score the probability of ending at once. Without training texts all
 counts are 0 and each byte has probability 1/256. Documents with a null id are learned from and not held out. Repeated
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,6 @@ from .common import crc_mod, cut_lineage, slices, text_bytes
 
 ORDER = 4
 U64 = np.uint64
-#: Partial counts that a counting task gathers before it passes them on.
-GATHER = 3_000_000
 
 
 class _Table:
@@ -75,94 +73,6 @@ class _Table:
         return found
 
 
-@dataclass
-class PpmModel:
-    """For each order: grams (context and byte), their contexts, and the logarithms that scoring needs."""
-
-    grams: list[_Table]
-    context_of: list[np.ndarray]
-    contexts: list[_Table]
-    log_count: list[np.ndarray]
-    log_all: list[np.ndarray]  # of a context: counts plus distinct bytes
-    log_escape: list[np.ndarray]  # of a context that was entered
-    log_left: list[np.ndarray]  # of the next shorter context without the bytes seen in this one: counts plus distinct bytes
-    log_escape_left: list[np.ndarray]  # escape from that
-    log_unseen: float
-
-    @classmethod
-    def build(cls, order: np.ndarray, gram: np.ndarray, count: np.ndarray) -> PpmModel:
-        out = cls([], [], [], [], [], [], [], [], -np.log10(256.0))
-        before = None
-        for k in range(ORDER + 1):
-            own = order == k
-            by = np.argsort(gram[own])
-            g, n = gram[own][by].astype(U64), count[own][by].astype(np.float64)
-            context, first, of = np.unique(g >> U64(8), return_index=True, return_inverse=True)
-            total = np.add.reduceat(n, first) if len(first) else np.zeros(0)
-            distinct = np.diff(np.append(first, len(g))).astype(np.float64)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                left, escape = np.zeros(len(context)), np.zeros(len(context))
-                if k and len(first):
-                    shorter, sum_shorter, n_shorter, of_shorter = before
-                    at = shorter(g & U64((1 << 8 * k) - 1))
-                    excluded = np.add.reduceat(n_shorter[0][at], first)
-                    up = of_shorter[at[first]]
-                    rest = sum_shorter[up] - excluded
-                    more = n_shorter[1][up] - distinct
-                    left = np.where(rest + more > 0, np.log10(np.maximum(rest + more, 1)), 0.0)
-                    escape = np.where(more > 0, np.log10(np.maximum(more, 1)) - left, 0.0)
-                out.log_all.append(np.log10(total + distinct))
-                out.log_escape.append(np.log10(distinct) - np.log10(total + distinct))
-            table = _Table(g)
-            out.grams.append(table)
-            out.context_of.append(of.astype(np.int32))
-            out.contexts.append(_Table(context))
-            out.log_count.append(np.log10(n))
-            out.log_left.append(left)
-            out.log_escape_left.append(escape)
-            before = (table, total, (n, distinct), of)
-            if k == 0 and len(g):
-                out.log_unseen = -np.log10(max(1, 256 - len(g)))
-        return out
-
-    def score(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each text. buf holds ORDER zero bytes before and one after each text; offs are the starts."""
-        n = len(buf) - ORDER
-        key = np.zeros(n, U64)
-        for k in range(ORDER + 1):
-            key = (key << U64(8)) | buf[k : k + n]
-        logp = np.zeros(n)
-        at = np.arange(n)
-        escaped = np.full(n, -1, np.int32)
-        for k in range(ORDER, -1, -1):
-            g = key[at] & U64((1 << 8 * (k + 1)) - 1)
-            found = self.grams[k](g)
-            hit = found >= 0
-            f, p, e = found[hit], at[hit], escaped[hit]
-            fresh = e < 0
-            base = np.empty(len(f))
-            base[fresh] = self.log_all[k][self.context_of[k][f[fresh]]]
-            if k < ORDER:
-                base[~fresh] = self.log_left[k + 1][e[~fresh]]
-            logp[p] += self.log_count[k][f] - base
-            at, escaped, g = at[~hit], escaped[~hit], g[~hit]
-            if not len(at):
-                break
-            context = self.contexts[k](g >> U64(8))
-            known, fresh = context >= 0, escaped < 0
-            enter = known & fresh
-            logp[at[enter]] += self.log_escape[k][context[enter]]
-            if k < ORDER:
-                on = known & ~fresh
-                logp[at[on]] += self.log_escape_left[k + 1][escaped[on]]
-            escaped = np.where(known, context, -1)
-        logp[at] += self.log_unseen
-        sums = np.concatenate([[0.0], np.cumsum(logp)])
-        width = np.diff(offs)
-        # the ORDER positions whose byte is a leading zero don't count
-        return sums[offs[:-1] + width - ORDER] - sums[offs[:-1]]
-
-
 def framed(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with ORDER zero bytes before and one after each, and their starts and the end."""
     docs = len(offs) - 1
@@ -172,70 +82,57 @@ def framed(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, new
 
 
-def _gram_counts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grams_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gram at each byte of the texts and their ends, as numbers, and where each text's begin."""
     out, new = framed(buf, offs)
     n = len(out) - ORDER
     key = np.zeros(n, U64)
     for k in range(ORDER + 1):
         key = (key << U64(8)) | out[k : k + n]
-    crosses = np.zeros(n, bool)
+    keep = np.ones(n, bool)
     for k in range(ORDER):
-        crosses[new[1:-1] - ORDER + k] = True
-    return np.unique(key[~crosses], return_counts=True)
-
-
-def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """gram (ORDER + 1 bytes as a number) and n over all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            keys, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return keys, np.bincount(of, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+        keep[new[1:-1] - ORDER + k] = False
+    return key[keep], offs + np.arange(len(offs))
 
-        def rows(part: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(part[0]), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(part[0][i : i + 500_000].view(np.int64)), pa.array(part[1][i : i + 500_000].astype(np.int64))], ["gram", "n"])
 
-        parts, held = [], 0
-        for batch in batches:
-            buf, offs = text_bytes(batch.column(0))
-            for i, j in slices(offs):
-                part = _gram_counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                parts.append(part)
-                held += len(part[0])
-                if held > GATHER:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held > GATHER // 2:
-                        yield from rows(parts[0])
-                        parts, held = [], 0
-        if parts:
-            yield from rows(merged(parts))
-
-    return docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, text_col: str = "text", max_nodes: int = 1 << 20) -> PpmModel:
-    grams = gram_counts(docs, text_col)
-    shorter = F.array(*[F.struct(F.lit(k).alias("order"), F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")) for k in range(ORDER + 1)])
-    nodes = cut_lineage(grams.select(F.explode(shorter).alias("x"), "n").groupBy("x.order", "x.gram").agg(F.sum("n").alias("n")))
-    at_least = nodes.agg(*[F.count_if(F.col("n") >= (1 << k)).alias(str(k)) for k in range(48)]).first()
-    least = next(1 << k for k in range(48) if at_least[k] <= max_nodes)
-    rows = nodes.where(F.col("n") >= least).select("order", "gram", "n").toArrow()
-    return PpmModel.build(rows["order"].to_numpy(), rows["gram"].to_numpy(), rows["n"].to_numpy())
-
-
-def scores(docs: DataFrame, folds: int = 7, held: int = 2, block_bytes: int = 16 << 20, max_nodes: int = 1 << 20) -> DataFrame:
+def code_lengths(grams: DataFrame) -> DataFrame:
+    """gram and logp (log10 of the probability of its last byte after the bytes before) of grams (gram, n: its count in training texts, 0 for one that is only asked for)."""
+    before = None
+    for k in range(ORDER + 1):
+        nodes = grams.groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
+        context = Window.partitionBy(F.shiftright("gram", 8) if k else F.lit(0))  # 256 rows at most
+        log, seen = F.log10, F.col("n") > 0
+        if k:
+            nodes = nodes.withColumn("low", F.col("gram").bitwiseAND((1 << 8 * k) - 1)).join(before, "low")
+        total, distinct = F.sum("n").over(context).alias("total"), F.count_if(seen).over(context).alias("distinct")
+        shared = F.sum(F.when(seen, F.col("n1") if k else F.lit(0)).otherwise(0)).over(context).alias("shared")
+        nodes = nodes.select("*", total, distinct, shared)
+        if k:
+            more = F.col("distinct1") - F.col("distinct")
+            rest = F.col("total1") - F.col("shared") + more  # of the shorter context, without the bytes seen in this one
+            left = F.when(rest > 0, log(rest.cast("double"))).otherwise(0.0)
+            escape = F.when(more > 0, log(more.cast("double")) - left).otherwise(0.0)
+            shorter = F.when(F.col("n1") > 0, F.col("value1") - left).otherwise(escape + F.col("value1"))
+        else:
+            shorter = -log(F.greatest(F.lit(1), 256 - F.col("distinct")).cast("double"))
+        whole = log((F.col("total") + F.col("distinct")).cast("double"))
+        fresh = F.when(F.col("distinct") == 0, F.col("logp1") if k else shorter).when(seen, log(F.col("n").cast("double")) - whole).otherwise(log(F.col("distinct").cast("double")) - whole + shorter)
+        value = F.when(seen, log(F.col("n").cast("double"))).otherwise(shorter)
+        own = [F.col("n").alias("n1"), F.col("total").alias("total1"), F.col("distinct").alias("distinct1"), value.alias("value1"), fresh.alias("logp1")]
+        before = nodes.select(F.col("gram").alias("low"), *own)
+    return before.select(F.col("low").alias("gram"), F.col("logp1").alias("logp"))
+
+
+def scores(docs: DataFrame, folds: int = 7, held: int = 2, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each document."""
     held_out = F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False))
     base = docs.select("doc_id", F.col("text"), held_out.alias("held_out"))
-    model = fit(base.where(~F.col("held_out")), max_nodes=max_nodes)
     size = base.select(F.sum(F.octet_length("text")).alias("n"), F.count_if(~F.col("held_out")).alias("train")).first()
     blocks = max(1, -(-int(size["n"] or 0) // block_bytes))
     train_docs = int(size["train"] or 0)
     dealt = base.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(min(blocks, 100_000), "_block")
 
-    def tokens(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def words_of(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         count: Counter = Counter()
         rest: set = set()
         buf, offs = text_bytes(table["text"])
@@ -246,18 +143,33 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, block_bytes: int = 16
         words = [*count, *rest]
         return pa.table([pa.array([key[0].as_py()] * len(words), pa.int32()), pa.array(words, pa.binary()).cast(pa.string()), pa.array([*count.values(), *[0] * len(rest)], pa.int64())], names=["_block", "word", "n"])
 
-    own = dealt.groupBy("_block").applyInArrow(tokens, "_block int, word string, n long")
-    # a word has one row for each block: its rows meet once, in one exchange that the totals below use as well
-    each = Window.partitionBy("word")
-    summed = own.select("_block", "word", F.sum("n").over(each).alias("total"), F.min("_block").over(each).alias("first"))
-    one = F.col("_block") == F.col("first")
-    totals = summed.agg(F.struct((F.coalesce(F.sum(F.when(one, F.col("total"))), F.lit(0)) + train_docs).alias("n"), (F.count_if(one & (F.col("total") > 0)) + int(train_docs > 0)).alias("v")).alias("t")).scalar()
-    known = summed.where(F.col("total") > 0).select("_block", "word", "total")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def grams(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
+        buf, offs = text_bytes(table["text"])
+        train = ~table["held_out"].to_numpy().astype(bool)
+        for i, j in slices(offs):
+            own, at = grams_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            new, of = np.unique(own, return_inverse=True)
+            n = np.bincount(of, np.repeat(train[i:j], np.diff(at)), len(new)).astype(np.int64)
+            keys, of = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(of, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+        return pa.table([pa.array(np.full(len(keys), key[0].as_py(), np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["_block", "gram", "n"])
+
+    # one exchange of each serves the totals and the join that sends them back
+    own_words = dealt.groupBy("_block").applyInArrow(words_of, "_block int, word string, n long").repartition("word")
+    totals = own_words.groupBy("word").agg(F.sum("n").alias("total")).where("total > 0")
+    known = own_words.select("_block", "word").join(totals, "word")
+    own_grams = dealt.groupBy("_block").applyInArrow(grams, "_block int, gram long, n long").repartition("gram")
+    lengths = code_lengths(cut_lineage(own_grams.groupBy("gram").agg(F.sum("n").alias("n"))))
+    told = own_grams.select("_block", "gram").join(lengths, "gram")
+    both = known.select("_block", "word", F.lit(None).cast("long").alias("gram"), F.col("total").cast("double").alias("value")).unionByName(told.select("_block", F.lit(None).cast("string").alias("word"), "gram", F.col("logp").alias("value")))
+    whole = totals.agg(F.struct((F.coalesce(F.sum("total"), F.lit(0)) + train_docs).alias("n"), (F.count(F.lit(1)) + int(train_docs > 0)).alias("v")).alias("t")).scalar()
 
     def score(table: pa.Table, found: pa.Table) -> pa.Table:
-        total = np.log10(found["total"].to_numpy().astype(np.float64) + 1) if found.num_rows else np.zeros(0)
-        value = dict(zip(found["word"].cast(pa.binary()).to_pylist(), total.tolist(), strict=True)) if found.num_rows else {}
+        of_word = found.filter(found["gram"].is_null())
+        value = dict(zip(of_word["word"].cast(pa.binary()).to_pylist(), np.log10(of_word["value"].to_numpy() + 1).tolist(), strict=True))
+        of_gram = found.filter(found["gram"].is_valid())
+        number, logp = _Table(of_gram["gram"].to_numpy().view(U64)), of_gram["value"].to_numpy()
         buf, offs = text_bytes(table["text"])
         data = buf.tobytes()
         n_tokens, n_known, log_sum = [], [], []
@@ -267,17 +179,18 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, block_bytes: int = 16
             n_tokens.append(len(words) + 1)
             n_known.append(len(own) + (train_docs > 0))
             log_sum.append(sum(own) + np.log10(train_docs + 1.0))
-        logp = []
+        out = []
         for i, j in slices(offs):
-            logp.append(shared.value.score(*framed(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])))
+            own, at = grams_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            out.append(np.add.reduceat(logp[number(own)], at[:-1]))
         return pa.table(
-            [table["doc_id"], table["held_out"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log_sum, pa.float64()), pa.array(np.concatenate(logp) if logp else [], pa.float64()), pa.array(np.diff(offs))],
+            [table["doc_id"], table["held_out"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log_sum, pa.float64()), pa.array(np.concatenate(out) if out else [], pa.float64()), pa.array(np.diff(offs))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "log_sum", "score", "n_bytes"],
         )
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    out = dealt.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, log_sum double, score double, n_bytes long")
-    out = out.withColumn("t", totals)
+    out = dealt.groupBy("_block").cogroup(both.groupBy("_block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, log_sum double, score double, n_bytes long")
+    out = out.withColumn("t", whole)
     base_score = F.col("log_sum") - F.col("n_tokens") * F.log10((F.col("t.n") + F.col("t.v") + 1).cast("double"))
     per_byte = -F.col("score") / ((F.col("n_bytes") + 1) * float(np.log10(2.0)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.col("t.n").alias("train_tokens"), base_score.alias("base_score"), "score", per_byte.alias("bits_per_byte"))

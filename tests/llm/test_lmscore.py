@@ -68,12 +68,26 @@ def test_against_plain_models(spark):
         assert r.score == pytest.approx(plain.score(t or ""), abs=1e-8)
 
 
-def test_bounded_trie_and_empty(spark):
+def test_a_whole_table_against_the_plain_model(spark):
+    """Whole texts of all documents, in two sizes of block: no count is left out, whatever the size."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = Plain([t or "" for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2])
+    some = [(d, t) for d, t in rows if len(t or "") < 3000][::9]
+    for block_bytes in (200_000, 16 << 20):
+        got = {r.doc_id: r.score for r in lmscore.scores(docs, block_bytes=block_bytes).collect()}
+        assert len(got) == len(rows)
+        for d, t in some:
+            assert got[d] == pytest.approx(plain.score(t or ""), abs=1e-7)
+
+
+def test_edges(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
-    model = lmscore.fit(docs, max_nodes=200)
-    assert 0 < sum(len(t.keys) for t in model.grams) <= 200
-    small = lmscore.scores(docs, max_nodes=200).collect()
-    assert all(math.isfinite(r.score) and r.score < 0 for r in small)
     assert lmscore.scores(docs.limit(0)).collect() == []
     alone = lmscore.scores(spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string")).collect()
     assert len(alone) == 2 and not alone[0].held_out
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
+    none = lmscore.scores(spark.createDataFrame([(held, "abc")], "doc_id long, text string")).collect()[0]
+    assert none.train_tokens == none.n_known == 0 and none.score == pytest.approx(-4 * math.log10(256))
+    long = lmscore.scores(spark.createDataFrame([(1, "long words " * 300_000), (2, None)], "doc_id long, text string")).collect()
+    assert all(math.isfinite(r.score) and r.score < 0 for r in long)
