@@ -6,26 +6,31 @@ hit tells where the item would lie, hits that agree on that within the budget sh
 verified with Myers's bit-parallel distance. Letters A-Z are lowered and white space counts as a space on both sides.
 
 The items are a stated query set. They are read in blocks of at most `block_chars` characters, found from an
-aggregate, and each block is matched with all texts in one pass without a shuffle; only a block is ever broadcast.
-With several blocks, the table is checkpointed between passes.
-
-Items under `least_chars` characters (after trimming) count only where they occur without an edit and between word borders.
-Items of null or blank text are left out; equal items are all reported.
-Null texts match nothing. Repeated rows get a result each. All columns are kept; `_hits` holds item, distance, start and
-end (in characters) of the best match in each window. Without items all hits are empty.
+aggregate; only a block is ever broadcast. One block is matched with all texts in one pass without a shuffle. Of several,
+each takes a pass over the texts that gives the hits of texts that have some, keyed by the text; those are joined back.
+
+Items under `least_chars` characters (white space at the ends aside) count only where they occur without an edit and
+between word borders. Items of null text or white space alone are left out; equal items are all reported.
+Null and empty texts match nothing. Repeated rows get a result each. All columns are kept, whatever their names; `_hits`
+holds item, distance, start and end (in characters) of the best match in each window, by item and start. Without items
+all hits are empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage
+from .common import cut_lineage, free_names
 
+#: Texts with a hit up to which their hits are broadcast to all texts; more are joined by a shuffle.
+BROADCAST = 100_000
 _PLAIN = {c: c + 32 for c in range(65, 91)} | {c: 32 for c in (9, 10, 11, 12, 13)}
 HITS = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ARROW_HITS = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -143,28 +148,52 @@ def _matcher(items: tuple[tuple[int, str], ...], rate: float, least_chars: int)
     return _matchers[key]
 
 
-def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.08, least_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
-    """`docs` with _hits."""
-    known = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("item_text")).where(F.length(F.trim("item_text")) > 0)
+def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.08, least_chars: int = 24, block_chars: int = 4_000_000, out: str = "_hits") -> DataFrame:
+    """`docs` with the hits of each text in `out`, which takes the place of a column of that name."""
+    docs = docs.drop(out)
+    known = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("item_text")).where(F.length("item_text") > 0)
     total = known.select(F.sum(F.length("item_text")).alias("n")).first()["n"] or 0
     blocks = -(-int(total) // block_chars)
-    out = docs.withColumn("_hits", F.array().cast(HITS))
-    at, hits_at = out.columns.index(text_col), len(out.columns) - 1
-    schema = T.StructType([*docs.schema.fields, T.StructField("_hits", HITS)])
-    for k in range(blocks):
+    if not blocks:
+        return docs.withColumn(out, F.array().cast(HITS))
+
+    def shared(k: int):
         own = known.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == k) if blocks > 1 else known
-        shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted((r["item"], r["item_text"]) for r in own.collect())))
+        return docs.sparkSession.sparkContext.broadcast(tuple(sorted((r["item"], r["item_text"]) for r in own.collect())))
+
+    def found(block, texts: pa.Array) -> pa.Array:
+        matcher = _matcher(block.value, rate, least_chars)
+        return pa.array([matcher(t or "") for t in texts.to_pylist()], _ARROW_HITS)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shared.value, rate, least_chars)
+    if blocks == 1:
+        block, at = shared(0), docs.columns.index(text_col)
+
+        def with_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits = [(old or []) + matcher(t or "") for old, t in zip(batch.column(hits_at).to_pylist(), batch.column(at).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, _ARROW_HITS)], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, found(block, batch.column(at))], [*batch.schema.names, out])
 
-        out = out.mapInArrow(run, schema)
-        if k < blocks - 1:
-            out = cut_lineage(out)
-    return out
+        return docs.mapInArrow(with_hits, T.StructType([*docs.schema.fields, T.StructField(out, HITS)]))
+
+    def side(k: int) -> DataFrame:
+        block = shared(k)
+
+        def only_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = found(block, batch.column(1))
+                some = pc.greater(pc.list_value_length(hits), 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), hits.filter(some)], ["of", "own"])
+
+        texts = docs.where(F.length(text_col) > 0).select(F.md5(F.col(text_col).cast("binary")).alias("of"), F.col(text_col))
+        got = texts.mapInArrow(only_hits, T.StructType([T.StructField("of", T.StringType()), T.StructField("own", HITS)]))
+        return got.groupBy("of").agg(F.first("own").alias("own"))  # equal texts have equal hits
+
+    (key,) = free_names(docs, "of")
+    hits = reduce(DataFrame.unionByName, [side(k) for k in range(blocks)]).groupBy(F.col("of").alias(key)).agg(F.flatten(F.collect_list("own")).alias(out))
+    hits = cut_lineage(hits)
+    few = hits.count() <= BROADCAST
+    joined = docs.withColumn(key, F.md5(F.col(text_col).cast("binary"))).join(F.broadcast(hits) if few else hits, key, "left")
+    order = lambda x, y: F.when((x["item"] == y["item"]) & (x["start"] == y["start"]), 0).when((x["item"] < y["item"]) | ((x["item"] == y["item"]) & (x["start"] < y["start"])), -1).otherwise(1)
+    return joined.select(*docs.columns, F.array_sort(F.coalesce(out, F.array().cast(HITS)), order).alias(out))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -176,4 +205,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item."""
-    return match(docs, benchmark).where(F.size("_hits") == 0).drop("_hits")
+    (hits,) = free_names(docs, "hits")
+    return match(docs, benchmark, out=hits).where(F.size(hits) == 0).drop(hits)
