@@ -4,13 +4,21 @@ The words of a text and of a licence template are aligned: words that occur once
 increasing subsequence of the anchors' positions stays, and the gaps between anchors are aligned the same way, down to
 gaps without an anchor, whose equal words at both ends count. Coverage is the share of the template's words aligned.
 
-A text may hold several notices, also the same one twice, so alignment is by region: words of the templates that are
-distinctive (`DISTINCT` letters or more) are searched in all texts at once (an Aho-Corasick automaton); places of one
-template's words that are no further apart than the template is long form a region. Texts without such words are done.
-In a region, the template is aligned with a window of twice its words from each place of any of its words.
+A text may hold several notices, also the same one twice, so alignment is by window: from a word of the template on, as
+many words as the template and its slack have, and twice the template's words; the better of the two counts. Windows are
+passed over only where the coverage asked for cannot be reached:
+
+- A coverage c of n words leaves out n - ceil(c n) at most, so of any one word more than that one is in the notice. The
+  longest such words of all templates are searched in all texts at once (an Aho-Corasick automaton).
+- A window must hold ceil(c n) of the template's words, counted with their repeats (a running count over the text).
+
+Windows are tried from left to right, each once. Where one reaches the coverage, those that start within it are tried
+too, the densest is taken (words aligned less words between), and the search goes on behind it. So the time is linear in the
+text for a given list of templates. Of notices that overlap the one with more words stays.
 
 One pass without a shuffle. Null texts and texts without a notice get null and 0. Repeated rows get a result each. All
-columns are kept; `_notices` holds license, coverage, start and end (in characters) of each region above the limit.
+columns are kept, whatever their names; `_notices` (in place of a column of that name) holds license, coverage, start and
+end (in characters) of each notice.
 """
 
 from __future__ import annotations
@@ -19,27 +27,64 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, compress
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DISTINCT = 6
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
-#: Public licence notices by SPDX identifier.
+# Public licence notices and texts by SPDX identifier.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+_BOOST = """Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"""
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", _APACHE.split("\n", 1)[0]),
+    ("Apache-2.0", _APACHE),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("MIT", _MIT.split(", including", 1)[0]),
+    ("MIT", _MIT),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", _GNU.format(name="General Public License", version="3").split(", or", 1)[0]),
+    ("GPL-3.0", _GNU.format(name="General Public License", version="3")),
+    ("GPL-2.0", _GNU.format(name="General Public License", version="2")),
+    ("LGPL-3.0", _GNU.format(name="Lesser General Public License", version="3")),
+    ("AGPL-3.0", _GNU.format(name="Affero General Public License", version="3")),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("BSD-2-Clause", _BSD_CONDITIONS + "\n" + _BSD_DISCLAIMER),
+    ("BSD-3-Clause", _BSD_CONDITIONS.split(":", 1)[0]),
+    ("BSD-3-Clause", _BSD_CONDITIONS + "\n" + _BSD_NAMES + "\n" + _BSD_DISCLAIMER),
+    ("ISC", _ISC),
+    ("Zlib", _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("MPL-2.0", _MPL),
+    ("BSL-1.0", _BOOST),
     ("Proprietary", "All rights reserved."),
 )
 
@@ -88,71 +133,101 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def dense(found: tuple[int, int, int]) -> tuple[int, int, int]:
+    """What makes a notice (words aligned, first and last word) the better one: words aligned less those between them, then more words, then an earlier place."""
+    n, a, b = found
+    return 2 * n - (b - a + 1), n, -a
+
+
+class Template:
+    """A licence, its words, how many of them a notice needs, and the words of which a notice has one at least."""
+
+    def __init__(self, license: str, text: str, least: float):
+        self.license, self.words = license, [w for w, _, _ in words(text)]
+        self.size, self.count = len(self.words), Counter(self.words)
+        self.needed = max(1, ceil(least * self.size - 1e-9))
+        self.signs = set(sorted(self.words, key=lambda w: (-len(w), w))[: self.size - self.needed + 1])
+        self.reach = (2 * self.size - self.needed + 1, 2 * self.size)
+
+    def align(self, have: list[str], start: int) -> tuple[int, int, int] | None:
+        """Words aligned, first and last word (in `have`) of the better window from `start` on; None if it has too few."""
+        best = None
+        for reach in self.reach:
+            pairs = align(have[start : start + reach], self.words)
+            if len(pairs) >= self.needed:
+                now = (len(pairs), start + pairs[0][0], start + pairs[-1][0])
+                best = now if best is None else max(best, now, key=dense)
+        return best
+
+    def starts(self, have: list[str]) -> Iterator[int]:
+        """Places of the template's words from which on a window holds as many of its words as a notice needs."""
+        at = [k for k, w in enumerate(have) if w in self.count]
+        seen, both, end = Counter(), 0, 0
+        for k, p in enumerate(at):
+            while end < len(at) and at[end] < p + self.reach[1]:
+                w = have[at[end]]
+                seen[w] += 1
+                both += seen[w] <= self.count[w]
+                end += 1
+            if both >= self.needed:
+                yield p
+            w = have[p]
+            both -= seen[w] <= self.count[w]
+            seen[w] -= 1
+
+    def notices(self, have: list[str]) -> Iterator[tuple[int, int, int]]:
+        """Words aligned, first and last word of the notices, from left to right."""
+        best = None
+        for p in self.starts(have):
+            if best is not None and p > best[2]:
+                yield best
+                best = None
+            if best is not None and best[0] == self.size == best[2] - best[1] + 1:
+                continue
+            now = self.align(have, p)
+            if now is not None and (best is None or now[1] <= best[2] and dense(now) > dense(best)):
+                best = now
+        if best is not None:
+            yield best
+
+
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...], least: float):
         import ahocorasick
 
-        self.least, self.templates = least, [(name, [w for w, _, _ in words(text)]) for name, text in templates]
+        self.templates = [t for t in (Template(name, text, least) for name, text in templates) if t.size]
         self.auto, of = ahocorasick.Automaton(), {}
-        for k, (_, own) in enumerate(self.templates):
-            longest = max(map(len, own))
-            for w in set(own):
-                if len(w) >= min(DISTINCT, longest):
-                    of.setdefault(w, []).append(k)
+        for k, t in enumerate(self.templates):
+            for w in t.signs:
+                of.setdefault(w, set()).add(k)
         for w, ks in of.items():
-            self.auto.add_word(w, (len(w), ks))
-        self.auto.make_automaton()
+            self.auto.add_word(w, ks)
+        if of:
+            self.auto.make_automaton()
 
     def __call__(self, text: str) -> list[dict]:
         low = text.lower()
         if len(low) != len(text):  # a letter whose lower case is longer
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        places: dict[int, list[tuple[int, int]]] = {}
-        for end, (size, ks) in self.auto.iter(low):
-            for k in ks:
-                places.setdefault(k, []).append((end + 1 - size, end + 1))
+        wanted: set[int] = set().union(*{id(ks): ks for _, ks in self.auto.iter(low)}.values()) if self.templates else set()
+        if not wanted:
+            return []
+        own = words(low)
+        have = [w for w, _, _ in own]
         found = []
-        for k, spots in places.items():
-            name, own = self.templates[k]
-            reach = sum(map(len, own)) + 3 * len(own) + 20
-            groups: list[list[int]] = []
-            for a, b in sorted(spots):
-                if groups and a - groups[-1][1] <= reach:
-                    groups[-1][1] = max(groups[-1][1], b)
-                else:
-                    groups.append([a, b])
-            for a, b in groups:
-                lo, hi = max(0, a - reach), min(len(low), b + reach)
-                found += self._in_region(name, own, low, lo, hi)
-        best: list[dict] = []
+        for k in sorted(wanted):
+            t = self.templates[k]
+            found += [{"license": t.license, "matched": n, "coverage": n / t.size, "start": own[a][1], "end": own[b][2]} for n, a, b in t.notices(have)]
+        starts: list[int] = []
+        ends: list[int] = []
+        out = []
         for x in sorted(found, key=lambda x: (-x["matched"], -x["coverage"], x["start"], x["license"])):  # of notices that overlap, the one with more words
-            if all(x["end"] <= y["start"] or x["start"] >= y["end"] for y in best):
-                best.append(x)
-        return sorted(({k: x[k] for k in ("license", "coverage", "start", "end")} for x in best), key=lambda x: (x["start"], x["license"]))
-
-    def _in_region(self, name: str, own: list[str], low: str, lo: int, hi: int) -> list[dict]:
-        out, todo, known_words = [], [(lo, hi)], set(own)
-        while todo:
-            lo, hi = todo.pop()
-            have = words(low[lo:hi])
-            known = [w in known_words for w, _, _ in have]
-            upto = [0, *accumulate(known)]
-            best = None
-            for p in compress(range(len(have)), known):  # a notice may start with any of its words: the first may be changed or missing
-                stop = min(p + 2 * len(own), len(have))
-                if upto[stop] - upto[p] < self.least * len(own):
-                    continue
-                part = have[p:stop]
-                pairs = align([w for w, _, _ in part], own)
-                if not pairs:
-                    continue
-                now = (len(pairs), lo + part[pairs[0][0]][1], lo + part[pairs[-1][0]][2])
-                if best is None or (now[0], now[1] - now[2]) > (best[0], best[1] - best[2]):  # of equals the shortest
-                    best = now
-            if best and best[0] >= self.least * len(own):
-                out.append({"license": name, "matched": best[0], "coverage": best[0] / len(own), "start": best[1], "end": best[2]})
-                todo += [(x, y) for x, y in ((lo, best[1]), (best[2], hi)) if y - x > len(own)]
-        return out
+            k = bisect_left(starts, x["start"])
+            if (k == 0 or ends[k - 1] <= x["start"]) and (k == len(starts) or x["end"] <= starts[k]):
+                starts.insert(k, x["start"])
+                ends.insert(k, x["end"])
+                out.append(x)
+        return sorted(({k: x[k] for k in ("license", "coverage", "start", "end")} for x in out), key=lambda x: (x["start"], x["license"]))
 
 
 NOTICES = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
