@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -185,9 +182,21 @@ def pick(value: Column, allowed: tuple[str, ...], default: str | None = None) ->
     return out
 
 
+# Forms in which a reply cites sources.
+CITED = r"\d+(?:\s*(?:,|;|&|and|to|-|–)\s*(?:[Ss]ources?\s*)?\d+)*"
+CITE_LINKED = r"(?i:\[Sources?\s*\d+\]\(#source-\d+\))"
+CITE_SQUARE = r"(?i:\[\s*Sources?\s*" + CITED + r"[^\[\]\n]{0,200}\](?!\())"
+CITE_ROUND = r"(?i:\(\s*Sources?\s*" + CITED + r"[^()\n]{0,120}\))"
+CITE_CORNER = r"(?i:【\s*Sources?\s*" + CITED + r"[^【】\n]{0,200}】)"
+CITE_NUMERIC = r"\[\d+(?:\s*,\s*\d+)*\](?![(:])"
+CITE_BARE = r"(?<![\[\w#-])Sources?\s+" + CITED + r"\b(?![\]\w])"
+CODE_BLOCK = r"(?s:```.*?```)"
+
+
 def cited_numbers(reply: Column) -> Column:
-    """The source numbers a reply cites, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(reply, F.lit(r"#source-(\d+)"), F.lit(1)), lambda x: x.cast("int"))))
+    """The source numbers a reply cites by a link or as `[Source n]`, sorted."""
+    some = F.concat(F.regexp_extract_all(reply, F.lit(r"#source-(\d+)"), F.lit(1)), F.regexp_extract_all(reply, F.lit(r"\[Source (\d+)\]"), F.lit(1)))
+    return F.array_sort(F.array_distinct(F.transform(some, lambda x: x.cast("int"))))
 
 
 def clause_numbers(text: Column) -> Column:
@@ -212,23 +221,38 @@ def party_address(header: Column, role: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(own, r"(?i)(?:address|residing at|located at)\s*:?\s*([^\n;]{5,160})", 1)), F.lit(""))
 
 
-def link_citations(replies, sources):
-    """Every `[Source 1]`, `[Sources 1, 3]` or `[1-3]` as `[Source n](#source-n)`; numbers beyond the sources stay plain, code stays as it is. An Arrow UDF: Spark has no replacement by function."""
-    form = re.compile(r"\[\s*(?:sources?\s*:?\s*)?((?:source\s*)?\d+(?:\s*(?:,|and|&|-|–|to)\s*(?:source\s*)?\d+)*)\s*\](?!\()", re.I)
-
-    def one(m: re.Match, n: int) -> str:
-        numbers: list[int] = []
-        for a, b in re.findall(r"(\d+)(?:\s*(?:-|–|to)\s*(?:source\s*)?(\d+))?", m[1], re.I):
-            lo, hi = int(a), int(b or a)
-            numbers += range(lo, min(hi, lo + 50) + 1) if hi >= lo else [lo, hi]
-        return ", ".join(f"[Source {k}](#source-{k})" if 1 <= k <= n else f"Source {k}" for k in dict.fromkeys(numbers))
-
-    @F.pandas_udf("string")
-    def run(reply: pd.Series, count: pd.Series) -> pd.Series:
-        out = []
-        for text, n in zip(reply, count, strict=True):
-            parts = re.split(r"(```.*?```|`[^`\n]*`)", text, flags=re.S) if text is not None else None
-            out.append(None if parts is None else "".join(p if k % 2 else form.sub(lambda m, n=n: one(m, int(n)), p) for k, p in enumerate(parts)))
-        return pd.Series(out, dtype=object)
-
-    return run(replies, sources)
+def link_citations(replies: Column, sources: Column) -> Column:
+    """A reply with its citations, in whatever form, as `[Source n](#source-n)`. Numbers beyond the `sources` stay plain and code blocks as they are; without sources nothing changes.
+
+    The reply is cut at its citations and code blocks, each of these is written anew, and all is joined again.
+    """
+    reply, n = F.coalesce(replies, F.lit("")), F.coalesce(sources.cast("int"), F.lit(0))
+    form = "|".join((CODE_BLOCK, CITE_LINKED, CITE_SQUARE, CITE_ROUND, CITE_CORNER, CITE_NUMERIC, CITE_BARE))
+    between, marks = F.split(reply, form, -1), F.regexp_extract_all(reply, F.lit(form), F.lit(0))
+    link = lambda k: F.concat(F.lit("[Source "), k.cast("string"), F.lit("](#source-"), k.cast("string"), F.lit(")"))
+    valid = lambda k: k.between(1, n)
+    links = lambda some: F.array_join(F.transform(F.filter(some, valid), link), ", ")
+
+    def spread(span: Column) -> Column:
+        """The numbers of `3` or, if it spans less than twenty, `1-3`."""
+        ends = F.transform(F.regexp_extract_all(span, F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("int"))
+        lo, hi = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
+        return F.when(hi.isNull(), F.array(lo)).when((hi - lo).between(1, 19), F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array(lo, hi))
+
+    def written(mark: Column) -> Column:
+        told = F.regexp_extract(mark, rf"^[\[(【]?\s*(?i:Sources?)?\s*({CITED})", 1)
+        numbers = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(told, F.lit(r"\d+(?:\s*(?:-|–|to)\s*(?:[Ss]ources?\s*)?\d+)?"), F.lit(0)), spread)))
+        linked = F.regexp_extract(mark, r"\(#source-(\d+)\)$", 1).try_cast("int")
+        first = F.regexp_extract(mark, r"^Sources?\s+(\d+)", 1).try_cast("int")
+        none, all_ = ~F.exists(numbers, valid), F.forall(numbers, valid)
+        boxed = F.when(none, F.concat(F.lit("Source "), F.array_join(F.transform(numbers, lambda k: k.cast("string")), ", "))).when(mark.startswith("("), F.concat(F.lit("("), links(numbers), F.lit(")"))).otherwise(links(numbers))
+        return (
+            F.when(mark.startswith("```"), mark)
+            .when(linked.isNotNull(), F.when(valid(linked), link(linked)).otherwise(F.concat(F.lit("Source "), linked.cast("string"))))
+            .when(mark.rlike(r"^\[\d"), F.when(all_, links(numbers)).otherwise(mark))
+            .when(first.isNotNull(), F.when(all_, links(numbers)).when(valid(first), F.concat(link(first), F.regexp_replace(mark, r"^Sources?\s+\d+", ""))).otherwise(mark))
+            .otherwise(boxed)
+        )
+
+    whole = F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(marks, lambda m, k: F.concat(written(m), F.coalesce(F.get(between, k + 1), F.lit("")))), ""))
+    return F.when(replies.isNotNull(), F.when(n > 0, whole).otherwise(reply))

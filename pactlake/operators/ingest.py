@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -84,7 +84,10 @@ def backfill(records: DataFrame, facts: DataFrame, force: bool = False) -> DataF
 
 def outcome(results: DataFrame) -> DataFrame:
     """status and number of documents of a batch, with up to 20 names."""
-    return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("filename")), 1, 20).alias("some"))
+    place = F.row_number().over(Window.partitionBy("status").orderBy("filename"))
+    names = results.where(F.col("filename").isNotNull()).select("status", "filename").distinct().withColumn("_n", place).where(F.col("_n") <= 20)
+    some = names.groupBy("status").agg(F.array_sort(F.collect_list("filename")).alias("some"))
+    return results.groupBy("status").agg(F.count(F.lit(1)).alias("n")).join(some, "status", "left").withColumn("some", F.coalesce("some", F.array().cast("array<string>")))
 
 
 def can_skip(change: Column, state: Column) -> Column:
@@ -107,6 +110,11 @@ def listing_status(files: DataFrame, most_bytes: int = 50 << 20) -> DataFrame:
     return seen.withColumn("status", F.when(F.lower(name).rlike(r"\.(pdf|txt)$") & (F.col("length") <= most_bytes), "accepted").otherwise("skipped"))
 
 
+def lookup(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Records of the contracts in `wanted` (contract_id)."""
+    return records.join(wanted.select("contract_id").distinct(), "contract_id", "left_semi")
+
+
 def newest_first(records: DataFrame) -> DataFrame:
     return records.orderBy(F.coalesce("updated_at", "created_at", F.lit("")).desc(), "contract_id")
 

@@ -117,21 +117,20 @@ def ranked(contracts: DataFrame, spec: Spec) -> DataFrame:
     rows = contracts.where(value.isNotNull())
     turn = (lambda c: c.desc()) if spec.order == "desc" else (lambda c: c.asc())
     if by == "contract_value":
-        rows, keys, edge = rows.withColumn("currency_group", currency_group(F.col("currency"))), [value], value
+        rows, keys = rows.withColumn("currency_group", currency_group(F.col("currency"))), [value]
     elif by in RISK_FIELDS:
-        rows, keys, edge = rows.withColumn("currency_group", F.lit("")), [F.coalesce(F.col(c), F.lit(0)) for c in TIES[by]], value
+        rows, keys = rows.withColumn("currency_group", F.lit("")), [F.coalesce(F.col(c), F.lit(0)) for c in TIES[by]]
     else:
-        low = F.lower(value.cast("string"))
-        rows, keys, edge = rows.withColumn("currency_group", F.lit("")), [low], value
-    group = Window.partitionBy("currency_group")
-    place = F.row_number().over(group.orderBy(*map(turn, keys), "contract_id"))
-    rows = rows.withColumn("position", place)
-    if spec.offset:
-        rows = rows.where(F.col("position") > spec.offset)
+        rows, keys = rows.withColumn("currency_group", F.lit("")), [F.lower(value.cast("string"))]
+    group, last = Window.partitionBy("currency_group"), spec.offset + (spec.limit or 0)
     if spec.limit:
-        # rank over what the offset left; row_number bounds what is sorted once more
-        rows = rows.withColumn("_rank", F.rank().over(group.orderBy(turn(edge)))).where(F.col("_rank") <= spec.limit).drop("_rank")
-    return rows
+        # each task passes on no more than the first ones and their ties, so a whole group is never in one task
+        rows = rows.withColumn("_rank", F.rank().over(group.orderBy(turn(keys[0])))).where(F.col("_rank") <= last).drop("_rank")
+    rows = rows.withColumn("position", F.row_number().over(group.orderBy(*map(turn, keys), "contract_id")))
+    if spec.limit:
+        rows = rows.withColumn("_edge", F.max(F.when(F.col("position") == last, value)).over(group))
+        rows = rows.where((F.col("position") <= last) | (value == F.col("_edge"))).drop("_edge")
+    return rows.where(F.col("position") > spec.offset) if spec.offset else rows
 
 
 def too_few(contracts: DataFrame, spec: Spec) -> DataFrame:
@@ -154,6 +153,10 @@ def totals(contracts: DataFrame, spec: Spec) -> DataFrame:
 
 
 def count(contracts: DataFrame, spec: Spec) -> DataFrame:
+    if spec.sort_by and not spec.limit:  # no ranking is needed to count what is behind the offset
+        key = currency_group(F.col("currency")) if spec.sort_by == "contract_value" else F.lit("")
+        per = contracts.where(F.col(spec.sort_by).isNotNull()).groupBy(key.alias("_g")).agg(F.count(F.lit(1)).alias("n"))
+        return per.agg(F.coalesce(F.sum(F.greatest(F.col("n") - spec.offset, F.lit(0))), F.lit(0)).alias("n"))
     rows = ranked(contracts, spec) if spec.sort_by else contracts
     return rows.agg(F.count(F.lit(1)).alias("n"))
 
@@ -163,14 +166,12 @@ def grouped(contracts: DataFrame, spec: Spec) -> DataFrame:
     label = F.col(spec.group_by)
     rows = contracts.where(label.isNotNull()).withColumn("key", norm_name(label))
     money = F.sum(F.col("contract_value").cast("decimal(18,2)")).cast("decimal(38,2)")
-    per = rows.groupBy("key", currency_group(F.col("currency")).alias("cur")).agg(F.count(F.lit(1)).alias("n"), money.alias("total"), F.min(F.struct("contract_id", label.alias("display"))).alias("first"), F.slice(F.array_sort(F.collect_list(F.struct("contract_id", "filename"))), 1, 6).alias("some"))
-    out = per.groupBy("key").agg(
-        F.sum("n").alias("n"),
-        F.min("first")["display"].alias("display"),
-        F.array_sort(F.collect_list(F.when(F.col("total").isNotNull(), F.struct("cur", "total")))).alias("_t"),
-        F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, 6).alias("_s"),
-    )
-    out = out.select("key", "display", "n", F.map_from_entries("_t").alias("totals"), F.transform("_s", lambda x: x["filename"]).alias("names"))
+    per = rows.groupBy("key", currency_group(F.col("currency")).alias("cur")).agg(F.count(F.lit(1)).alias("n"), money.alias("total"), F.min(F.struct("contract_id", label.alias("display"))).alias("first"))
+    out = per.groupBy("key").agg(F.sum("n").alias("n"), F.min("first")["display"].alias("display"), F.array_sort(F.collect_list(F.when(F.col("total").isNotNull(), F.struct("cur", "total")))).alias("_t"))
+    # six names of each group: each task passes on six at most
+    some = rows.select("key", "contract_id", "filename", F.row_number().over(Window.partitionBy("key").orderBy("contract_id")).alias("_n")).where(F.col("_n") <= 6)
+    names = some.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "filename"))), lambda x: x["filename"]).alias("names"))
+    out = out.join(names, "key").select("key", "display", "n", F.map_from_entries("_t").alias("totals"), "names")
     if spec.limit:
         turn = F.col("n").desc() if spec.order == "desc" else F.col("n").asc()
         out = out.withColumn("_r", F.rank().over(Window.orderBy(turn))).where(F.col("_r") <= spec.limit).drop("_r")  # over groups, not contracts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,15 +71,21 @@ def par_assign_pages(spark: SparkSession, d: str) -> DataFrame:
     return parsing.assign_pages(named, pages).select("contract_id", "clause_id", F.col("page").alias("page"))
 
 
-_PAGES = 4
+_PER_PAGE = 3
+_NUMBERED_SQL = "CASE contract_id % 4 WHEN 0 THEN 'Page ' || page_no || ' of ' || n WHEN 1 THEN '- ' || page_no || ' -' WHEN 2 THEN page_no::VARCHAR ELSE page_no || '/' || n END"
 
 
-@query("WITH " + CONTRACTS_SQL + f", p AS (SELECT contract_id, unnest(range(1, {_PAGES + 1})) AS page_no FROM contracts WHERE contract_id % 10 = 1) SELECT contract_id, page_no::INT AS page_no, CASE WHEN page_no = 1 THEN 'Agreement ' || contract_id || chr(10) ELSE '' END || 'Body text number ' || page_no || ' of the contract goes on here.' AS text FROM p")
+@query("WITH " + CLAUSES_SQL + f", p AS (SELECT contract_id, 1 + (clause_id - 1) // {_PER_PAGE} AS page_no, string_agg(text, chr(10) ORDER BY clause_id) AS body FROM clauses GROUP BY 1, 2) SELECT contract_id, page_no::INT AS page_no, CASE WHEN page_no = 1 THEN 'Loan agreement no. ' || contract_id || ', confidential' || chr(10) ELSE '' END || body AS text FROM p")
 def par_furniture(spark: SparkSession, d: str) -> DataFrame:
-    base = view.contracts(spark, d).where("contract_id % 10 = 1").select("contract_id", F.explode(F.sequence(F.lit(1), F.lit(_PAGES))).alias("page_no"))
-    no = F.col("page_no").cast("string")
-    body = F.concat(F.lit("Agreement "), F.col("contract_id").cast("string"), F.lit("\nBody text number "), no, F.lit(" of the contract goes on here.\nPage "), no, F.lit(f" of {_PAGES}"))
-    return parsing.strip_furniture(base.withColumn("text", body))
+    """Each contract's clauses, three to a page, with a header and a page number in one of four forms, at the top or at the bottom."""
+    own = view.clauses(spark, d).withColumn("page_no", (1 + F.floor((F.col("clause_id") - 1) / _PER_PAGE)).cast("int"))
+    body = own.groupBy("contract_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clause_id", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    pages = body.join(own.groupBy("contract_id").agg(F.max("page_no").cast("string").alias("n")), "contract_id")
+    no, kind = F.col("page_no").cast("string"), F.col("contract_id") % 4
+    number = F.when(kind == 0, F.concat(F.lit("Page "), no, F.lit(" of "), "n")).when(kind == 1, F.concat(F.lit("- "), no, F.lit(" -"))).when(kind == 2, no).otherwise(F.concat(no, F.lit("/"), "n"))
+    header = F.concat(F.lit("Loan agreement no. "), F.col("contract_id").cast("string"), F.lit(", confidential"))
+    top = F.col("contract_id") % 3 == 0
+    return parsing.strip_furniture(pages.select("contract_id", "page_no", F.concat_ws("\n", F.when(top, number), header, "body", F.when(~top, number)).alias("text")))
 
 
 # ------------------------------------------------------------- parsing over documents
@@ -100,11 +107,26 @@ def src_scanned_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", parsing.looks_scanned(F.col("text")).alias("scanned"))
 
 
-@query("SELECT doc_id AS contract_id, CASE WHEN doc_id % 2 = 0 AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) > length(regexp_replace(substr(text, 1, 20), '[^A-Za-z0-9]', '', 'g')) THEN length(text) ELSE least(length(text), 20) END::INT AS n, doc_id % 2 = 0 AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) > length(regexp_replace(substr(text, 1, 20), '[^A-Za-z0-9]', '', 'g')) AS ocr_used FROM documents")
-def src_merge_ocr(spark: SparkSession, d: str) -> DataFrame:
+_ALNUM = "length(regexp_replace({}, '[^A-Za-z0-9]', '', 'g'))"
+_OCR_SQL = f"""read AS (SELECT doc_id AS contract_id, text AS ocr, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '[A-Za-z0-9]', '', 'g') ELSE text END AS text FROM documents),
+ merged AS (SELECT contract_id, coalesce(contract_id % 2 = 0 AND {_ALNUM.format("text")} < 80 AND {_ALNUM.format("ocr")} > {_ALNUM.format("text")}, false) AS ocr_used, ocr, text FROM read)"""
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as a page, every third without its letters, and a reading of every second by OCR."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("contract_id"), F.lit(1).alias("page_no"), "text")
-    out = parsing.merge_ocr(docs.withColumn("text", F.substring("text", 1, 20)), docs.where("contract_id % 2 = 0"))
-    return out.select("contract_id", F.length("text").alias("n"), F.coalesce("ocr_used", F.lit(False)).alias("ocr_used"))
+    lost = docs.withColumn("text", F.when(F.col("contract_id") % 3 == 0, F.regexp_replace("text", "[A-Za-z0-9]", "")).otherwise(F.col("text")))
+    return parsing.merge_ocr(lost, docs.where("contract_id % 2 = 0"))
+
+
+@query("WITH " + _OCR_SQL + " SELECT contract_id, md5(CASE WHEN ocr_used THEN ocr ELSE text END) AS text, ocr_used FROM merged")
+def src_merge_ocr(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).select("contract_id", F.md5(F.col("text").cast("binary")).alias("text"), F.coalesce("ocr_used", F.lit(False)).alias("ocr_used"))
+
+
+@query("WITH " + _OCR_SQL + " SELECT contract_id, ocr_used AS used, ocr_used::BIGINT AS pages, CASE WHEN ocr_used THEN length(ocr) ELSE 0 END::BIGINT AS characters FROM merged")
+def src_ocr_summary(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.ocr_summary(_merged(spark, d))
 
 
 @query("SELECT doc_id AS contract_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents")
@@ -112,18 +134,29 @@ def par_join_pages(spark: SparkSession, d: str) -> DataFrame:
     return parsing.join_pages(_lines(spark, d).select("contract_id", F.col("pos").alias("page_no"), "text"))
 
 
-_OWN, _KEPT = (f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]{{3,}}'))" for x in ("text", "substr(text, 1, 400)"))
+_OWN, _KEPT = (f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]{{3,}}'))" for x in ("text", "regexp_replace(text, '[A-Za-z0-9]*t[ie][A-Za-z0-9]*', ' ', 'g')"))
 
 
 @query(f"SELECT doc_id, CASE WHEN len(o) = 0 THEN 1.0::DOUBLE ELSE round(1 - len(m)::DOUBLE / len(o), 3) END AS ratio, CASE WHEN len(o) = 0 THEN true ELSE 1 - len(m)::DOUBLE / len(o) >= 0.95 END AS ok, array_to_string(list_slice(list_sort(m), 1, 20), ',') AS missing FROM (SELECT doc_id, {_OWN} AS o, list_filter({_OWN}, lambda x: NOT list_contains({_KEPT}, x)) AS m FROM documents)")
 def par_coverage(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("contract_id"), "text")
-    out = parsing.coverage(docs, docs.withColumn("text", F.substring("text", 1, 400)))
+    out = parsing.coverage(docs, docs.withColumn("text", F.regexp_replace("text", "[A-Za-z0-9]*t[ie][A-Za-z0-9]*", " ")))  # words that a splitter lost
     return out.select(F.col("contract_id").alias("doc_id"), "ratio", "ok", F.array_join("missing_sample", ",").alias("missing"))
 
 
 # ------------------------------------------------------------- ingest
 
+
+@query("SELECT doc_id AS contract_id, sha256(text) AS content_hash FROM documents")
+def ing_content_hash(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("contract_id"), ingest.content_hash(F.col("text").cast("binary")).alias("content_hash"))
+
+
+@query("WITH " + CONTRACTS_SQL + " SELECT contract_id, coalesce(updated_at, created_at, '') AS \"at\" FROM contracts")
+def qry_listing(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.newest_first(view.contracts(spark, d)).select("contract_id", F.coalesce("updated_at", "created_at", F.lit("")).alias("at"))
+
+
 _RECORDS = r"records AS (SELECT doc_id AS contract_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS content_hash, source AS updated_at, lang FROM documents)"
 
 
@@ -218,10 +251,34 @@ def ret_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.hybrid(talk.where("role <> 'user'"), asked, 5)
 
 
-@query(r"WITH k AS (SELECT *, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k FROM documents), g AS (SELECT lang, k, min(doc_id) AS contract_id, array_to_string(list_slice(list(DISTINCT doc_id ORDER BY doc_id), 2, 100000), ',') AS also_in FROM k WHERE k <> '' GROUP BY 1, 2) SELECT lang, contract_id, also_in FROM g")
+_WORDING = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
+
+
+@query(f"WITH k AS (SELECT *, {_WORDING} AS k FROM documents), g AS (SELECT lang, k, min(doc_id) AS contract_id, count(DISTINCT doc_id) AS n_contracts, array_to_string(list_slice(list(DISTINCT doc_id ORDER BY doc_id), 2, 31), ',') AS also_in FROM k WHERE k <> '' GROUP BY 1, 2) SELECT lang, contract_id, n_contracts, also_in FROM g")
 def ret_merge_identical(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("lang", F.col("doc_id").alias("place"), F.col("doc_id").alias("contract_id"), F.lit("1").alias("passage_id"), "text")
-    return retrieval.merge_identical(docs, "lang").select("lang", "contract_id", F.array_join("also_in", ",").alias("also_in"))
+    return retrieval.merge_identical(docs, "lang").select("lang", "contract_id", "n_contracts", F.array_join("also_in", ",").alias("also_in"))
+
+
+@query(f"SELECT DISTINCT lang, sha256({_WORDING}) AS wording, doc_id AS contract_id FROM documents WHERE {_WORDING} <> ''")
+def ret_wordings(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.wordings(table(spark, d, "documents").select("lang", F.col("doc_id").alias("contract_id"), "text"), "lang")
+
+
+_CITES = ("As [Source {0} | a.pdf | clause 3] says.", "See (Sources {0} and 2).", "Per Source {0}, it ends.", "In [Sources {0}-{1}] and [{0}].", "Right [Source {0}](#source-{0}), 【Source {0}】.")
+
+
+@query("WITH " + CLAUSES_SQL + """, n AS (SELECT contract_id, clause_id, 4 AS n FROM clauses), l AS (SELECT *, '[Source ' || clause_id || '](#source-' || clause_id || ')' AS a, '[Source ' || clause_id + 1 || '](#source-' || clause_id + 1 || ')' AS b FROM n)
+ SELECT contract_id, clause_id, CASE clause_id % 5
+ WHEN 0 THEN 'As ' || CASE WHEN clause_id <= n THEN a ELSE 'Source ' || clause_id END || ' says.'
+ WHEN 1 THEN 'See (' || CASE WHEN clause_id <= n THEN a || ', ' ELSE '' END || '[Source 2](#source-2)).'
+ WHEN 2 THEN 'Per ' || CASE WHEN clause_id <= n THEN a ELSE 'Source ' || clause_id END || ', it ends.'
+ WHEN 3 THEN 'In ' || CASE WHEN clause_id + 1 <= n THEN a || ', ' || b WHEN clause_id <= n THEN a ELSE 'Source ' || clause_id || ', ' || clause_id + 1 END || ' and ' || CASE WHEN clause_id <= n THEN a ELSE '[' || clause_id || ']' END || '.'
+ ELSE 'Right ' || CASE WHEN clause_id <= n THEN a || ', ' || a ELSE 'Source ' || clause_id || ', Source ' || clause_id END || '.' END AS text FROM l""")
+def fn_link_citations(spark: SparkSession, d: str) -> DataFrame:
+    no = F.col("clause_id")
+    said = [F.format_string(c.replace("{0}", "%1$d").replace("{1}", "%2$d"), no, no + 1) for c in _CITES]
+    return view.clauses(spark, d).select("contract_id", "clause_id", tx.link_citations(F.element_at(F.array(*said), (no % 5 + 1).cast("int")), F.lit(4)).alias("text"))
 
 
 @query("SELECT conv_id AS query_id, turn AS place FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS t FROM conversations) WHERE t <= 400")
@@ -297,16 +354,31 @@ _ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, " + ", ".joi
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    """A question for each conversation's user turn."""
+    """Each user turn's own text (own), and a question put in its place."""
     turns = table(spark, d, "conversations").where("role = 'user'")
     text = F.element_at(F.array(*[F.lit(a[0]) for a in _ASKED]), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_ASKED))).cast("int") + 1)
-    return turns.select("conv_id", "turn", text.alias("question"))
+    return turns.select("conv_id", "turn", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("text").alias("question")), F.struct(F.lit(False).alias("own"), text.alias("question")))).alias("q")).select("conv_id", "turn", "q.*")
 
 
-@query("WITH " + _ASKED_SQL + f' SELECT conv_id, turn, operation, sort_by, "order", "limit"::INT AS "limit", "offset"::INT AS "offset", CASE WHEN operation IS NULL THEN \'semantic\' ELSE \'structured\' END AS route FROM conversations JOIN asked ON (conv_id + turn) % {len(_ASKED)} = k WHERE role = \'user\'')
+# the rules' words in SQL, without look-behind
+_LEAST = r"regexp_matches(low, '\b(lowest|smallest|minimum|min)\b') OR regexp_matches(regexp_replace(low, '\bat least\b', '', 'g'), '\bleast\b')"
+_MOST = r"regexp_matches(low, '\b(highest|largest|biggest|maximum|max|most valuable)\b') OR regexp_matches(low, '\bworth the most\b') OR regexp_matches(low, '\bmost (?:money|expensive)\b')"
+_RULED_SQL = f"""said AS (SELECT conv_id, turn, trim(text) AS q, lower(trim(text)) AS low FROM conversations WHERE role = 'user'),
+ parts AS (SELECT *, coalesce(map {{{', '.join(f"'{w}': {n}" for w, n in routing.ORDINAL_OFFSET)}}}[regexp_extract(low, '\\b({"|".join(w for w, _ in routing.ORDINAL_OFFSET)})\\b', 1)], 0) AS o,
+  coalesce(nullif(regexp_extract(low, '\\btop\\s+(\\d{{1,2}})\\b', 1), ''), nullif(regexp_extract(low, '\\b(\\d{{1,2}})\\s+(?:largest|biggest|highest|smallest|lowest)\\b', 1), ''))::INT AS top FROM said),
+ cut AS (SELECT *, CASE WHEN o > 0 THEN 1 WHEN top IS NOT NULL THEN top WHEN regexp_matches(low, '\\bcontracts\\b|\\bloans\\b|\\bamounts\\b') THEN NULL ELSE 1 END AS lim FROM parts),
+ ruled AS (SELECT *, CASE WHEN regexp_matches(q, '{routing.PLAIN_COUNT}') THEN 'count' WHEN regexp_matches(q, '{routing.NOT_AMOUNT}') OR NOT regexp_matches(q, '{routing.AMOUNT_WORDS}') THEN NULL
+  WHEN regexp_matches(low, '\\b(?:number|count) of (?:contracts|loans|agreements)\\b') THEN 'count' WHEN regexp_matches(low, '\\b(total|sum|combined|altogether)\\b') THEN 'sum' WHEN regexp_matches(low, '\\b(average|mean)\\b') THEN 'average'
+  WHEN {_MOST} THEN 'most' WHEN {_LEAST} THEN 'least' WHEN top IS NOT NULL THEN 'top' END AS rule FROM cut),
+ own AS (SELECT conv_id, turn, CASE rule WHEN 'most' THEN 'list' WHEN 'least' THEN 'list' WHEN 'top' THEN 'list' ELSE rule END AS operation, CASE WHEN rule IN ('most', 'least', 'top') THEN 'contract_value' END AS sort_by,
+  CASE WHEN rule IS NULL THEN NULL WHEN rule = 'least' THEN 'asc' ELSE 'desc' END AS "order", CASE WHEN rule IN ('most', 'least', 'top') THEN lim END AS "limit", CASE WHEN rule IN ('most', 'least') THEN o WHEN rule IS NOT NULL THEN 0 END AS "offset",
+  CASE WHEN rule IS NULL OR rule IN ('most', 'least', 'top') AND regexp_matches(q, '{routing.NOT_AMOUNT}') THEN 'semantic' ELSE 'structured' END AS route FROM ruled)"""
+
+
+@query("WITH " + _ASKED_SQL + ", " + _RULED_SQL + f' SELECT conv_id, turn, false AS own, operation, sort_by, "order", "limit"::INT AS "limit", "offset"::INT AS "offset", CASE WHEN operation IS NULL THEN \'semantic\' ELSE \'structured\' END AS route FROM conversations JOIN asked ON (conv_id + turn) % {len(_ASKED)} = k WHERE role = \'user\' UNION ALL SELECT conv_id, turn, true, operation, sort_by, "order", "limit"::INT, "offset"::INT, route FROM own')
 def rte_rules(spark: SparkSession, d: str) -> DataFrame:
     out = routing.check_spec(routing.route(_questions(spark, d)))
-    return out.select("conv_id", "turn", *[F.col(f"spec.{c}").alias(c) for c in ("operation", "sort_by", "order", "limit", "offset")], "route")
+    return out.select("conv_id", "turn", "own", *[F.col(f"spec.{c}").alias(c) for c in ("operation", "sort_by", "order", "limit", "offset")], "route")
 
 
 @query(r"SELECT conv_id, turn, regexp_matches(text, '(?i)\b(which|what|any|all|every|each|how many)\b[^?]*\bcontracts\b|\bany contract\b|\bevery contract\b|\beach contract\b|\bacross\b|\bcompare\b') AS across_all FROM conversations")
@@ -321,28 +393,35 @@ def rte_named(spark: SparkSession, d: str) -> DataFrame:
     return routing.named_contracts(asked, c)
 
 
-@query("WITH " + CONTRACTS_SQL + " SELECT contract_id AS query_id, lender_name FROM contracts WHERE contract_id % 50 = 1 AND lender_name IS NOT NULL")
+@query("WITH " + CONTRACTS_SQL + " SELECT contract_id AS query_id, lender_name FROM contracts WHERE contract_id % 50 = 0 AND lender_name IS NOT NULL")
 def rte_lenders(spark: SparkSession, d: str) -> DataFrame:
     c = view.contracts(spark, d)
-    asked = c.where("contract_id % 50 = 1").select(F.col("contract_id").alias("query_id"), F.concat(F.lit("tell me about "), F.coalesce("lender_name", F.lit("nobody"))).alias("question"))
+    asked = c.where("contract_id % 50 = 0").select(F.col("contract_id").alias("query_id"), F.concat(F.lit("tell me about "), F.coalesce("lender_name", F.lit("nobody"))).alias("question"))
     return routing.lenders_named(asked, c)
 
 
-@query("WITH " + CONTRACTS_SQL + " SELECT contract_id, customer_name || ' is the borrower of **' || filename || '**' || CASE WHEN end_date IS NOT NULL THEN ', running ' || start_date || ' to ' || end_date ELSE '' END || '.' AS said FROM contracts WHERE contract_value IS NULL")
+_MONEY_SQL = "CASE WHEN currency = 'USD' THEN '$' || format('{:,.2f}', contract_value) WHEN currency = 'INR' THEN '₹' || format('{:,.2f}', contract_value) WHEN currency = 'EUR' THEN '€' || format('{:,.2f}', contract_value) ELSE trim(format('{:,.2f}', contract_value) || ' ' || coalesce(currency, '')) END"
+
+
+@query("WITH " + CONTRACTS_SQL + f" SELECT contract_id, customer_name || ' is the borrower of **' || filename || '**' || CASE WHEN contract_value IS NOT NULL THEN ' for **' || {_MONEY_SQL} || '**' ELSE '' END || CASE WHEN end_date IS NOT NULL THEN ', running ' || start_date || ' to ' || end_date ELSE '' END || '.' AS said FROM contracts")
 def qry_describe(spark: SparkSession, d: str) -> DataFrame:
-    c = view.contracts(spark, d).where("contract_value is null")
+    c = view.contracts(spark, d)
     return c.select("contract_id", routing.describe(c).alias("said"))
 
 
 # ------------------------------------------------------------- policy library over parts
 
-_LIB_SQL = "labels AS (SELECT DISTINCT p_size AS id, CASE WHEN p_size > 10 THEN p_size // 2 END AS parent_id FROM part UNION SELECT id, CASE WHEN id > 10 THEN id // 2 END FROM range(1, 51) t(id)), policies AS (SELECT p_partkey AS id, p_size AS label, p_partkey % 3 AS lvl FROM part)"
+_UP_SQL = "SELECT CASE WHEN id > 10 THEN id // 2 END AS id FROM "
+_LIB_SQL = f"l0 AS (SELECT DISTINCT p_size AS id FROM part), l1 AS ({_UP_SQL}l0), l2 AS ({_UP_SQL}l1), l3 AS ({_UP_SQL}l2), labels AS (SELECT DISTINCT id, CASE WHEN id > 10 THEN id // 2 END AS parent_id FROM (SELECT id FROM l0 UNION SELECT id FROM l1 UNION SELECT id FROM l2 UNION SELECT id FROM l3) WHERE id IS NOT NULL), policies AS (SELECT p_partkey AS id, p_size AS label, p_partkey % 3 AS lvl FROM part)"
 
 
 def _library(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as policies under the label of their size; sizes over ten, and what is above them, have half their number as parent."""
     part = table(spark, d, "part")
-    ids = spark.range(1, 51).select(F.col("id").cast("int").alias("id")).unionByName(part.select(F.col("p_size").cast("int").alias("id"))).distinct()
-    labels = ids.select("id", F.when(F.col("id") > 10, F.floor(F.col("id") / 2).cast("int")).alias("parent_id"))
+    up = lambda c: F.when(c > 10, F.floor(c / 2).cast("int"))
+    size = F.col("p_size").cast("int")
+    ids = part.select(F.explode(F.array_compact(F.array(size, up(size), up(up(size)), up(up(up(size)))))).alias("id")).distinct()
+    labels = ids.select("id", up(F.col("id")).alias("parent_id"))
     level = F.element_at(F.array(F.lit("low"), F.lit("high"), F.lit("medium")), (F.col("p_partkey") % 3).cast("int") + 1)
     policies = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), level.alias("risk_level"), F.array(F.col("p_size").cast("int")).alias("label_ids"))
     roots = labels.where("parent_id is null and id % 2 = 0").select(F.col("id").alias("root_id"), F.concat(F.lit("Domain "), F.col("id").cast("string")).alias("domain"))
@@ -385,9 +464,9 @@ def pol_delete_label(spark: SparkSession, d: str) -> DataFrame:
 def str_daily(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/[e]vents.parquet")
-    name = f"daily_{uuid.uuid4().hex}"
-    q = streams.daily(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(600)
-    return spark.table(name).withColumn("day", F.col("day").cast("timestamp_ntz")).withColumn("total", F.col("total").cast("decimal(28,4)"))
-
-
+    base = spark.conf.get("spark.checkpoint.dir", "") or str(spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) or tempfile.mkdtemp(prefix="spark-stream-"))
+    base = f"{base.rstrip('/')}/daily-{uuid.uuid4().hex}"
+    q = streams.daily(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.schema("day timestamp, event_type string, n long, total decimal(28,4)").parquet(f"{base}/out")
+    return out.withColumn("day", F.col("day").cast("timestamp_ntz")).withColumn("total", F.col("total").cast("decimal(28,4)"))

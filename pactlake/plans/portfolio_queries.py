@@ -10,6 +10,7 @@ from ..operators import classify as cl
 from ..operators import compare as cmp
 from ..operators import conversations as conv
 from ..operators import dashboards as dash
+from ..operators import ingest as ing
 from ..operators import policy as pol
 from ..operators import portfolio as pf
 from . import view
@@ -118,9 +119,14 @@ def pol_clause_matches(spark: SparkSession, d: str) -> DataFrame:
     return out.select("contract_id", "clause_id", F.array_join("matched_policies", ",").alias("matched_policies"))
 
 
-@query("WITH " + EVALUATED_SQL + " SELECT contract_id, count(*) AS keyword_checks, count(*) AS total_checks FROM evaluated GROUP BY 1")
+@query("WITH " + EVALUATED_SQL + ", e AS (SELECT *, clause_id % 2 = 0 AND length(check_id) % 2 = 0 AS told FROM evaluated), f AS (SELECT *, bool_or(told) OVER (PARTITION BY contract_id, clause_id) AS asked FROM e) SELECT contract_id, count(*) FILTER (NOT asked) AS keyword_checks, count(*) AS total_checks, count(*) FILTER (asked AND NOT told) AS left_out FROM f GROUP BY 1")
 def pol_fallback_counts(spark: SparkSession, d: str) -> DataFrame:
-    return pol.fallback_counts(pol.evaluate(classified(spark, d), pol.default_checks(spark)))
+    """A model answered for every second clause, and left out some of its checks."""
+    clauses, checks = classified(spark, d), pol.default_checks(spark)
+    told = clauses.where("clause_id % 2 = 0").select("contract_id", "clause_id", "domain").join(checks.where(F.length("check_id") % 2 == 0).select("domain", "check_id"), "domain")
+    evaluated = pol.evaluate(clauses, checks, told.select("contract_id", "clause_id", "check_id", F.lit(True).alias("matched"), F.lit("ok").alias("reason")))
+    left_out = evaluated.groupBy("contract_id").agg(F.count_if((F.col("method") == "keyword") & ~F.col("call_failed")).alias("left_out"))
+    return pol.fallback_counts(evaluated).join(left_out, "contract_id")
 
 
 def _applicability(spark: SparkSession, d: str) -> DataFrame:
@@ -203,18 +209,18 @@ def qry_totals_of_largest(spark: SparkSession, d: str) -> DataFrame:
     return pf.run(light(spark, d), pf.Spec(operation="average", limit=3))
 
 
-_FILTERS = (pf.Filter("lender_name", "contains", "bank of a"), pf.Filter("contract_value", "greater_than", "$150k"), pf.Filter("end_date", "before", "1997"))
+_FILTERS = (pf.Filter("lender_name", "contains", "Bank of NATION_1"), pf.Filter("contract_value", "greater_than", "$150k"), pf.Filter("end_date", "before", "1997"))
 _LENDER = "trim(regexp_replace(regexp_replace(lower(lender_name), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-@query("WITH " + CONTRACTS_SQL + f" SELECT contract_id, filename, lender_name, contract_value, end_date FROM contracts WHERE contains({_LENDER}, 'bank of a') AND contract_value > 150000 AND end_date < '1997-01-01'")
+@query("WITH " + CONTRACTS_SQL + f" SELECT contract_id, filename, lender_name, contract_value, end_date FROM contracts WHERE contains({_LENDER}, 'bank of nation 1') AND contract_value > 150000 AND end_date < '1997-01-01'")
 def qry_filters(spark: SparkSession, d: str) -> DataFrame:
     return pf.run(light(spark, d), pf.Spec(filters=_FILTERS))
 
 
 @query("WITH " + CONTRACTS_SQL + f""" SELECT contract_id, 'lender_name' AS field FROM contracts WHERE lender_name IS NULL
- UNION ALL SELECT contract_id, 'contract_value' FROM contracts WHERE contains({_LENDER}, 'bank of a') AND contract_value IS NULL
- UNION ALL SELECT contract_id, 'end_date' FROM contracts WHERE contains({_LENDER}, 'bank of a') AND contract_value > 150000 AND end_date IS NULL""")
+ UNION ALL SELECT contract_id, 'contract_value' FROM contracts WHERE contains({_LENDER}, 'bank of nation 1') AND contract_value IS NULL
+ UNION ALL SELECT contract_id, 'end_date' FROM contracts WHERE contains({_LENDER}, 'bank of nation 1') AND contract_value > 150000 AND end_date IS NULL""")
 def qry_unknown(spark: SparkSession, d: str) -> DataFrame:
     return pf.unknown(light(spark, d), _FILTERS)
 
@@ -298,7 +304,7 @@ def cmp_term_status(spark: SparkSession, d: str) -> DataFrame:
     return cmp.term_status(_pairs(spark, d), cmp.terms(view.clauses(spark, d))).select("id_1", "id_2", "term_key", "status")
 
 
-@query("WITH " + CLASSIFIED_SQL + ", " + _PAIRS_SQL + ", s AS (SELECT contract_id, domain, count(*) AS t, count(*) FILTER (risk_level = 'High') AS h FROM classified GROUP BY 1, 2), x AS (SELECT id_1, id_2, domain, t, h FROM pairs JOIN s ON contract_id = id_1), y AS (SELECT id_1, id_2, domain, t, h FROM pairs JOIN s ON contract_id = id_2) SELECT id_1, id_2, domain, coalesce(x.t, 0) AS total_1, coalesce(x.h, 0) AS high_1, coalesce(y.t, 0) AS total_2, coalesce(y.h, 0) AS high_2 FROM x FULL JOIN y USING (id_1, id_2, domain)")
+@query("WITH " + CLASSIFIED_SQL + ", " + _PAIRS_SQL + ", s AS MATERIALIZED (SELECT contract_id, domain, count(*) AS t, count(*) FILTER (risk_level = 'High') AS h FROM classified GROUP BY 1, 2), x AS (SELECT id_1, id_2, domain, t, h FROM pairs JOIN s ON contract_id = id_1), y AS (SELECT id_1, id_2, domain, t, h FROM pairs JOIN s ON contract_id = id_2) SELECT id_1, id_2, domain, coalesce(x.t, 0) AS total_1, coalesce(x.h, 0) AS high_1, coalesce(y.t, 0) AS total_2, coalesce(y.h, 0) AS high_2 FROM x FULL JOIN y USING (id_1, id_2, domain)")
 def cmp_domains(spark: SparkSession, d: str) -> DataFrame:
     return cmp.domain_comparison(_pairs(spark, d), cl.risk_counts(classified(spark, d), "contract_id", "domain").select("contract_id", "domain", "total_clauses", "high"))
 
@@ -483,9 +489,10 @@ def sum_recommendations(spark: SparkSession, d: str) -> DataFrame:
     return cl.recommendation_prompts(classified(spark, d)).select("contract_id", "clause_id")
 
 
-@query("SELECT l_orderkey AS contract_id, count(*) AS n FROM lineitem GROUP BY 1")
+@query("WITH " + CONTRACTS_SQL + " SELECT contract_id, filename, status FROM contracts WHERE contract_id % 50 = 0")
 def qry_point_listing(spark: SparkSession, d: str) -> DataFrame:
-    return view.clauses(spark, d).groupBy("contract_id").agg(F.count(F.lit(1)).alias("n"))
+    c = view.contracts(spark, d)
+    return ing.lookup(c, c.where("contract_id % 50 = 0").select("contract_id")).select("contract_id", "filename", "status")
 
 
 @query("WITH " + CLASSIFIED_SQL + ", d AS (SELECT contract_id, list(DISTINCT domain) AS ds FROM classified GROUP BY 1) SELECT o_orderkey AS contract_id, check_id FROM orders LEFT JOIN d ON contract_id = o_orderkey CROSS JOIN (SELECT 'fin_payment' AS check_id, 'Financial' AS domain UNION ALL SELECT 'fin_late', 'Financial') c WHERE NOT coalesce(list_contains(ds, c.domain), false)")

@@ -49,10 +49,27 @@ def test_model_replies(spark):
 
 
 def test_citations(spark):
-    rows = ["Both [Sources 1, 3].", "See [2] and `[1]` and [9].", "From [1-3].", None]
-    got = values(spark, rows, lambda c: text.link_citations(c, F.lit(3)))
-    assert got == ["Both [Source 1](#source-1), [Source 3](#source-3).", "See [Source 2](#source-2) and `[1]` and Source 9.", "From [Source 1](#source-1), [Source 2](#source-2), [Source 3](#source-3).", None]
-    assert values(spark, [got[0], "x"], text.cited_numbers) == [[1, 3], []]
+    cases = {
+        "1.2% [Source 2].": "1.2% [Source 2](#source-2).",
+        "1.2% [Source 2 | Contract_5.pdf | clause 3].": "1.2% [Source 2](#source-2).",
+        "1% (Source 4).": "1% ([Source 4](#source-4)).",
+        "Both [Sources 1, 3].": "Both [Source 1](#source-1), [Source 3](#source-3).",
+        "See (Sources 1 and 2).": "See ([Source 1](#source-1), [Source 2](#source-2)).",
+        "In Sources 2-4.": "In [Source 2](#source-2), [Source 3](#source-3), [Source 4](#source-4).",
+        "60 months [2].": "60 months [Source 2](#source-2).",
+        "Per Source 3, 60 months.": "Per [Source 3](#source-3), 60 months.",
+        "Right [Source 2](#source-2).": "Right [Source 2](#source-2).",
+        "【Source 2】 x": "[Source 2](#source-2) x",
+        "See [Source 9] and [Source 9](#source-9) and [12].": "See Source 9 and Source 9 and [12].",
+        "```\n[Source 1]\n``` and [1]": "```\n[Source 1]\n``` and [Source 1](#source-1)",
+        "Ann [Source 1 | a.txt | contract header (parties, amounts)].": "Ann [Source 1](#source-1).",
+        "It is 2% (Source 3) and applies (see below).": "It is 2% ([Source 3](#source-3)) and applies (see below).",
+        "[Source 1][Source 2]": "[Source 1](#source-1)[Source 2](#source-2)",
+        "": "", "nothing": "nothing", "[a](b) [1](c) Source 7 ends": "[a](b) [1](c) Source 7 ends",
+    }
+    assert values(spark, [*cases, None], lambda c: text.link_citations(c, F.lit(5))) == [*cases.values(), None]
+    assert values(spark, ["[Source 1]"], lambda c: text.link_citations(c, F.lit(0))) == ["[Source 1]"]
+    assert values(spark, ["[Source 3](#source-3) [Source 1] #source-3", "x"], text.cited_numbers) == [[1, 3], []]
 
 
 def test_terms_and_bonus(spark):
