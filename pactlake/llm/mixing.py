@@ -6,14 +6,16 @@ which they are full). Each source's documents are shuffled by a hash. Each pass
 time: the words of its source up to its end divided by the source's target. The passes are taken in order of finish
 time until the budget is used up.
 
-No window covers a whole source or all documents: running sums are those of hash buckets (one aggregated row for each
-source and bucket) plus running sums within a bucket, and the global cut is found the same way on buckets of finish
-time. The number of buckets follows the number of documents, so a hot source is spread over as many tasks as there are
-buckets. Sizes are counted once and checkpointed; texts are never shuffled.
-
-Null text: size 0, taken 0. Null sources form one source, the last. A source of size 0 has target 0. Documents with the
-same id are told apart by size; equal rows get the same result each (at the cut both are taken or neither). An empty
-table gives an empty result. Columns other than the named ones are ignored.
+No window covers a whole source or all documents, nor all buckets of these: documents fall into hash buckets, buckets into
+groups of buckets, and a running sum is that of the groups, plus that of the buckets in a group, plus that of the
+documents in a bucket. The global cut is found the same way on buckets of finish time. The number of buckets follows the
+number of documents (of groups and of buckets in a group, its root), so a hot source is spread over as many tasks as
+there are buckets. Sizes are counted once and checkpointed; texts are never shuffled.
+
+Null text: size 0, taken 0. Null sources form one source, the last. A source of size 0 has target 0. Documents without an
+id are shuffled by their text. Documents with the same id are told apart by size; of rows that equal each other in all of
+these, some may be taken more often than others, and all are in one bucket. An empty table gives an empty result. Columns
+other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -52,9 +54,9 @@ def _digits(rows: int) -> int:
 
 def mix(docs: DataFrame, repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken and passes of each document."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sized = cut_lineage(sized.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
-    return mix_sized(sized, repeats, weights)
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.coalesce(F.col(text_col), F.lit(""))))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(name.cast("binary")).alias("hash"))
+    return mix_sized(cut_lineage(sized), repeats, weights)
 
 
 def mix_sized(sized: DataFrame, repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -63,8 +65,13 @@ def mix_sized(sized: DataFrame, repeats: int = 3, weights: tuple[int, ...] = (1,
     per = targets(sized, repeats, weights)
     bucket = F.substring("hash", 1, digits)
     sums = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size"))
-    sums = sums.withColumn("before", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size"))
-    sums = sums.alias("s").join(per.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.source", "bucket", "before", "source_size", "place", "target")
+    sums = sums.withColumn("upper", F.substring("bucket", 1, digits // 2))
+    uppers = sums.groupBy("source", "upper").agg(F.sum("bucket_size").alias("upper_size"))
+    uppers = uppers.withColumn("above", F.sum("upper_size").over(Window.partitionBy("source").orderBy("upper")) - F.col("upper_size"))
+    uppers = uppers.alias("u").join(per.alias("p"), F.col("u.source").eqNullSafe(F.col("p.source"))).select("u.source", "upper", "above", "source_size", "place", "target")
+    sums = sums.withColumn("before", F.sum("bucket_size").over(Window.partitionBy("source", "upper").orderBy("bucket")) - F.col("bucket_size"))
+    sums = sums.alias("s").join(uppers.alias("u"), F.col("s.source").eqNullSafe(F.col("u.source")) & (F.col("s.upper") == F.col("u.upper")))
+    sums = sums.select("s.source", "bucket", (F.col("above") + F.col("before")).alias("before"), "source_size", "place", "target")
     within = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     docs = sized.withColumn("bucket", bucket).withColumn("inside", F.sum("size").over(within))
     docs = docs.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
@@ -74,12 +81,17 @@ def mix_sized(sized: DataFrame, repeats: int = 3, weights: tuple[int, ...] = (1,
     docs = cut_lineage(docs.withColumn("finish", F.filter(F.coalesce(finish, F.array().cast("array<double>")), lambda v: v.isNotNull())))
 
     # the cut: the last pass in order of finish time that the budget has room for
-    buckets = 16**digits
+    buckets, side = 16**digits, 16 ** (digits - digits // 2)
     each = docs.select(F.posexplode("finish").alias("pass", "at"), "size", "place", "hash", "doc_id").withColumn("slot", F.floor(F.col("at") * buckets))
     key = F.struct("at", "place", "pass", "hash", F.col("doc_id"), "size")
     slots = each.groupBy("slot").agg(F.sum("size").alias("slot_size"))
     budget = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).scalar()
-    running = slots.withColumn("upto", F.sum("slot_size").over(Window.partitionBy(F.lit(0)).orderBy("slot")))
+    slots = slots.withColumn("part", F.floor(F.col("slot") / side))
+    parts = slots.groupBy("part").agg(F.sum("slot_size").alias("part_size"))
+    parts = parts.withColumn("upto", F.sum("part_size").over(Window.partitionBy(F.lit(0)).orderBy("part"))).where(F.col("upto") > budget)
+    at_part = parts.agg(F.min_by(F.struct("part", (F.col("upto") - F.col("part_size")).alias("before")), "part").alias("p"))
+    inside = slots.crossJoin(F.broadcast(at_part)).where(F.col("part") == F.col("p.part"))  # one row: no product
+    running = inside.withColumn("upto", F.col("p.before") + F.sum("slot_size").over(Window.partitionBy(F.lit(0)).orderBy("slot")))
     edge = running.where(F.col("upto") > budget).agg(F.min_by(F.struct("slot", (F.col("upto") - F.col("slot_size")).alias("before")), "slot").alias("e"))
     last = each.crossJoin(F.broadcast(edge)).where(F.col("slot") == F.col("e.slot"))  # one row at most: no product
     fits = last.withColumn("upto", F.col("e.before") + F.sum("size").over(Window.partitionBy("slot").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
@@ -92,7 +104,7 @@ def mix_sized(sized: DataFrame, repeats: int = 3, weights: tuple[int, ...] = (1,
 
 
 ORACLE = r"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS hash FROM documents),
+WITH sized AS (SELECT row_number() OVER () AS nth_row, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))) AS hash FROM documents),
 a AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
 b AS (SELECT *, (place % 3) + 1 AS weight, source_size * 3 AS full_ FROM a),
 c AS (SELECT *, row_number() OVER (ORDER BY full_ / weight, place) AS nth,
@@ -104,7 +116,7 @@ f AS (SELECT sized.*, e.source_size, e.place, e.target, sum(size) OVER (PARTITIO
   FROM sized JOIN e ON sized.source IS NOT DISTINCT FROM e.source),
 g AS (SELECT f.*, k AS pass, (k * source_size + upto)::DOUBLE / target AS due FROM f, range(3) t(k) WHERE size > 0 AND target > 0 AND k < least(3, floor(target / source_size) + 1)),
 h AS (SELECT *, sum(size) OVER (ORDER BY due, place, pass, hash, doc_id, size ROWS UNBOUNDED PRECEDING) AS used FROM g),
-i AS (SELECT doc_id, place, count(*) AS passes FROM h WHERE used <= (SELECT sum(size) FROM sized) GROUP BY doc_id, place)
+i AS (SELECT nth_row, count(*) AS passes FROM h WHERE used <= (SELECT sum(size) FROM sized) GROUP BY nth_row)
 SELECT f.doc_id, f.source, f.size::BIGINT AS size, f.source_size, f.target, (coalesce(passes, 0) * f.size)::BIGINT AS taken, coalesce(passes, 0)::INTEGER AS passes
-FROM f LEFT JOIN i ON f.doc_id = i.doc_id AND f.place = i.place
+FROM f LEFT JOIN i ON f.nth_row = i.nth_row
 """

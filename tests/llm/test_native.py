@@ -21,14 +21,22 @@ def mixed(spark, rows):
     return sorted(str(tuple(r)) for r in out.select("doc_id", "source", "size", "source_size", "target", "taken", "passes").collect())
 
 
-@pytest.mark.parametrize("digits", [1, 3])
+@pytest.mark.parametrize("digits", [1, 2, 3, 5])
 def test_mixing_against_sql(spark, monkeypatch, digits):
     monkeypatch.setattr(mixing, "_digits", lambda n: digits)
     rows = [(k, "w " * ((k * 37) % 90), f"s{min(k % 11, 4)}") for k in range(400)]
     rows += [(500, None, "s1"), (501, "", None), (502, "a b c", None), (503, " \n", "empty"), (504, "long " * 5000, "big")]
+    rows += [(None, f"w{k} " * (k % 7), "s1") for k in range(60)]
     assert mixed(spark, rows) == oracle(rows)
 
 
+def test_mixing_ties_at_the_cut(spark):
+    """Documents of one size in sources of one size: finish times tie throughout, and the cut falls among them."""
+    rows = [(k, "w w w", f"s{k % 4}") for k in range(80)]
+    assert mixed(spark, rows) == oracle(rows)
+    assert mixed(spark, rows[:7]) == oracle(rows[:7])
+
+
 def test_mixing_targets(spark):
     rows = [(k, "w " * 10, "huge") for k in range(300)] + [(1000 + k, "w " * 7, "small") for k in range(5)] + [(2000, "w w", None)]
     got = {r.source: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.first("target").alias("target"), F.first("source_size").alias("size"), F.sum("taken").alias("taken")).collect()}
