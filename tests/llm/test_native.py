@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import duckdb
 import pytest
@@ -46,63 +47,73 @@ def test_mixing_targets(spark):
     assert all(r.taken == 0 for r in mixing.mix(spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id long, text string, source string")).collect())
 
 
-def brute_filter(pages, rules):
-    sym = lambda url: [0, 0] + [urlfilter.SYMBOLS.find("0" if c in "123456789" else c) + 1 or urlfilter.N - 1 for c in (url or "").lower()]
-    out = {}
-    for page_id, url in pages:
-        rest = url.partition("://")[2] if url and "://" in url else ""
-        host = rest
-        for s in "/?#":
-            host = host.partition(s)[0]
-        path = rest[len(host):].partition("?")[0].partition("#")[0]
-        host = host.translate(str.maketrans(urlfilter.UPPER, urlfilter.LOWER))
-        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        rule = max(fits, key=lambda r: len(r.name), default=None)
-        out[page_id] = [host, path, rule, sym(url)]
-    grams = {True: {}, False: {}}
-    for host, path, rule, code in out.values():
-        if rule:
-            for i in range(len(code) - 2):
-                g = tuple(code[i : i + 3])
-                grams[rule.action == "allow"][g] = grams[rule.action == "allow"].get(g, 0) + 1
-
-    def logp(own, g, mu=4.0):
-        n = sum(own.values())
-        last, two, mid, ctx, full = (sum(c for k, c in own.items() if f(k)) for f in (lambda k: k[2] == g[2], lambda k: k[1:] == g[1:], lambda k: k[1] == g[1], lambda k: k[:2] == g[:2], lambda k: k == g))
-        p0 = (last + 1) / (n + urlfilter.N)
-        p1 = (two + mu * p0) / (mid + mu)
-        return math.log((full + mu * p1) / (ctx + mu))
-
-    both = grams[True] and grams[False]
-    memo = {}
-
-    def score(code):
-        total = 0.0
-        for i in range(len(code) - 2):
-            g = tuple(code[i : i + 3])
-            if g not in memo:
-                memo[g] = logp(grams[True], g) - logp(grams[False], g) if both else 0.0
-            total += memo[g]
-        return total / (len(code) - 2) if len(code) > 2 else 0.0
-
-    return {p: (h, path, r.name if r else None, score(code)) for p, (h, path, r, code) in out.items()}
+class PlainModels:
+    """The two variable-order models with dictionaries."""
+
+    def __init__(self, urls):
+        self.counts = {True: Counter(), False: Counter()}
+        for url, good in set(urls):
+            code = "^" * urlfilter.ORDER + self.code(url)
+            for i in range(urlfilter.ORDER, len(code)):
+                for k in range(urlfilter.ORDER + 1):
+                    self.counts[good][code[i - k : i + 1]] += 1
+        self.totals = {g: Counter() for g in (True, False)}
+        for g, own in self.counts.items():
+            for gram, n in own.items():
+                self.totals[g][gram[:-1]] += n
+        self.kinds = len({g for _, g in urls})
+
+    @staticmethod
+    def code(url):
+        return "".join("0" if c in "123456789" else c if c in urlfilter.SYMBOLS else "!" for c in (url or "").lower())
+
+    def p(self, good, context, symbol):
+        own, all_ = self.counts[good], self.totals[good]
+        if not context:
+            return (own[symbol] + 1) / (all_[""] + urlfilter.N - 1)
+        return (own[context + symbol] + urlfilter.MU * self.p(good, context[1:], symbol)) / (all_[context] + urlfilter.MU)
+
+    def score(self, url):
+        own = self.code(url)
+        code, total = "^" * urlfilter.ORDER + own, 0.0
+        if self.kinds < 2:
+            return 0.0
+        for i in range(urlfilter.ORDER, len(code)):
+            k = next((k for k in range(urlfilter.ORDER, 0, -1) if self.totals[True][code[i - k : i]] + self.totals[False][code[i - k : i]] >= urlfilter.LEAST), 0)
+            total += math.log(self.p(True, code[i - k : i], code[i])) - math.log(self.p(False, code[i - k : i], code[i]))
+        return total / len(own) if own else 0.0
+
+
+def ruled(url, rules):
+    """Host, path and rule of a URL."""
+    rest = url.partition("://")[2] if url and "://" in url else ""
+    host = rest
+    for s in "/?#":
+        host = host.partition(s)[0]
+    path = rest[len(host) :].partition("?")[0].partition("#")[0]
+    host = host.translate(str.maketrans(urlfilter.UPPER, urlfilter.LOWER))
+    fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return host, path, max(fits, key=lambda r: len(r.name), default=None)
 
 
 def test_urls_against_brute_force(spark):
     pages = [(r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").collect()]
-    pages += [(900, None), (901, ""), (902, "no scheme.com/x"), (903, "http://Example.COM"), (904, "HTTP://WWW.Example.com/en/x?y#z"), (905, "http://notexample.com/en/"), (906, "x://a.net/es/1"), (907, "http://éxample.net/fr/"), (908, "http://a.net?x/es/"), (909, "http://anet/es/")]
-    got = {r.page_id: r for r in urlfilter.url_filter(spark.createDataFrame(pages, "page_id long, url string"), urlfilter.RULES).collect()}
-    want = brute_filter(pages, urlfilter.RULES)
-    assert len(got) == len(want)
-    for p, (host, path, rule, score) in want.items():
+    pages += [(900, None), (901, ""), (902, "no scheme.com/x"), (903, "http://Example.COM"), (904, "HTTP://WWW.Example.com/en/x?y#z"), (905, "http://notexample.com/en/"), (906, "x://a.net/es/1"), (907, "http://éxample.net/fr/"), (908, "http://a.net?x/es/"), (909, "http://anet/es/"), (910, "http://a.org/" + "long/" * 20_000)]
+    frame = spark.createDataFrame([(p, u, 1) for p, u in pages], "page_id long, url string, host int")
+    got = {r.page_id: r for r in urlfilter.url_filter(frame, urlfilter.RULES).collect()}
+    want = {p: (*ruled(u, urlfilter.RULES), u) for p, u in pages}
+    learn = sorted({(u, rule.action == "allow") for _, _, rule, u in want.values() if rule and u})
+    aside = {r.url for r in spark.createDataFrame(learn, "url string, good boolean").where("pmod(xxhash64(5, url), 5) = 0").collect()}
+    plain = PlainModels([(u, g) for u, g in learn if u not in aside])
+    assert len(got) == len(want) and aside
+    for p, (host, path, rule, u) in want.items():
         r = got[p]
-        assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.score == pytest.approx(score, abs=1e-5)
-        action = next((x.action for x in urlfilter.RULES if x.name == rule), None)
-        assert r.verdict == (action or ("allow" if r.score >= r.cut else "block"))
-    cut = got[900].cut
-    err = lambda c: sum(w[3] < c for w in want.values() if w[2] in ("com/", "www.example.com/en/")) / sum(w[2] in ("com/", "www.example.com/en/") for w in want.values()) + sum(w[3] >= c for w in want.values() if w[2] in ("example.com/en/", "net/es/", "net/fr/")) / sum(w[2] in ("example.com/en/", "net/es/", "net/fr/") for w in want.values())
-    assert err(cut) <= min(err(w[3]) for w in want.values()) + 0.1
+        assert (r.host, r.path, r.rule) == (host, path, rule.name if rule else None)
+        assert r.score == pytest.approx(plain.score(u), abs=1e-9)
+        assert r.verdict == (rule.action if rule else "allow" if r.score >= r.cut else "block")
+    held = [(plain.score(u), g) for u, g in learn if u in aside]
+    wrong = lambda cut: sum(s < cut for s, g in held if g) / sum(g for _, g in held) + sum(s >= cut for s, g in held if not g) / sum(not g for _, g in held)
+    assert wrong(got[900].cut) <= min(wrong(s) for s, _ in held) + 0.1
 
 
 def test_urls_without_labels(spark):
