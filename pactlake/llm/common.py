@@ -182,14 +182,23 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df` as a reliable checkpoint in the shared folder of spark.checkpoint.dir (a folder of its own only where that is unset, as in tests)."""
+    """`df` as a reliable checkpoint in the shared folder of spark.checkpoint.dir."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local session without that setting, as in tests, gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
-        folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return folder.rstrip("/")
 
 
 #: A word of the contracts: a run of characters that are not ASCII white space.

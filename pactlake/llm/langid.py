@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, bounded_sample, characters, crc_mod, fit_logistic, slices
+from .common import SLICE, bounded_sample, characters, crc_mod, fit_logistic, free_names, slices
 
 #: Frequencies are so small that the bits' weights would have to grow very large.
 SCALE = 30.0
@@ -42,16 +42,25 @@ class LanguageModel:
 
 
 def codewords(k: int, code_bits: int = 31, seed: int = 7) -> np.ndarray:
-    """k codewords of -1 and 1 as rows. Each column splits the languages, none twice."""
+    """k codewords of -1 and 1 as rows. Each column splits the languages in two, no split comes twice, nor with its sides changed.
+
+    Up to six languages take all splits. More take `code_bits` of them (at least four times the bits that tell them apart), drawn from a fixed seed: of 50 draws the one whose closest codewords are farthest apart.
+    """
     if k <= 6:
         return np.array([[1 if (split >> (k - 1 - i)) & 1 else -1 for split in range(1, 2 ** (k - 1))] for i in range(k)], np.int8).reshape(k, -1)
-    rng, best, most = np.random.default_rng(seed), None, -1
+    rng, best, most, n = np.random.default_rng(seed), None, -1, max(code_bits, 4 * int(np.ceil(np.log2(k))))
     for _ in range(50):
-        code = rng.integers(0, 2, (k, max(code_bits, 4 * int(np.ceil(np.log2(k)))))) * 2 - 1
+        splits: dict[bytes, np.ndarray] = {}
+        while len(splits) < n:
+            split = (rng.integers(0, 2, k) * 2 - 1).astype(np.int8)
+            split *= split[0]  # the first language's side is 1: a split and its mirror are the same
+            if (split < 0).any():
+                splits.setdefault(split.tobytes(), split)
+        code = np.stack(list(splits.values()), 1)
         apart = min((code[a] != code[b]).sum() for a in range(k) for b in range(a))
-        if apart > most and (np.abs(code.sum(0)) < k).all():
+        if apart > most:
             best, most = code, apart
-    return best.astype(np.int8)
+    return best
 
 
 def _grams(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -116,8 +125,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", margin: float = 0.1) -> DataFrame:
     """`docs` with lang_pred, score (0 to 1) and ambiguous; they take the place of columns of these names."""
-    docs = docs.drop("lang_pred", "score", "ambiguous", "_letter").withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    names = [c for c in docs.columns if c != "_letter"]
+    docs = docs.drop("lang_pred", "score", "ambiguous")
+    names, (letters,) = docs.columns, free_names(docs, "letter")
+    docs = docs.withColumn(letters, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -138,7 +148,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", margi
                 z[k : k + len(span)] = ((sums[:, offs[1:]] - sums[:, offs[:-1]]) * (SCALE / span)).T + m.bias
                 k += len(span)
             loss = (np.logaddexp(0, -z[:, None, :] * code[None]) * m.bit_weight).sum(2) if len(m.languages) else np.zeros((len(texts), 1))
-            letter = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
+            letter = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)
             known = letter & bool(m.languages)
             best = loss.argmin(1)
             near = np.exp(-(loss - loss.min(1, keepdims=True)) * 4)

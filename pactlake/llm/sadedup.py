@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import combine, mix, text_bytes
+from .common import combine, free_names, mix, text_bytes
 
 CHUNK = 1 << 19
 U64 = np.uint64
@@ -178,17 +178,25 @@ def _state(anchor: np.ndarray, whole: np.ndarray, anchors: _Known, wholes: _Know
     return full, ~full & mixed, full & mixed & first
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, block_bytes: int = 8 << 20) -> DataFrame:
-    """All columns of `docs`, with _spans (start and end of each removed run of bytes) and _kept (the bytes left)."""
+def block_of(rows: DataFrame, blocks: int):
+    """A block for each row, by a hash of its plain columns."""
+    return F.pmod(F.xxhash64(*[F.col(c) for c, k in rows.dtypes if k in ("bigint", "int", "string")]), F.lit(blocks)).cast("int")
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, block_bytes: int = 8 << 20, out: tuple[str, str] = ("_spans", "_kept")) -> DataFrame:
+    """All columns of `docs`, with spans (start and end of each removed run of bytes) and the bytes left, as `out`, which take the place of columns of these names."""
+    docs = docs.drop(*out)
     total = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     shards = max(1, blocks // 3)
-    block = F.pmod(F.xxhash64(*[F.col(c) for c, k in docs.dtypes if k in ("bigint", "int", "string")]), F.lit(blocks)).cast("int")
-    dealt = docs.withColumn("_block", block).repartition(max(1, min(blocks, 100_000)), "_block")
     names = docs.columns
+    # inside, columns go by their place, so that they may have any name
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    text = f"c{names.index(text_col)}"
+    dealt = own.withColumn("_block", block_of(own, blocks)).repartition(max(1, min(blocks, 100_000)), "_block")
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        buf, offs = text_bytes(table[text_col])
+        buf, offs = text_bytes(table[text])
         parts = [(r[2], r[3]) for r in runs(buf, offs, length)]
         rows = []
         for kind in (ANCHOR, WHOLE):
@@ -199,7 +207,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
     known = count_in_shards(dealt.groupBy("_block").applyInArrow(anchors, PACKED))
 
     def strings(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
-        buf, offs = text_bytes(table[text_col])
+        buf, offs = text_bytes(table[text])
         by_anchor, by_whole, parts, shown = _Known(found, ANCHOR), _Known(found, WHOLE), [np.zeros(0, U64)], np.zeros(0, U64)
         for lo, hi, anchor, whole, ids, s in runs(buf, offs, length):
             _, refine, stands = _state(anchor, whole, by_anchor, by_whole)
@@ -214,10 +222,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
         return _table(list(_packed(key[0].as_py(), STRING, keys, counts, shards)), PACKED)
 
     refined = count_in_shards(dealt.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(strings, PACKED))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_kept", T.BinaryType())])
+    schema = T.StructType([*own.schema.fields, T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_kept", T.BinaryType())])
 
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
-        buf, offs = text_bytes(table[text_col])
+        buf, offs = text_bytes(table[text])
         by_anchor, by_whole, by_string = (_Known(found, k) for k in (ANCHOR, WHOLE, STRING))
         change = np.zeros(len(buf) + 1, np.int32)
         for lo, hi, anchor, whole, ids, s in runs(buf, offs, length):
@@ -240,10 +248,11 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
         bounds = np.searchsorted(of, np.arange(len(offs)))
         spans = [[[int(x - o), int(y - o)] for x, y in zip(start[i:j], end[i:j], strict=True)] for i, j, o in zip(bounds[:-1], bounds[1:], offs, strict=False)]
         kept = [buf[i:j][~gone[i:j]].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)]
-        own = table.select(names)
-        return own.append_column("_spans", pa.array(spans, pa.list_(pa.list_(pa.int64())))).append_column("_kept", pa.array(kept, pa.binary()))
+        held = table.select([f"c{k}" for k in range(len(names))])
+        return held.append_column("_spans", pa.array(spans, pa.list_(pa.list_(pa.int64())))).append_column("_kept", pa.array(kept, pa.binary()))
 
-    return dealt.groupBy("_block").cogroup(known.unionByName(refined).groupBy("_block")).applyInArrow(cut, schema)
+    done = dealt.groupBy("_block").cogroup(known.unionByName(refined).groupBy("_block")).applyInArrow(cut, schema)
+    return done.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.col("_spans").alias(out[0]), F.col("_kept").alias(out[1]))
 
 
 def digest(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -255,6 +264,8 @@ def digest(docs: DataFrame, length: int = 400) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
     """`docs` with the repeated bytes cut from its texts. A character that loses a byte goes whole; null texts stay null."""
-    out = repeated_spans(docs, text_col, length)
-    text = F.when(F.size("_spans") == 0, F.col(text_col)).otherwise(F.try_validate_utf8(F.col("_kept").cast("string")))
-    return out.withColumn("_text", text).withColumn(text_col, F.coalesce("_text", F.when(F.size("_spans") > 0, F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "�", "")))).select(*docs.columns)
+    spans, kept = free_names(docs, "spans", "kept")
+    out = repeated_spans(docs, text_col, length, out=(spans, kept))
+    left = F.col(kept).cast("string")
+    text = F.when(F.size(spans) == 0, F.col(text_col)).otherwise(F.coalesce(F.try_validate_utf8(left), F.regexp_replace(F.make_valid_utf8(left), "�", "")))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

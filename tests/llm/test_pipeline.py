@@ -53,3 +53,13 @@ def test_run_and_edge_rows(spark, tiny):
             now = stage(spark, now, tiny)
             assert now.columns == docs.columns
         corpus_pipeline.STAGES[-1][1](spark, now, tiny).collect()
+
+
+def test_columns_of_any_name(spark, tiny):
+    names = ["_id", "_hash", "_text", "_block", "_spans", "_kept", "_hits", "_of", "_toxicity", "node", "grp", "size", "target"]
+    rows = [(k, f"text number {k} of several that differ in their words {k} {k * 7}", "en", "s", 9, *names) for k in range(5)]
+    now = docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, tiny)
+        assert now.columns == docs.columns
+    assert now.count() == 5 and corpus_pipeline.STAGES[-1][1](spark, now, tiny).count() > 0

@@ -76,3 +76,19 @@ def test_empty_and_texts_kept_valid(spark):
     docs = spark.createDataFrame([(1, same, "a"), (2, same + "z", "b"), (3, None, None), (4, "keep", "c")], SCHEMA)
     out = {r.doc_id: r.text for r in sadedup.remove_repeats(docs).collect()}
     assert out == {1: "", 2: "z", 3: None, 4: "keep"}
+
+
+def test_columns_of_any_name(spark):
+    names = ["_block", "_spans", "_kept", "_text", "c0", "_shard", "of", "key"]
+    docs = spark.createDataFrame([(1, "ab" * 300, *names), (2, "ab" * 300, *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = sadedup.remove_repeats(docs, length=100)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text, *r[2:]) for r in out.collect() if r.text is not None) == [(1, "", *names), (2, "", *names)] and out.where("text is null").count() == 1
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(9)
+    shared = "".join(rng.choice("abcdefghij ") for _ in range(3000))
+    long = "".join(rng.choice("abcdefghij ") for _ in range(3_000_000)) + shared
+    out = {r.doc_id: (r.n_removed, r.n_spans) for r in sadedup.digest(spark.createDataFrame([(1, long, "a"), (2, "x" + shared + "y", "a"), (3, "é" * 1_000_000, "b")], SCHEMA)).collect()}
+    assert out[1][1] == out[2][1] == 1 and 3000 <= out[1][0] <= 3002 and out[2][0] == out[1][0] and out[3] == (2_000_000, 1)
