@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import decontam, mixing, neardup, sadedup, toxicity
+from pactlake.llm import common, decontam, mixing, neardup, sadedup, toxicity
 
 #: A text goes from this score on; the labels are fitted on their own share of toxic texts.
 REJECT = 0.3
@@ -22,7 +22,8 @@ PASSAGE = 200
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    return toxicity.score(docs, model, out="_toxicity").where(F.col("_toxicity") < REJECT).drop("_toxicity")
+    (score,) = common.free_names(docs, "toxicity")
+    return toxicity.score(docs, model, out=score).where(F.col(score) < REJECT).drop(score)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -58,10 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """All stages on the documents of `folder`. Between stages, tables lie in the shared checkpoint folder."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-pipeline-")
-    base = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, folder).write.parquet(f"{base}/{name}")
