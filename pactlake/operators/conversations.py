@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.text import squeeze, strip_reasoning
 
 TEXT_LIMIT, MESSAGES, CONVERSATIONS = 20_000, 200, 200
+SOURCES, SOURCE_LIMIT = 100, 600
 
 
 def clean(messages: DataFrame) -> DataFrame:
-    """Messages of users and assistants that are not blank, cut at TEXT_LIMIT characters."""
+    """Messages of users and assistants that are not blank, cut at TEXT_LIMIT characters. A column `sources` (an array of structs with text) keeps SOURCES of them, their texts cut at SOURCE_LIMIT with an ellipsis."""
+    if "sources" in messages.columns:
+        fields = [f.name for f in messages.schema["sources"].dataType.elementType]
+        text = lambda x: F.when(F.length(x["text"]) > SOURCE_LIMIT, F.concat(F.substring(x["text"], 1, SOURCE_LIMIT), F.lit(" …"))).otherwise(x["text"])
+        cut = F.transform(F.slice("sources", 1, SOURCES), lambda x: F.struct(*[(text(x) if f == "text" else x[f]).alias(f) for f in fields]))
+        messages = messages.withColumn("sources", cut)
     return messages.where(F.col("role").isin("user", "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != "")).withColumn("text", F.substring("text", 1, TEXT_LIMIT))
 
 

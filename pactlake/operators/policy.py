@@ -146,6 +146,22 @@ def delete_label(policies: DataFrame, labels: DataFrame, label_id) -> tuple[Data
     return changed.select(policies.columns), kept
 
 
+def update_policies(policies: DataFrame, edits: DataFrame) -> DataFrame:
+    """The library with the rows of `edits` (same columns) in place of those with their ids, and with its new ones."""
+    return policies.join(edits.select("id"), "id", "left_anti").select(policies.columns).unionByName(edits.select(policies.columns))
+
+
+def with_names(checks: DataFrame, policies: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Rows with a check_id, with the library policy's name, risk_level and weight (null if it is not in the library); with labels (id, color), also the color of the policy's first label that has one."""
+    level = F.lower("risk_level")
+    weight = F.when(level == "high", WEIGHT["high"]).when(level == "medium", WEIGHT["medium"]).when(level.isNotNull(), WEIGHT["low"])
+    own = policies.select(F.col("id").alias("check_id"), "name", "risk_level", weight.alias("weight"), "label_ids")
+    if labels is not None:
+        tagged = own.select("check_id", F.posexplode("label_ids").alias("_k", "_l")).join(labels.select(F.col("id").alias("_l"), "color"), "_l").where(F.col("color").isNotNull())
+        own = own.join(tagged.groupBy("check_id").agg(F.min_by("color", "_k").alias("color")), "check_id", "left")
+    return checks.join(own.drop("label_ids"), "check_id", "left")
+
+
 def delete_policy(policies: DataFrame, policy_id) -> DataFrame:
     return policies.where(F.col("id") != policy_id)
 

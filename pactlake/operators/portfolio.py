@@ -59,6 +59,12 @@ def directory(contracts: DataFrame, counts: DataFrame, scores: DataFrame | None
     return out.withColumn("policy_risk_score", score).drop("total_policy_score")
 
 
+def listing(contracts: DataFrame, today: str, include_expired: bool = True) -> DataFrame:
+    """Contracts with is_expired (their end is known and before today); without the expired ones if these are not asked for."""
+    out = contracts.withColumn("is_expired", F.coalesce(F.col("end_date") < today, F.lit(False)))
+    return out if include_expired else out.where(~F.col("is_expired"))
+
+
 def currency_group(currency: Column) -> Column:
     return F.upper(F.coalesce(currency, F.lit("unknown currency")))
 

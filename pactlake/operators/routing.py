@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_name, stem
+from ..functions.text import contains_name, norm_name, stem
 
 # Words that decide a route.
 NOT_AMOUNT = r"(?i)\b(interest|rate|ratio|ltv|loan-to-value|penalt\w*|fee\w*|fine|clause\w*|terminat\w*|insur\w*|guarantee\w*|default|obligation\w*|risk\w*|terms?|condition\w*|warrant\w*|indemn\w*|confidential\w*|jurisdiction|law|tenure|duration|period|months?|years?|days?|install?ments?|payments?|mention\w*|contain\w*|say|says|include\w*)\b"
@@ -13,6 +13,23 @@ AMOUNT_WORDS = r"(?i)\b(amounts?|value|valuable|financed|principal|money|worth|l
 PLAIN_COUNT = r"(?i)^\s*(?:how many|what is the number of|number of|count(?: of)?)\s+(?:contracts|loans|agreements|documents)(?:\s+(?:are there|do (?:we|i) have|in total|have been uploaded|are uploaded|are stored|in the system))?\s*\??\s*$"
 ACROSS = r"(?i)\b(which|what|any|all|every|each|how many)\b[^?]*\bcontracts\b|\bany contract\b|\bevery contract\b|\beach contract\b|\bacross\b|\bcompare\b"
 ORDINAL_OFFSET = (("second", 1), ("2nd", 1), ("third", 2), ("3rd", 2), ("fourth", 3), ("4th", 3), ("fifth", 4), ("5th", 4))
+# words that follow up on an answer, that ask for its rest, and topics that lie in clauses
+FOLLOW_UP = r"(?i)\b(others?|other ones|the rest|rest of them|remaining|all of them|all the others|full list|whole list|everything|every one|the whole|more|too|also|as well)\b"
+REST = r"(?i)\b(others?|other ones|the rest|rest of them|remaining|all the others)\b"
+CLAUSE_TOPIC = r"(?i)\b(terminat\w*|cancel\w*|default\w*|breach\w*|penalt\w*|fines?|fees?|charges?|late|interest|install?ments?|repay\w*|prepay\w*|insur\w*|guarant\w*|collateral|lien|jurisdiction|courts?|arbitrat\w*|disputes?|notices?|confidential\w*|warrant\w*|obligations?|covenants?|assign\w*|force majeure|grace period|mention\w*|say|says)\b"
+# rules on a question in lower case, in the order in which they are tried
+RISKY = r"\b(riskiest|most risky|highest risks?|most (?:high[- ])?risks?|high[- ]risk)\b"
+CONTRACT = r"\bcontracts?\b"
+OF_CLAUSE = r"\b(clause|say|mention)"
+TOP = r"\btop\s+(\d{1,2})\b"
+TOP_OF = r"\b(\d{1,2})\s+(?:largest|biggest|highest|smallest|lowest)\b"
+MANY = r"\bcontracts\b|\bloans\b|\bamounts\b"
+COUNT_OF = r"\b(?:number|count) of (?:contracts|loans|agreements)\b"
+TOTAL = r"\b(total|sum|combined|altogether)\b"
+AVERAGE = r"\b(average|mean)\b"
+MOST = r"\b(highest|largest|biggest|maximum|max|most valuable)\b|\bworth the most\b|\bmost (?:money|expensive)\b"
+LEAST = r"\b(lowest|smallest|minimum|min)\b|(?<!\bat )\bleast\b"
+GENERIC_PARTY = ("bank", "of", "the", "and", "inc", "llc", "ltd", "limited", "corp", "corporation", "company", "co", "group", "financial", "credit", "union", "national", "first")
 SPEC = "struct<operation:string,sort_by:string,order:string,limit:int,offset:int>"
 
 
@@ -26,19 +43,20 @@ def rule_spec(question: Column) -> Column:
     spec = lambda op="list", by=None, order="desc", limit=F.lit(None), offset=F.lit(0): F.struct(F.lit(op).alias("operation"), F.lit(by).cast("string").alias("sort_by"), F.lit(order).alias("order"), limit.cast("int").alias("limit"), offset.cast("int").alias("offset"))
     word = F.regexp_extract(low, r"\b(" + "|".join(w for w, _ in ORDINAL_OFFSET) + r")\b", 1)
     offset = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in ORDINAL_OFFSET for x in p]), word), F.lit(0))
-    risky = low.rlike(r"\b(riskiest|most risky|highest risks?|most (?:high[- ])?risks?|high[- ]risk)\b") & low.rlike(r"\bcontracts?\b") & ~low.rlike(r"\b(clause|say|mention)")
-    many = low.rlike(r"\bcontracts\b")
-    top = F.coalesce(F.nullif(F.regexp_extract(low, r"\btop\s+(\d{1,2})\b", 1), F.lit("")), F.nullif(F.regexp_extract(low, r"\b(\d{1,2})\s+(?:largest|biggest|highest|smallest|lowest)\b", 1), F.lit(""))).cast("int")
-    limit = F.when(offset > 0, 1).when(top.isNotNull(), top).when(low.rlike(r"\bcontracts\b|\bloans\b|\bamounts\b"), F.lit(None)).otherwise(1)
+    risky = low.rlike(RISKY) & low.rlike(CONTRACT) & ~low.rlike(OF_CLAUSE)
+    found = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit(""))
+    top = F.coalesce(found(TOP), found(TOP_OF)).cast("int")
+    limit = F.when(offset > 0, 1).when(top.isNotNull(), top).when(low.rlike(MANY), F.lit(None)).otherwise(1)
+    several = F.when(low.rlike(r"\bcontracts\b") & (offset == 0), F.lit(None)).otherwise(1)
     return (
         F.when(q.rlike(PLAIN_COUNT), spec("count"))
-        .when(risky, spec(by="high_risk_clauses", limit=F.when(many & (offset == 0), F.lit(None)).otherwise(1), offset=offset))
+        .when(risky, spec(by="high_risk_clauses", limit=several, offset=offset))
         .when(q.rlike(NOT_AMOUNT) | ~q.rlike(AMOUNT_WORDS), F.lit(None).cast(SPEC))
-        .when(low.rlike(r"\b(?:number|count) of (?:contracts|loans|agreements)\b"), spec("count"))
-        .when(low.rlike(r"\b(total|sum|combined|altogether)\b"), spec("sum"))
-        .when(low.rlike(r"\b(average|mean)\b"), spec("average"))
-        .when(low.rlike(r"\b(highest|largest|biggest|maximum|max|most valuable)\b|\bworth the most\b|\bmost (?:money|expensive)\b"), spec(by="contract_value", limit=limit, offset=offset))
-        .when(low.rlike(r"\b(lowest|smallest|minimum|min)\b|(?<!\bat )\bleast\b"), spec(by="contract_value", order="asc", limit=limit, offset=offset))
+        .when(low.rlike(COUNT_OF), spec("count"))
+        .when(low.rlike(TOTAL), spec("sum"))
+        .when(low.rlike(AVERAGE), spec("average"))
+        .when(low.rlike(MOST), spec(by="contract_value", limit=limit, offset=offset))
+        .when(low.rlike(LEAST), spec(by="contract_value", order="asc", limit=limit, offset=offset))
         .when(top.isNotNull(), spec(by="contract_value", limit=limit))
     )
 
@@ -56,58 +74,111 @@ def check_spec(routed: DataFrame) -> DataFrame:
     return routed.withColumn("route", F.when((F.col("route") == "structured") & (nothing | topic), "semantic").otherwise(F.col("route")))
 
 
-def follow_up(turns: DataFrame) -> DataFrame:
-    """Turns (conv_id, turn, question, spec) with the spec that a follow-up ("and the lowest?", "the next one") takes over from the turn before: its operation and field, with another order or offset."""
-    before = F.lag("spec").over(Window.partitionBy("conv_id").orderBy("turn"))
-    low = F.lower("question")
-    short = F.size(F.split(F.trim("question"), r"\s+")) <= 8
-    joins = low.rlike(r"^\s*(and|what about|how about|then|now)\b|\b(the (?:next|other|others|rest)|that one)\b")
-    order = F.when(low.rlike(r"\b(lowest|smallest|least|minimum)\b"), "asc").when(low.rlike(r"\b(highest|largest|most|maximum|biggest)\b"), "desc").otherwise(F.col("_b.order"))
-    step = F.when(low.rlike(r"\bnext\b"), F.coalesce(F.col("_b.limit"), F.lit(1))).otherwise(0)
-    widened = F.struct(F.col("_b.operation"), F.col("_b.sort_by"), order.alias("order"), F.when(low.rlike(r"\b(others|rest)\b"), F.lit(None).cast("int")).otherwise(F.col("_b.limit")).alias("limit"), (F.col("_b.offset") + step + F.when(low.rlike(r"\b(others|rest)\b"), F.coalesce(F.col("_b.limit"), F.lit(0))).otherwise(0)).cast("int").alias("offset"))
-    out = turns.withColumn("_b", before)
-    return out.withColumn("spec", F.coalesce("spec", F.when(short & joins & F.col("_b").isNotNull(), widened))).drop("_b")
+def follow_up(turns: DataFrame, shown: str | None = None) -> DataFrame:
+    """Turns (conv_id, turn, question, spec) with the spec that a follow-up on an exact answer ("list the other ones too") takes over, and `exclude`.
 
-
-def _windows(text: Column, longest: int = 6) -> Column:
-    """All runs of one to `longest` words of a normalised text."""
+    A short question with such words and no clause topic, whose own spec is missing or selects nothing, takes the spec of the turn before, widened to the whole list (a grouping stays one). If it asks for the rest, what was shown stays out: `exclude` holds the ids in the column `shown` of the turn before; where these are not known, the offset skips them.
+    """
+    window = Window.partitionBy("conv_id").orderBy("turn")
+    ids = F.lag(shown).over(window) if shown else F.lit(None).cast("array<string>")
+    out = turns.withColumn("_b", F.lag("spec").over(window)).withColumn("_ids", ids)
+    asks = F.col("question").rlike(FOLLOW_UP) & (F.size(F.split(F.trim("question"), r"\s+")) <= 14) & ~F.col("question").rlike(CLAUSE_TOPIC)
+    open_ = F.col("spec").isNull() | ((F.col("spec.operation") == "list") & F.col("spec.sort_by").isNull())
+    takes = F.coalesce(asks & open_ & F.col("_b").isNotNull(), F.lit(False))
+    rest, known = F.col("question").rlike(REST), F.coalesce(F.size("_ids") > 0, F.lit(False))
+    skip = F.when(rest & ~known, F.coalesce(F.col("_b.offset"), F.lit(0)) + F.coalesce(F.col("_b.limit"), F.lit(0))).otherwise(0)
+    operation = F.when(F.col("_b.operation") == "group", "group").otherwise("list")
+    widened = F.struct(operation.alias("operation"), F.col("_b.sort_by").alias("sort_by"), F.col("_b.order").alias("order"), F.lit(None).cast("int").alias("limit"), F.when(F.col("_b.limit").isNotNull(), skip).otherwise(0).cast("int").alias("offset"))
+    out = out.withColumn("exclude", F.when(takes & rest & known, F.col("_ids"))).withColumn("spec", F.when(takes, widened).otherwise(F.col("spec")))
+    return out.drop("_b", "_ids")
+
+
+#: Words of a name by which it meets a question; the whole name is compared then.
+LEAD = 6
+
+
+def _windows(text: Column) -> Column:
+    """All runs of one to LEAD words of a normalised text."""
     words = F.split(text, " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LEAD), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
     return F.array_distinct(F.filter(runs, lambda x: F.length(x) >= 3))
 
 
-def named_contracts(questions: DataFrame, contracts: DataFrame) -> DataFrame:
+def _lead(name: Column) -> Column:
+    return F.array_join(F.slice(F.split(name, " "), 1, LEAD), " ")
+
+
+def _in(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Pairs of normalised texts and normalised names that the text holds as whole words, met by the name's first words."""
+    left = texts.withColumn("_w", F.explode(_windows(F.col(text))))
+    return left.join(names.withColumn("_w", _lead(F.col(name))), "_w").where(contains_name(F.col(text), F.col(name))).drop("_w")
+
+
+def _file_named(question: Column, name: Column) -> Column:
+    """Does a question write a file's name of several words as a name: joined as the file joins them, or with a capital?"""
+    quoted = lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))
+    alone = lambda p: F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), p, F.lit("(?![A-Za-z0-9])"))
+    joined = name.rlike("[_-]") & F.rlike(question, alone(quoted(name)))
+    spaced = F.split(F.trim(F.regexp_replace(name, r"[_\-\s]+", " ")), " ")
+    written = F.regexp_extract_all(question, alone(F.array_join(F.transform(spaced, quoted), r"[\s_-]+")), F.lit(0))
+    return joined | F.exists(written, lambda x: x.rlike("[A-Z]"))
+
+
+def named_contracts(questions: DataFrame, contracts: DataFrame, wanted: str | None = None) -> DataFrame:
     """query_id, contract_id, strength (strong or loose) of the contracts that questions (query_id, question) name.
 
-    Strong: a file name with a digit, or a borrower's full name of two words or more, as whole words. Loose: one name of four letters or more that only one borrower has, written as a possessive or with a capital within the sentence. Strong hits of a question put loose ones aside. Names and runs of a question's words are joined by equality, so no question meets every contract.
+    Strong: a name that a router listed (the array column `wanted`) within a file's or borrower's name or the other way round; a whole file name with its ending; a file name with a digit; one of several words, written as a name; or a borrower's full name of two words or more, as whole words. Loose: one name of four letters or more that only one borrower has, written as a possessive or with a capital within the sentence. Names and texts are joined by the names' first words, so no question meets every contract.
     """
-    runs = questions.select("query_id", "question", F.explode(_windows(norm_name(F.col("question")))).alias("name"))
-    files = contracts.select("contract_id", norm_name(stem(F.col("filename"))).alias("name")).where(F.col("name").rlike(r"\d"))
+    asked = questions.select("query_id", "question", norm_name(F.col("question")).alias("_q"))
+    files = contracts.where(F.col("filename").isNotNull()).select("contract_id", "filename", stem(F.col("filename")).alias("_stem"), norm_name(stem(F.col("filename"))).alias("name"))
     people = contracts.where(F.col("customer_name").isNotNull()).select("contract_id", norm_name(F.col("customer_name")).alias("name"))
-    full = people.where(F.size(F.split("name", " ")) >= 2)
-    strong = runs.join(files.unionByName(full), "name").select("query_id", "contract_id").distinct().withColumn("strength", F.lit("strong"))
+    pair = lambda df: df.select("query_id", "contract_id")
+    by_file = _in(asked, "_q", files, "name").where(F.col("name").rlike(r"\d") | ((F.size(F.split("name", " ")) >= 2) & _file_named(F.col("question"), F.col("_stem"))))
+    by_ending = _in(asked, "_q", files.withColumn("_full", norm_name(F.col("filename"))), "_full").where(F.contains(F.lower("question"), F.lower("filename")))
+    by_person = _in(asked, "_q", people.where(F.size(F.split("name", " ")) >= 2), "name")
+    strong = pair(by_file).unionByName(pair(by_ending)).unionByName(pair(by_person))
+    if wanted:
+        listed = questions.select("query_id", F.explode(wanted).alias("_l")).select("query_id", norm_name(F.col("_l")).alias("_l")).where("_l <> ''")
+        names = files.select("contract_id", "name").unionByName(people).where("name <> ''")
+        within = _in(listed, "_l", names, "name").select("query_id", "contract_id")
+        around = _in(names, "name", listed, "_l").select("query_id", "contract_id")
+        exact = listed.join(files.select("contract_id", norm_name(F.col("filename")).alias("_l")), "_l").select("query_id", "contract_id")
+        strong = strong.unionByName(within).unionByName(around).unionByName(exact)
+    strong = strong.distinct().withColumn("strength", F.lit("strong"))
     token = people.select("contract_id", F.explode(F.array_distinct(F.split("name", " "))).alias("name")).where(F.length("name") >= 4)
     owner = token.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("contract_id").alias("contract_id")).where(F.col("n") == 1)
-    passing = runs.join(owner, "name")
+    passing = _in(asked, "_q", owner, "name")
     said = F.concat(F.lit("(?i)(?<![A-Za-z])"), F.col("name"), F.lit("('s|’s)\\b"))
     capital = F.concat(F.lit("[^.?!:\\s]\\s+"), F.initcap("name"), F.lit("(?![A-Za-z])"))
     loose = passing.where(F.rlike("question", said) | F.rlike("question", capital)).select("query_id", "contract_id").distinct()
-    loose = loose.join(strong.select("query_id").distinct(), "query_id", "left_anti").withColumn("strength", F.lit("loose"))
-    return strong.unionByName(loose)
+    return strong.unionByName(loose.join(strong, ["query_id", "contract_id"], "left_anti").withColumn("strength", F.lit("loose")))
 
 
 def usable_names(named: DataFrame, routed: DataFrame) -> DataFrame:
-    """Named contracts without loose ones of questions that are rankings, totals or across contracts."""
-    both = named.join(routed.select("query_id", "spec", "across"), "query_id")
+    """Named contracts, without those of questions on rankings, totals or all contracts that rest on loose names only."""
+    both = named.join(routed.select("query_id", "spec", "across"), "query_id").join(named.where("strength = 'strong'").select("query_id", F.lit(True).alias("_s")).distinct(), "query_id", "left")
     aggregate = F.coalesce(F.col("spec").isNotNull() | F.col("across"), F.lit(False))
-    return both.where(~((F.col("strength") == "loose") & aggregate)).select(named.columns)
+    return both.where(~(F.col("_s").isNull() & aggregate)).select(named.columns)
 
 
 def lenders_named(questions: DataFrame, contracts: DataFrame) -> DataFrame:
     """query_id and lender_name where a question holds a lender's full name: a filter on the lender, not a contract's name."""
-    runs = questions.select("query_id", F.explode(_windows(norm_name(F.col("question")))).alias("name"))
+    asked = questions.select("query_id", norm_name(F.col("question")).alias("_q"))
     lenders = contracts.where(F.col("lender_name").isNotNull()).select("lender_name").distinct().withColumn("name", norm_name(F.col("lender_name")))
-    return runs.join(lenders, "name").select("query_id", "lender_name").distinct()
+    return _in(asked, "_q", lenders, "name").select("query_id", "lender_name").distinct()
+
+
+def of_party(questions: DataFrame, contracts: DataFrame) -> DataFrame:
+    """query_id, contract_id and role (borrower or lender) of the contracts whose party a question asks for: all words of the party's name but generic ones are in the question.
+
+    Words and parties are joined by the party's longest word of its own.
+    """
+    own = lambda c: F.array_except(F.array_distinct(F.split(norm_name(c), " ")), F.array(*map(F.lit, ("", *GENERIC_PARTY))))
+    party = [contracts.where(F.col(c).isNotNull()).select("contract_id", F.lit(role).alias("role"), own(F.col(c)).alias("_p")) for c, role in (("customer_name", "borrower"), ("lender_name", "lender"))]
+    parties = party[0].unionByName(party[1]).where(F.size("_p") > 0)
+    parties = parties.withColumn("_w", F.array_max(F.transform("_p", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    asked = questions.select("query_id", own(F.col("question")).alias("_q")).withColumn("_w", F.explode("_q"))
+    return asked.join(parties, "_w").where(F.size(F.array_except("_p", "_q")) == 0).select("query_id", "contract_id", "role").distinct()
 
 
 def prompt(turns: DataFrame, last: int = 4) -> DataFrame:

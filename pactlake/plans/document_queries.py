@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -386,11 +386,30 @@ def rte_across(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", routing.across_contracts(F.col("text")).alias("across_all"))
 
 
-@query("WITH " + CONTRACTS_SQL + " SELECT contract_id AS query_id, contract_id, 'strong' AS strength FROM contracts WHERE contract_id % 50 = 0")
+@query("WITH " + CONTRACTS_SQL + ", q AS (SELECT * FROM contracts WHERE contract_id % 50 = 0) SELECT contract_id AS query_id, contract_id, 'strong' AS strength FROM q UNION ALL SELECT q.contract_id + 1, c.contract_id, 'strong' FROM q JOIN contracts c USING (customer_name)")
 def rte_named(spark: SparkSession, d: str) -> DataFrame:
+    """Each fiftieth contract asked for by its file, and its borrower asked for by name."""
     c = view.contracts(spark, d)
-    asked = c.where("contract_id % 50 = 0").select(F.col("contract_id").alias("query_id"), F.concat(F.lit("What is the term of "), F.regexp_replace("filename", r"\.pdf", ""), F.lit(", and who signed it?")).alias("question"))
-    return routing.named_contracts(asked, c)
+    some = c.where("contract_id % 50 = 0")
+    by_file = some.select(F.col("contract_id").alias("query_id"), F.concat(F.lit("What is the term of "), F.regexp_replace("filename", r"\.pdf", ""), F.lit(", and who signed it?")).alias("question"))
+    by_name = some.where("customer_name is not null").select((F.col("contract_id") + 1).alias("query_id"), F.concat(F.lit("what does "), F.lower("customer_name"), F.lit(" owe us")).alias("question"))
+    return routing.named_contracts(by_file.unionByName(by_name), c)
+
+
+@query("WITH " + CONTRACTS_SQL + " SELECT q.contract_id AS query_id, c.contract_id, 'borrower' AS role FROM contracts q JOIN contracts c USING (customer_name) WHERE q.contract_id % 50 = 0")
+def qry_of_party(spark: SparkSession, d: str) -> DataFrame:
+    c = view.contracts(spark, d)
+    asked = c.where("contract_id % 50 = 0 and customer_name is not null").select(F.col("contract_id").alias("query_id"), F.concat(F.lit("who is "), "customer_name", F.lit(" of the company")).alias("question"))
+    return routing.of_party(asked, c)
+
+
+@query("WITH u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') SELECT conv_id, turn, 'list' AS operation, 'contract_value' AS sort_by, CASE WHEN n % 2 = 1 THEN 1 END::INT AS \"limit\", CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END::INT AS \"offset\" FROM u")
+def rte_follow_ups(spark: SparkSession, d: str) -> DataFrame:
+    """Each second question of a user follows up on the one before."""
+    turns = table(spark, d, "conversations").where("role = 'user'").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    asked = turns.select("conv_id", "turn", F.when(F.col("n") % 2 == 1, "which contract has the highest amount").otherwise("list the other ones too").alias("question"))
+    out = routing.follow_up(routing.route(asked))
+    return out.select("conv_id", "turn", *[F.col(f"spec.{c}").alias(c) for c in ("operation", "sort_by", "limit", "offset")])
 
 
 @query("WITH " + CONTRACTS_SQL + " SELECT contract_id AS query_id, lender_name FROM contracts WHERE contract_id % 50 = 0 AND lender_name IS NOT NULL")
@@ -451,6 +470,22 @@ def pol_label_tree(spark: SparkSession, d: str) -> DataFrame:
     return policy.label_tree(_library(spark, d)[1]).select("id", F.array_join("children", ",").alias("children"))
 
 
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'changed' ELSE p_name END AS name FROM part UNION ALL SELECT -p_partkey, 'new' FROM part WHERE p_partkey % 10 = 0")
+def pol_update(spark: SparkSession, d: str) -> DataFrame:
+    policies = _library(spark, d)[0]
+    edits = policies.where("id % 5 = 0").withColumn("name", F.lit("changed"))
+    new = policies.where("id % 10 = 0").withColumns({"id": -F.col("id"), "name": F.lit("new")})
+    return policy.update_policies(policies, edits.unionByName(new)).select("id", "name")
+
+
+@query("SELECT p.p_partkey + 1 AS check_id, q.p_name AS name, CASE q.p_partkey % 3 WHEN 1 THEN 5 WHEN 2 THEN 3 WHEN 0 THEN 1 END AS weight, CASE WHEN q.p_size % 2 = 0 THEN 'color ' || q.p_size END AS color FROM part p LEFT JOIN part q ON q.p_partkey = p.p_partkey + 1")
+def pol_names(spark: SparkSession, d: str) -> DataFrame:
+    policies, labels, _ = _library(spark, d)
+    colored = labels.select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("color "), F.col("id").cast("string"))).alias("color"))
+    checks = policies.select((F.col("id") + 1).alias("check_id"))
+    return policy.with_names(checks, policies, colored).select("check_id", "name", "weight", "color")
+
+
 @query("SELECT p_partkey AS id, p_size NOT IN (7, 14, 15) AS has_label FROM part")
 def pol_delete_label(spark: SparkSession, d: str) -> DataFrame:
     policies, labels, _ = _library(spark, d)

@@ -252,9 +252,14 @@ def qry_others(spark: SparkSession, d: str) -> DataFrame:
     return pf.others(c, c.where("currency = 'USD'").select("contract_id")).select("contract_id")
 
 
-@query("WITH " + CONTRACTS_SQL + " SELECT contract_id, filename, end_date, coalesce(end_date < '1997-01-01', false) AS is_expired FROM contracts")
+@query("WITH " + CONTRACTS_SQL + " SELECT contract_id, filename, end_date, coalesce(end_date < '1998-01-01', false) AS is_expired FROM contracts")
 def fct_directory(spark: SparkSession, d: str) -> DataFrame:
-    return light(spark, d).select("contract_id", "filename", "end_date", F.coalesce(F.col("end_date") < "1997-01-01", F.lit(False)).alias("is_expired"))
+    return pf.listing(light(spark, d), "1998-01-01").select("contract_id", "filename", "end_date", "is_expired")
+
+
+@query("WITH " + CONTRACTS_SQL + " SELECT contract_id, filename FROM contracts WHERE NOT coalesce(end_date < '1998-01-01', false)")
+def fct_not_expired(spark: SparkSession, d: str) -> DataFrame:
+    return pf.listing(light(spark, d), "1998-01-01", include_expired=False).select("contract_id", "filename")
 
 
 @query("WITH " + DIRECTORY_SQL + """ SELECT contract_id, concat_ws(' | ', filename, 'borrower: ' || customer_name, 'lender: ' || lender_name, 'amount: ' || CASE WHEN contract_value IS NULL THEN 'not found' WHEN currency = 'USD' THEN '$' || format('{:,.2f}', contract_value) WHEN currency = 'INR' THEN '₹' || format('{:,.2f}', contract_value) WHEN currency = 'EUR' THEN '€' || format('{:,.2f}', contract_value) ELSE trim(format('{:,.2f}', contract_value) || ' ' || coalesce(currency, '')) END, 'ends: ' || end_date,

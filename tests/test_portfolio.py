@@ -151,9 +151,75 @@ def test_names_in_questions(spark):
 
 
 def test_follow_ups(spark):
-    turns = spark.createDataFrame([(1, 1, "Which contract has the highest amount?"), (1, 2, "and the lowest?"), (1, 3, "what does clause 3 say about it in detail, please?")], "conv_id long, turn long, question string")
-    got = [r.spec for r in routing.follow_up(routing.route(turns)).orderBy("turn").collect()]
-    assert (got[0].order, got[1].order, got[1].sort_by, got[2]) == ("desc", "asc", "contract_value", None)
+    """The others after the highest leave out what was shown; all of them don't; clause topics, long questions and understood ones stay as they are."""
+    asked = ["which contract has the highest amount", "list the other ones too"]
+    cases = {
+        "list the other ones too": ("list", "contract_value", "desc", None, 0, ["a"]),
+        "show all of them": ("list", "contract_value", "desc", None, 0, None),
+        "what about its default terms too": None,
+        "and the lowest amount as well": ("list", "contract_value", "asc", 1, 0, None),
+        "nothing of the kind": None,
+        "list the others " + "very " * 14: None,
+    }
+    rows = [(k, t, q, ["a"] if t == 1 else None) for k, last in enumerate(cases) for t, q in ((1, asked[0]), (2, last))]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, question string, shown array<string>")
+    out = routing.follow_up(routing.route(turns), "shown").where("turn = 2").orderBy("conv_id").collect()
+    assert [r.spec and (*r.spec, r.exclude) for r in out] == list(cases.values())
+    blind = routing.follow_up(routing.route(turns.drop("shown"))).where("turn = 2 and conv_id = 0").first()
+    assert blind.exclude is None and (blind.spec.limit, blind.spec.offset) == (None, 1)
+
+
+def test_names_of_all_kinds(spark):
+    contracts = spark.createDataFrame(
+        [
+            ("a", "Loan Agreement.txt", "Julia Miller"), ("b", "ACME_LOAN.pdf", "Peter Chen"), ("c", "Contract_3.pdf", "Grace Park"), ("d", "Contract_31.pdf", None),
+            ("e", "x.pdf", "The Very Long Name Of A Farm Equipment Holding Company"), ("f", "lease.docx", "Omar"),
+        ],
+        "contract_id string, filename string, customer_name string",
+    )
+    cases = {
+        "Does any loan agreement require insurance?": {}, "What does the Loan Agreement say?": {"a": "strong"}, "rate in acme_loan.pdf": {"b": "strong"}, "rate in Acme Loan": {"b": "strong"}, "an acme loan": {},
+        "the term of contract 3": {"c": "strong"}, "contract 31": {"d": "strong"}, "julia's interest rate?": {"a": "loose"}, "Which have a Grace Period?": {"c": "loose"}, "a grace period": {},
+        "who is julia miller, and Peter": {"a": "strong", "b": "loose"}, "does the very long name of a farm equipment holding company pay": {"e": "strong"}, "the very long name of a farm": {}, "in LEASE.DOCX please": {"f": "strong"}, "": {}, None: {},
+    }
+    asked = spark.createDataFrame(list(enumerate(cases)), "query_id int, question string")
+    got: dict = {k: {} for k in range(len(cases))}
+    for r in routing.named_contracts(asked, contracts).collect():
+        got[r.query_id][r.contract_id] = r.strength
+    assert got == dict(enumerate(cases.values()))
+    listed = spark.createDataFrame([(1, "x", ["Miller"]), (2, "x", ["the contract_3.pdf file"]), (3, "x", ["ghost", ""]), (4, "x", None)], "query_id int, question string, names array<string>")
+    assert {(r.query_id, r.contract_id) for r in routing.named_contracts(listed, contracts, "names").collect()} == {(1, "a"), (2, "c")}
+    parties = spark.createDataFrame([("a", "Ann Lee", "FIRST BANK OF NOWHERE Inc"), ("b", None, "Harborline Credit Union")], "contract_id string, customer_name string, lender_name string")
+    ask = spark.createDataFrame([(1, "what did the Bank of Nowhere lend"), (2, "lee and ann"), (3, "a credit union"), (4, "ann")], "query_id int, question string")
+    assert {tuple(r) for r in routing.of_party(ask, parties).collect()} == {(1, "a", "lender"), (2, "a", "borrower")}
+
+
+def test_budgets_and_labels(spark):
+    passages = spark.createDataFrame([("a", "1", 1, "short one."), ("a", "2", 2, "short two."), ("b", "1", 1, "x " * 900 + "the rate is 5%. " + "y " * 900)], "contract_id string, passage_id string, place int, text string")
+    named = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "query_id int, place int, contract_id string")
+    hits = passages.where("contract_id = 'b'").select(F.lit(1).alias("query_id"), "contract_id", "passage_id", "place", F.lit("what is the rate").alias("question"), "text")
+    got = retrieval.passages_for_named(named, passages, hits, budget=1200).orderBy("place").collect()
+    assert [(r.contract_id, r.passage_id) for r in got] == [("a", "1"), ("a", "2"), ("b", "1")] and got[0].text == "short one." and "5%" in got[2].text and len(got[2].text) <= 610
+    shared = retrieval.share_budget(hits.unionByName(hits.withColumn("passage_id", F.lit("2"))), budget=800).collect()
+    assert len(shared) == 2 and all("5%" in r.text and len(r.text) <= 410 for r in shared)
+    contracts = spark.createDataFrame([(k, f"{k}.pdf") for k in "abcde"], "contract_id string, filename string")
+    merged = retrieval.merge_identical(spark.createDataFrame([(1, k, c, "7", "Same  words") for k, c in enumerate("abcde")], "query_id int, place int, contract_id string, passage_id string, text string"), most=2)
+    sources = retrieval.number_sources(merged, contracts)
+    assert sources.first().label == "a.pdf, clause 7 | identical wording also in: b.pdf, c.pdf and 2 more"
+    assert {r.contract_id for r in retrieval.discussed(sources).collect()} == {"a", "b", "c"}
+
+
+def test_library_edits_and_sources_of_messages(spark):
+    library = spark.createDataFrame([(1, "One", "d", "high", [5, 6]), (2, "Two", "d", "odd", [])], "id int, name string, description string, risk_level string, label_ids array<int>")
+    edits = spark.createDataFrame([(2, "New", "e", "medium", [6]), (3, "Three", "f", "low", [9])], "id int, name string, description string, risk_level string, label_ids array<int>")
+    changed = policy.update_policies(library, edits)
+    assert {r.id: r.name for r in changed.collect()} == {1: "One", 2: "New", 3: "Three"}
+    labels = spark.createDataFrame([(5, None), (6, "red")], "id int, color string")
+    got = {r.check_id: (r.name, r.weight, r.color) for r in policy.with_names(spark.createDataFrame([(1,), (2,), (3,), (4,)], "check_id int"), changed, labels).collect()}
+    assert got == {1: ("One", 5, "red"), 2: ("New", 3, "red"), 3: ("Three", 1, None), 4: (None, None, None)}
+    said = spark.createDataFrame([(1, 1, "user", "q", [("s" * 700, 1)] * 120)], "conv_id int, turn int, role string, text string, sources array<struct<text:string,no:int>>")
+    row = conv.clean(said).first()
+    assert len(row.sources) == 100 and row.sources[0].text == "s" * 600 + " …"
 
 
 def test_search(spark):

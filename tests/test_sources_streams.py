@@ -58,9 +58,10 @@ def test_incremental_ingest_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         q = streams.ingest(spark.readStream.schema(schema).parquet(source), target, str(tmp_path / "state"), parts=4)
         assert q.awaitTermination(120) and q.exception() is None
+    assert streams.current(spark, str(tmp_path / "nothing")) is None
     last = spark.createDataFrame([("a", BODY[1]), ("b", BODY[0]), ("c", BODY[1])], schema)
     cols = ["contract_id", "kind", "clause_id", "text"]
-    got = sorted(tuple(r) for r in spark.read.parquet(target).select(cols).collect())
+    got = sorted(tuple(r) for r in streams.current(spark, target).select(cols).collect())
     assert got == sorted(tuple(r) for r in parsing.split_document(last).select(cols).collect())
 
 
