@@ -101,8 +101,8 @@ def to_retry(results: DataFrame) -> DataFrame:
     return results.withColumn("_f", F.count_if(failed).over(each)).withColumn("_n", F.count(F.lit(1)).over(each)).where(failed & (F.col("_f") * 2 <= F.col("_n"))).drop("_f", "_n")
 
 
-def risk_counts(classified: DataFrame, *keys: str) -> DataFrame:
-    """Clauses by risk level for each key; levels other than the three are unclassified. Partial counts come before the shuffle."""
+def risk_counts(classified: DataFrame, *keys: str, **more: Column) -> DataFrame:
+    """Clauses by risk level for each key; levels other than the three are unclassified. Partial counts come before the shuffle. `more` aggregates go along in the same pass."""
     level = F.lower(F.trim(F.coalesce("risk_level", F.lit(""))))
     return classified.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_clauses"),
@@ -110,6 +110,7 @@ def risk_counts(classified: DataFrame, *keys: str) -> DataFrame:
         F.count_if(level == "medium").alias("medium"),
         F.count_if(level == "low").alias("low"),
         F.count_if(~level.isin("high", "medium", "low")).alias("unclassified"),
+        *[c.alias(n) for n, c in more.items()],
     )
 
 

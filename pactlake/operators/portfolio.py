@@ -48,13 +48,16 @@ class Spec:
 def directory(contracts: DataFrame, counts: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Contracts with their risk figures: null, not zero, for contracts that are not analysed. counts: contract_id, total_clauses, high, medium, low; scores: contract_id, total_policy_score."""
     named = counts.select("contract_id", *[F.col(c).alias(n) for c, n in (("high", "high_risk_clauses"), ("medium", "medium_risk_clauses"), ("low", "low_risk_clauses"), ("total_clauses", "total_clauses"))])
+    together = scores is counts  # one table holds both: joined once
+    if together:
+        named = counts.select(*[F.col(c).alias(n) for c, n in (("contract_id", "contract_id"), ("high", "high_risk_clauses"), ("medium", "medium_risk_clauses"), ("low", "low_risk_clauses"), ("total_clauses", "total_clauses"), ("total_policy_score", "total_policy_score"))])
     out = contracts.join(named, "contract_id", "left")
     analysed = F.col("status") == "analyzed"
     for c in RISK_FIELDS[:4]:
         out = out.withColumn(c, F.when(analysed, F.col(c)))
     score = F.lit(None).cast("double")
     if scores is not None:
-        out = out.join(scores.select("contract_id", "total_policy_score"), "contract_id", "left")
+        out = out if together else out.join(scores.select("contract_id", "total_policy_score"), "contract_id", "left")
         score = F.when(analysed, F.col("total_policy_score").cast("double"))
     return out.withColumn("policy_risk_score", score).drop("total_policy_score")
 

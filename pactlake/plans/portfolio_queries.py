@@ -72,8 +72,10 @@ def rolled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def directory(spark: SparkSession, d: str) -> DataFrame:
-    counts = cl.risk_counts(classified(spark, d), "contract_id")
-    return pf.directory(view.contracts(spark, d), counts, pol.summary(rolled(spark, d), pol.DEFAULT_THRESHOLD))
+    low = classified(spark, d).withColumn("_low", F.lower("text"))
+    score = pol.score_of(pol.default_checks(spark), F.col("_low"), F.col("domain"))
+    counts = cl.risk_counts(low, "contract_id", total_policy_score=score)  # clauses are read and classified once
+    return pf.directory(view.contracts(spark, d), counts, counts)
 
 
 def light(spark: SparkSession, d: str) -> DataFrame:
