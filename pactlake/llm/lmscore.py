@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut_lineage, slices, text_bytes
+from .common import crc_mod, slices, text_bytes
 
 ORDER = 4
 U64 = np.uint64
@@ -155,13 +155,15 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, block_bytes: int = 16
             counts = np.bincount(of, np.concatenate([counts, n]), len(keys)).astype(np.int64)
         return pa.table([pa.array(np.full(len(keys), key[0].as_py(), np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["_block", "gram", "n"])
 
-    # one exchange of each serves the totals and the join that sends them back
-    own_words = dealt.groupBy("_block").applyInArrow(words_of, "_block int, word string, n long").repartition("word")
-    totals = own_words.groupBy("word").agg(F.sum("n").alias("total")).where("total > 0")
-    known = own_words.select("_block", "word").join(totals, "word")
-    own_grams = dealt.groupBy("_block").applyInArrow(grams, "_block int, gram long, n long").repartition("gram")
-    lengths = code_lengths(cut_lineage(own_grams.groupBy("gram").agg(F.sum("n").alias("n"))))
-    told = own_grams.select("_block", "gram").join(lengths, "gram")
+    # One exchange of each serves the totals and the join that sends them back. Spark reuses it as both take all its columns, which can't be null, so that no filter is inferred for one of them.
+    sure = lambda key, none: [F.coalesce("_block", F.lit(-1)).alias("_block"), F.coalesce(key, F.lit(none)).alias(key), F.coalesce("n", F.lit(0).cast("long")).alias("n")]
+    sent = lambda f, key, kind, none: dealt.groupBy("_block").applyInArrow(f, f"_block int, {key} {kind}, n long").select(*sure(key, none)).repartition(key)
+    summed = lambda own, key: own.groupBy(key).agg(F.sum("n").alias("total"), F.min("_block").alias("first")).where("first >= 0").drop("first")
+    own_words, own_grams = sent(words_of, "word", "string", ""), sent(grams, "gram", "long", -1)
+    totals = summed(own_words, "word").where("total > 0")
+    known = own_words.join(totals.withColumnRenamed("word", "of"), (F.col("word") == F.col("of")) & (F.col("n") <= F.col("total")))
+    lengths = code_lengths(summed(own_grams, "gram").withColumnRenamed("total", "n"))
+    told = own_grams.join(lengths.withColumnRenamed("gram", "of"), (F.col("gram") == F.col("of")) & (F.col("n") >= F.col("logp")))
     both = known.select("_block", "word", F.lit(None).cast("long").alias("gram"), F.col("total").cast("double").alias("value")).unionByName(told.select("_block", F.lit(None).cast("string").alias("word"), "gram", F.col("logp").alias("value")))
     whole = totals.agg(F.struct((F.coalesce(F.sum("total"), F.lit(0)) + train_docs).alias("n"), (F.count(F.lit(1)) + int(train_docs > 0)).alias("v")).alias("t")).scalar()
 
