@@ -8,15 +8,17 @@ Buckets of one position are dropped as early as they are known to be single:
 1. Documents are dealt into blocks of about `block_bytes` by a hash. In each block, the least 200-byte identifier
    (the anchor) within each 400-byte string is chosen; equal strings choose equal anchors. A run of positions with one
    anchor is the unit from here on: its identifiers are those of the anchor and of the run's whole bytes.
-2. The blocks' identifiers are counted in shards of the identifier space. Runs whose anchor is single are done. Runs
+2. Each block sends each of its pairs of identifiers once, with its count. Runs whose anchor is single are done. Runs
    whose whole bytes occur twice repeat throughout.
-3. In what is left (the ends of repeats), the runs' positions are refined to 400-byte identifiers, which are counted
-   in shards as well; of runs that equal each other, one stands for all.
+3. In what is left (the ends of repeats), the runs' positions are refined to 400-byte identifiers, which are sent and
+   counted as well; of runs that equal each other, one stands for all.
 4. Each block marks its repeated positions and cuts the covered bytes.
 
-Texts are shuffled once, into blocks; all else that moves are packed identifiers: about one for each 50 bytes in step 2,
-fewer in step 3. A shard's and a block's memory depends on the block size only, not on how often a string repeats, as a
-block sends each identifier once with its count. Identifiers have 64 bits, as strings are never compared themselves.
+Texts are shuffled once, into blocks; all else that moves are rows of identifiers: about one for each 50 bytes in step 2,
+fewer in step 3, and an answer to those that repeat. Their number grows with the input, not with its square, and not with
+how often a string repeats: a repeated identifier has a row for each block and no more, so none makes up more than one
+part in about 100,000 of the rows, and the windows that sum identifiers over blocks are short. Identifiers have 64 bits,
+as strings are never compared themselves.
 
 Null texts count as empty, and nothing is removed from texts shorter than `length`. Repeated rows are documents of
 their own: equal long rows remove each other. All columns are kept; an empty table gives an empty result.
@@ -28,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,80 +96,44 @@ def runs(buf: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[np.nd
         yield lo + s, hi + s, half[a], whole, ids, s
 
 
-def _packed(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple]:
-    """Rows (shard, block, kind, keys, counts) with sorted keys."""
-    if not len(keys):
-        return
-    shard = ((keys >> U64(40)) % U64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    keys, counts, shard = keys[order], counts[order], shard[order]
-    cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(keys)]])
-    for i, j in zip(cut[:-1], cut[1:], strict=True):
-        yield int(shard[i]), block, kind, keys[i:j].tobytes(), counts[i:j].astype(np.int32).tobytes()
-
-
-PACKED = T.StructType([T.StructField("_shard", T.IntegerType()), T.StructField("_block", T.IntegerType()), T.StructField("_kind", T.IntegerType()), T.StructField("_keys", T.BinaryType()), T.StructField("_counts", T.BinaryType())])
-FOUND = T.StructType([T.StructField("_block", T.IntegerType()), T.StructField("_kind", T.IntegerType()), T.StructField("_keys", T.BinaryType()), T.StructField("_totals", T.BinaryType()), T.StructField("_first", T.BinaryType())])
-
-
-def _table(rows: list[tuple], schema: T.StructType) -> pa.Table:
-    kinds = {T.IntegerType: pa.int32(), T.BinaryType: pa.binary()}
-    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.table([pa.array(c, kinds[type(f.dataType)]) for c, f in zip(cols, schema, strict=True)], names=schema.names)
-
-
-def count_in_shards(packed: DataFrame) -> DataFrame:
-    """For each block, those of its keys that occur twice or more in all blocks, their totals and whether the block is the first to have them."""
-
-    def count(table: pa.Table) -> pa.Table:
-        rows, blocks, kinds = [], table["_block"].to_numpy(), table["_kind"].to_numpy()
-        raw_keys, raw_counts = table["_keys"].to_pylist(), table["_counts"].to_pylist()
-        for kind in np.unique(kinds):
-            own = [r for r in np.argsort(blocks, kind="stable") if kinds[r] == kind]
-            keys = [np.frombuffer(raw_keys[r], U64) for r in own]
-            sizes = np.cumsum([0, *map(len, keys)])
-            all_keys = np.concatenate(keys)
-            counts = np.concatenate([np.frombuffer(raw_counts[r], np.int32) for r in own]).astype(np.int64)
-            order = np.argsort(all_keys, kind="stable")  # within a key, by block
-            ranked = all_keys[order]
-            head = np.ones(len(order), bool)
-            head[1:] = ranked[1:] != ranked[:-1]
-            start = np.flatnonzero(head)
-            total_of = np.add.reduceat(counts[order], start)
-            totals = np.empty(len(order), np.int64)
-            totals[order] = np.repeat(total_of, np.diff(np.append(start, len(order))))
-            first = np.zeros(len(order), bool)
-            first[order[start]] = True
-            for r, i, j in zip(own, sizes[:-1], sizes[1:], strict=True):
-                keep = totals[i:j] >= 2
-                if keep.any():
-                    rows.append((int(blocks[r]), int(kind), all_keys[i:j][keep].tobytes(), np.minimum(totals[i:j][keep], 2**31 - 1).astype(np.int32).tobytes(), first[i:j][keep].tobytes()))
-        return _table(rows, FOUND)
-
-    return packed.groupBy("_shard").applyInArrow(count, FOUND)
+def run_counts(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of identifiers (anchor, whole bytes) of a block's runs, and how many runs have each."""
+    parts = [(r[2], r[3]) for r in runs(buf, offs, length)]
+    anchor, whole = (np.concatenate([np.zeros(0, U64), *(p[k] for p in parts)]) for k in (0, 1))
+    order = np.lexsort((whole, anchor))
+    anchor, whole = anchor[order], whole[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
+    at = np.flatnonzero(new)
+    return anchor[at], whole[at], np.diff(np.append(at, len(order)))
+
+
+def _rows(block: int, names: tuple[str, ...], *columns: np.ndarray) -> pa.Table:
+    """A table of a block's identifiers and counts."""
+    return pa.table([pa.array(np.full(len(columns[0]), block, np.int32)), *(pa.array(c.view(np.int64) if c.dtype == U64 else c.astype(np.int64)) for c in columns)], names=["_block", *names])
 
 
 class _Known:
-    """Keys that repeat, by kind, with look-up."""
+    """Identifiers that repeat, with their counts and a flag."""
 
-    def __init__(self, table: pa.Table, kind: int):
-        rows = [r for r in table.to_pylist() if r["_kind"] == kind] if table.num_rows else []
-        keys = np.concatenate([np.zeros(0, U64), *(np.frombuffer(r["_keys"], U64) for r in rows)])
-        totals = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r["_totals"], np.int32) for r in rows)])
-        first = np.concatenate([np.zeros(0, bool), *(np.frombuffer(r["_first"], bool) for r in rows)])
-        order = np.argsort(keys)
-        self.keys, self.totals, self.first = keys[order], totals[order], first[order]
+    def __init__(self, keys: pa.ChunkedArray, totals: pa.ChunkedArray | None = None, first: pa.ChunkedArray | None = None):
+        keys = keys.to_numpy().view(U64)
+        self.keys, at = np.unique(keys, return_index=True)
+        self.totals = np.full(len(at), 2) if totals is None else totals.to_numpy()[at]
+        self.first = np.ones(len(at), bool) if first is None else first.to_numpy(zero_copy_only=False).astype(bool)[at]
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Totals (1 for a key that doesn't repeat) and whether this block is the first to have it."""
+        """Totals (1 for a key that doesn't repeat) and flags."""
         if not len(self.keys):
-            return np.ones(len(keys), np.int32), np.ones(len(keys), bool)
+            return np.ones(len(keys), np.int64), np.ones(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         hit = self.keys[at] == keys
         return np.where(hit, self.totals[at], 1), np.where(hit, self.first[at], True)
 
 
-ANCHOR, WHOLE, STRING = 0, 1, 2
+def _known_runs(found: pa.Table) -> tuple[_Known, _Known]:
+    own = found.filter(pc.is_valid(found["anchor"]))
+    return _Known(own["anchor"], own["of_anchor"]), _Known(own["whole"], own["of_whole"], own["first"])
 
 
 def _state(anchor: np.ndarray, whole: np.ndarray, anchors: _Known, wholes: _Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +155,6 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
     docs = docs.drop(*out)
     total = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    shards = max(1, blocks // 3)
     names = docs.columns
     # inside, columns go by their place, so that they may have any name
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
@@ -196,19 +162,18 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
     dealt = own.withColumn("_block", block_of(own, blocks)).repartition(max(1, min(blocks, 100_000)), "_block")
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        buf, offs = text_bytes(table[text])
-        parts = [(r[2], r[3]) for r in runs(buf, offs, length)]
-        rows = []
-        for kind in (ANCHOR, WHOLE):
-            keys, counts = np.unique(np.concatenate([np.zeros(0, U64), *(p[kind] for p in parts)]), return_counts=True)
-            rows += _packed(key[0].as_py(), kind, keys, counts, shards)
-        return _table(rows, PACKED)
+        return _rows(key[0].as_py(), ("anchor", "whole", "n"), *run_counts(*text_bytes(table[text]), length))
 
-    known = count_in_shards(dealt.groupBy("_block").applyInArrow(anchors, PACKED))
+    sent = dealt.groupBy("_block").applyInArrow(anchors, "_block int, anchor long, whole long, n long")
+    # one sort by both serves both windows
+    pair, single = Window.partitionBy("anchor", "whole"), Window.partitionBy("anchor")
+    known = sent.repartition("anchor").select("_block", "anchor", "whole", "n", F.sum("n").over(pair).alias("of_whole"), (F.min("_block").over(pair) == F.col("_block")).alias("first"))
+    known = known.select("_block", "anchor", "whole", F.sum("n").over(single).alias("of_anchor"), "of_whole", "first").where("of_anchor > 1")
 
     def strings(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
         buf, offs = text_bytes(table[text])
-        by_anchor, by_whole, parts, shown = _Known(found, ANCHOR), _Known(found, WHOLE), [np.zeros(0, U64)], np.zeros(0, U64)
+        by_anchor, by_whole = _known_runs(found)
+        parts, shown = [np.zeros(0, U64)], np.zeros(0, U64)
         for lo, hi, anchor, whole, ids, s in runs(buf, offs, length):
             _, refine, stands = _state(anchor, whole, by_anchor, by_whole)
             # one of a block's own equal runs is enough
@@ -218,15 +183,17 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
             shown = np.concatenate([shown, whole[at]])
             pick = np.concatenate([np.flatnonzero(refine), at])
             parts += [ids[a - s : b - s + 1] for a, b in zip(lo[pick], hi[pick], strict=True)]
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        return _table(list(_packed(key[0].as_py(), STRING, keys, counts, shards)), PACKED)
+        return _rows(key[0].as_py(), ("string", "n"), *np.unique(np.concatenate(parts), return_counts=True))
 
-    refined = count_in_shards(dealt.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(strings, PACKED))
+    refined = dealt.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(strings, "_block int, string long, n long")
+    repeated = refined.select("_block", "string", F.sum("n").over(Window.partitionBy("string")).alias("total")).where("total > 1").select("_block", "string")
+    told = known.unionByName(repeated, allowMissingColumns=True)
     schema = T.StructType([*own.schema.fields, T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_kept", T.BinaryType())])
 
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
         buf, offs = text_bytes(table[text])
-        by_anchor, by_whole, by_string = (_Known(found, k) for k in (ANCHOR, WHOLE, STRING))
+        by_anchor, by_whole = _known_runs(found)
+        by_string = _Known(found["string"].filter(pc.is_valid(found["string"])))
         change = np.zeros(len(buf) + 1, np.int32)
         for lo, hi, anchor, whole, ids, s in runs(buf, offs, length):
             full, refine, _ = _state(anchor, whole, by_anchor, by_whole)
@@ -251,7 +218,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
         held = table.select([f"c{k}" for k in range(len(names))])
         return held.append_column("_spans", pa.array(spans, pa.list_(pa.list_(pa.int64())))).append_column("_kept", pa.array(kept, pa.binary()))
 
-    done = dealt.groupBy("_block").cogroup(known.unionByName(refined).groupBy("_block")).applyInArrow(cut, schema)
+    done = dealt.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(cut, schema)
     return done.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.col("_spans").alias(out[0]), F.col("_kept").alias(out[1]))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from pactlake.llm import sadedup
@@ -92,3 +93,16 @@ def test_a_very_long_text(spark):
     long = "".join(rng.choice("abcdefghij ") for _ in range(3_000_000)) + shared
     out = {r.doc_id: (r.n_removed, r.n_spans) for r in sadedup.digest(spark.createDataFrame([(1, long, "a"), (2, "x" + shared + "y", "a"), (3, "é" * 1_000_000, "b")], SCHEMA)).collect()}
     assert out[1][1] == out[2][1] == 1 and 3000 <= out[1][0] <= 3002 and out[2][0] == out[1][0] and out[3] == (2_000_000, 1)
+
+
+def test_rows_grow_with_the_input():
+    """What the blocks send grows with the text, not with the square of the number of blocks, and a passage in all blocks has a row for each."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared, sent = text(500), []
+    for blocks in (4, 16):
+        rows = [sadedup.run_counts(*sadedup.text_bytes(pa.array([text(4000) + shared * 3 for _ in range(3)])), 100) for _ in range(blocks)]
+        sent.append(sum(len(r[0]) for r in rows))
+        pairs = [set(zip(r[0].tolist(), r[1].tolist())) for r in rows]
+        assert all(len(p) == len(r[0]) and r[2].max() >= 9 for p, r in zip(pairs, rows)) and set.intersection(*pairs)
+    assert 3.8 < sent[1] / sent[0] < 4.2
