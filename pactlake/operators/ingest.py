@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +122,43 @@ def newest_first(records: DataFrame) -> DataFrame:
     return records.orderBy(F.coalesce("updated_at", "created_at", F.lit("")).desc(), "contract_id")
 
 
+@dataclass(frozen=True)
+class Rebuilt:
+    """The tables of a full rebuild."""
+
+    outcome: DataFrame  # contract_id, outcome (duplicate, unreadable, rebuilt), n_clauses
+    clauses: DataFrame  # contract_id, clause_id, text
+    facts: DataFrame  # labelled facts of each contract
+    passages: DataFrame  # contract_id, kind, passage_id, text, embedding
+    due: DataFrame  # contracts to analyse again, with has_policy
+    not_searchable: DataFrame  # contract_id of kept contracts without a passage
+
+
+def rebuild_all(records: DataFrame, pages: DataFrame, stored: DataFrame, mode: str = "changed", embed: Callable[[DataFrame], DataFrame] | None = None) -> Rebuilt:
+    """Everything anew from the pages (contract_id, page_no, text) of the records that stay: parts, facts, passages with embeddings (words in buckets, or a user's `embed`), and what must be analysed again.
+
+    records: contract_id, content_hash, updated_at, status, policy_id; stored: contract_id, clause_id, text as of before.
+    """
+    from .facts import labelled_facts
+    from .parsing import join_pages, split_document, strip_furniture
+    from .retrieval import embed_words
+
+    kept = exact_duplicates(records)
+    stays = kept.where("keep")
+    docs = join_pages(strip_furniture(pages.join(stays.select("contract_id"), "contract_id", "left_semi")))
+    parts = split_document(docs)
+    clauses = parts.where("kind = 'clause'").select("contract_id", "clause_id", "text")
+    passages = (embed or embed_words)(parts.select("contract_id", "kind", F.when(F.col("kind") == "header", "header").otherwise(F.col("clause_id").cast("string")).alias("passage_id"), "text"))
+    change = changes(stored.join(stays.select("contract_id"), "contract_id", "left_semi"), clauses)
+    n = clauses.groupBy("contract_id").agg(F.count(F.lit(1)).alias("n_clauses"))
+    out = kept.join(n, "contract_id", "left").withColumn("n_clauses", F.coalesce("n_clauses", F.lit(0)))
+    how = F.when(~F.col("keep"), "duplicate").when(F.col("n_clauses") == 0, "unreadable").otherwise("rebuilt")
+    return Rebuilt(
+        out.select("contract_id", how.alias("outcome"), "n_clauses"), clauses, labelled_facts(docs), passages,
+        due_for_analysis(stays, change, mode), stays.select("contract_id").join(parts.select("contract_id"), "contract_id", "left_anti"),
+    )
+
+
 def rebuild(records: DataFrame, pages: DataFrame) -> DataFrame:
     """One outcome for each contract of a full rebuild: duplicate, unreadable (no clause) or rebuilt with its number of clauses."""
     from .parsing import join_pages, split_document, strip_furniture

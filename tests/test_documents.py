@@ -89,6 +89,47 @@ def test_labelled_facts(spark):
     assert got["c"].contract_value is None and got["d"].customer_name is None
 
 
+def test_party_names(spark):
+    cases = {
+        "Sunrise Solar\nPrivate Limited\nMore text": "Sunrise Solar Private Limited", "Mr. J. P. Morgan, residing at X": "Mr. J. P. Morgan", "Acme Pvt. Ltd. of Boston": "Acme Pvt. Ltd", "Acme Inc. The rest": "Acme Inc",
+        "Having Industries Ltd with seat": "Having Industries Ltd", "St. George Bank (the lender)": "St. George Bank", "Ann Lee\nBORROWER: Bob": "Ann Lee", "the borrower": None, "X": None, "Smith & Co; more": "Smith & Co",
+    }
+    rows = spark.createDataFrame([(k, f"LENDER: {t}") for k, t in enumerate(cases)], "contract_id int, text string")
+    got = [r[0] for r in rows.orderBy("contract_id").select(facts.labelled_party(F.col("text"), "lender_name")).collect()]
+    assert got == list(cases.values())
+
+
+def test_replies(spark):
+    rows = ['{"domain": "legal", "risk_level": "HIGH", "reasons": [" a ", ""], "key_metadata": {"x": 1, "y": null}}', '{"domain": "odd", "reasons": "only one"}', "{}", None]
+    frame = spark.createDataFrame([(r,) for r in rows], "reply string")
+    got = [r[0] and r[0].asDict() for r in frame.select(facts.normal_classification(F.col("reply"))).collect()]
+    assert got[0] == {"domain": "Legal", "risk_level": "High", "reasons": ["a"], "key_metadata": {"x": "1"}}
+    assert got[1]["domain"] == "Other" and got[1]["risk_level"] == "Low" and got[1]["reasons"] == ["only one"]
+    assert len(got[2]["reasons"]) == 1 and got[3] is None
+    docs = spark.createDataFrame([("a", "a.txt", HEADER), ("b", "b.txt", "Paid USD 5.00 and governed by the laws of Freedonia.")], "contract_id string, filename string, text string")
+
+    def model(pdf):
+        said = ['```json\n{"customer_name": "Ann Lee", "lender_name": "n/a", "contract_value": "$45,892", "ip_shared_with_customer": "Yes", "indemnification_strength": "strong"}\n```' if "a.txt" in p else "garbage" for p in pdf["prompt"]]
+        return pdf.assign(reply=said)
+
+    out = {r.contract_id: (r.extraction_method, r.facts) for r in facts.extract_with(docs, model).collect()}
+    assert out["a"][0] == "llm" and out["a"][1].customer_name == "Ann Lee" and out["a"][1].lender_name is None and out["a"][1].contract_value == 45892.0
+    assert out["a"][1].ip_shared_with_customer is True and out["a"][1].indemnification_strength == "Strong"
+    assert out["b"][0] == "local_fallback" and out["b"][1].contract_value == 5.0 and out["b"][1].governing_law.startswith("Freedonia")
+
+
+def test_rebuild_of_everything(spark):
+    records = spark.createDataFrame([("a", "h1", "2024", "analyzed", "p"), ("b", "h1", "2025", "analyzed", "p"), ("c", "h2", "2024", "analyzed", None), ("d", "h3", "2024", "analyzed", None)], "contract_id string, content_hash string, updated_at string, status string, policy_id string")
+    pages = spark.createDataFrame([("b", 1, HEADER + "\n\n".join(BODY)), ("c", 1, "\n\n".join(BODY)), ("d", 1, "x")], "contract_id string, page_no int, text string")
+    stored = spark.createDataFrame([("c", k, t) for k, t in enumerate(BODY, 1)] + [("b", 1, "another text")], "contract_id string, clause_id int, text string")
+    out = ingest.rebuild_all(records, pages, stored)
+    assert {r.contract_id: r.outcome for r in out.outcome.collect()} == {"a": "duplicate", "b": "rebuilt", "c": "rebuilt", "d": "unreadable"}
+    assert {r.contract_id: r.has_policy for r in out.due.collect()} == {"b": True}
+    assert [r.contract_id for r in out.not_searchable.collect()] == ["d"]
+    assert {(r.contract_id, r.passage_id) for r in out.passages.collect()} >= {("b", "header"), ("c", "3")} and out.passages.schema["embedding"]
+    assert {r.contract_id: r.contract_value for r in out.facts.collect()}["b"] == 45892.0
+
+
 def test_ground(spark):
     docs = spark.createDataFrame([("a", HEADER), ("b", "Paid to Ann Lee Jr: $10.00 in all.")], "contract_id string, text string")
     said = spark.createDataFrame([("a", 1.0, "EUR", "Bob", "X", "2024-01-01", "soon"), ("b", 10.0, "USD", "Ann Lee", "Y", None, None)], "contract_id string, contract_value double, currency string, customer_name string, lender_name string, start_date string, end_date string")
