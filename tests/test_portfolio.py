@@ -261,6 +261,31 @@ def test_citations_and_sources(spark):
     assert [(r.line_no, r.source_no) for r in retrieval.attach_citations(lines, sources).collect()] == [(1, 2)]
 
 
+def test_links_in_lines(spark):
+    sources = spark.createDataFrame(
+        [
+            (1, 4, "05_Loan_Delgado.pdf", "7", "CLAUSE SEVEN TERMINATION: The LENDER may terminate this agreement", []),
+            (1, 9, "06_Farm_Whitaker.pdf", "7", "CLAUSE SEVEN DEFAULT: An installment not paid by December", []),
+            (1, 20, "Contract_1.pdf", "7", "CLAUSE SEVEN TERMINATION: Breach of obligations results in termination", ["Contract_10.pdf", "Contract_3.pdf"]),
+            (1, 21, "Contract_1.pdf", "2", "CLAUSE TWO TERM: The financing period shall be up to 60 months", ["Contract_10.pdf", "Contract_3.pdf"]),
+        ],
+        "answer_id int, source_no int, filename string, clause_id string, text string, also_files array<string>",
+    )
+    cases = [
+        ("| Contract | Clause | Key points |", None), ("|---|---|---|", None),
+        ("| 05_Loan_Delgado.pdf | Clause 7 - Termination | Lender may terminate. |", "| 05_Loan_Delgado.pdf | Clause 7 - Termination [Source 4](#source-4) | Lender may terminate. |"),
+        ("| 06_Farm_Whitaker.pdf | Clause 7 - Default | Late interest. |", "| 06_Farm_Whitaker.pdf | Clause 7 - Default [Source 9](#source-9) | Late interest. |"),
+        ("| Contract_3.pdf (and others) | Clause 2 - Term | Up to 60 months. |", "| Contract_3.pdf (and others) | Clause 2 - Term [Source 21](#source-21) | Up to 60 months. |"),
+        ("In Contract_10 clause 7 says so.", "In Contract_10 clause 7 [Source 20](#source-20) says so."),
+        ("05_Loan_Delgado.pdf allows the lender to go.", "05_Loan_Delgado.pdf [Source 4](#source-4) allows the lender to go."),
+        ("Contract_1 ends on a breach, which results in termination.", "Contract_1 [Source 20](#source-20) ends on a breach, which results in termination."),
+        ("Contract_12 clause 7 is another.", None), ("See [Source 4](#source-4) of 05_Loan_Delgado.", None), ("```", None), ("Contract_1 clause 7", None), ("```", None), ("Nothing.", None),
+    ]
+    lines = spark.createDataFrame([(1, k, t) for k, (t, _) in enumerate(cases)], "answer_id int, line_no int, text string")
+    got = [r.text for r in retrieval.link_lines(lines, sources).orderBy("line_no").collect()]
+    assert got == [after or before for before, after in cases]
+
+
 def test_eval_cases(spark):
     cases = spark.createDataFrame([(1, "structured", ["45,892"]), (2, None, ["Park"]), (3, "semantic", ["TODO"]), (4, "semantic", ["x"])], "case_id int, expect_route string, expect_contains array<string>")
     answers = spark.createDataFrame([(1, "It is $45,892.00", "structured"), (2, "rachel park", "semantic"), (4, "x", "structured")], "case_id int, answer string, route string")
