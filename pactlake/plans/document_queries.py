@@ -244,11 +244,38 @@ def ret_approximate(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.approximate_pairs(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
 
 
-@query()
-def ret_hybrid(spark: SparkSession, d: str) -> DataFrame:
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in ("", *tx.STOPWORDS)) + "]"
+_SEARCH_SQL = rf"""t AS (SELECT *, concat_ws('-', conv_id, turn) AS id FROM conversations), w AS (SELECT id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM t),
+ b AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS b, count(*)::DOUBLE AS n FROM w GROUP BY ALL), l AS (SELECT id, sqrt(sum(n * n)) AS len FROM b GROUP BY 1),
+ q AS (SELECT * FROM t WHERE role = 'user' AND conv_id % 50 = 0), p AS (SELECT * FROM t WHERE role <> 'user' AND trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) <> ''),
+ dots AS (SELECT q.id AS query_id, p.id AS passage_id, sum(x.n * y.n) AS d FROM q JOIN b x ON x.id = q.id JOIN b y ON y.b = x.b JOIN p ON p.id = y.id GROUP BY ALL),
+ c AS (SELECT q.id AS query_id, p.conv_id AS contract_id, p.id AS passage_id, p.text, q.text AS question, round(coalesce(d / (lq.len * lp.len), 0), 9) AS cos
+  FROM q CROSS JOIN p LEFT JOIN dots ON dots.query_id = q.id AND dots.passage_id = p.id LEFT JOIN l lq ON lq.id = q.id LEFT JOIN l lp ON lp.id = p.id),
+ words AS (SELECT id, list_filter(list_distinct(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9%.]{{3,}}'), lambda x: regexp_replace(x, '^[.%]+|[.%]+$', '', 'g'))), lambda x: NOT list_contains({_STOP_SQL}, x)) AS terms FROM q),
+ scored AS (SELECT c.*, cos + least(0.3::DOUBLE, len(list_filter(terms, lambda x: regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(x)))) * 0.1::DOUBLE) AS score FROM c JOIN words ON words.id = query_id)"""
+
+
+def _search_sql(candidates: str, cut: str, by: str, k: int) -> str:
+    return (
+        f"WITH {_SEARCH_SQL}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY cos DESC, passage_id) AS n FROM scored) WHERE n <= {candidates}), kept AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY {by}) AS top FROM near) WHERE score >= {cut}), "
+        r"single AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, contract_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) ORDER BY score DESC, passage_id) AS k FROM kept) WHERE k = 1) "
+        f"SELECT * FROM (SELECT query_id, contract_id, passage_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY {by} ORDER BY score DESC, passage_id))::INT AS place FROM single) WHERE place <= {k}"
+    )
+
+
+def _talk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     talk = retrieval.embed_words(table(spark, d, "conversations").select(F.col("conv_id").alias("contract_id"), F.concat_ws("-", "conv_id", "turn").alias("passage_id"), "role", "text"))
-    asked = talk.where("role = 'user' and contract_id % 50 = 0").select(F.col("passage_id").alias("query_id"), F.col("text").alias("question"), "embedding")
-    return retrieval.hybrid(talk.where("role <> 'user'"), asked, 5)
+    return talk.where("role <> 'user'"), talk.where("role = 'user' and contract_id % 50 = 0").select(F.col("passage_id").alias("query_id"), F.col("text").alias("question"), "embedding")
+
+
+@query(_search_sql("20", "greatest(top - 0.12::DOUBLE, 0.3::DOUBLE)", "query_id", 5))
+def ret_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.hybrid(*_talk(spark, d), 5).drop("text").withColumn("score", F.round("score", 6))
+
+
+@query(_search_sql("8", "top - 0.3::DOUBLE", "query_id, contract_id", 2))
+def ret_per_contract(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.hybrid(*_talk(spark, d), per_contract=2).drop("text").withColumn("score", F.round("score", 6))
 
 
 _WORDING = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
