@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import facts, ingest, parsing, policy, retrieval, routing
+from ..operators import conversations, facts, ingest, parsing, policy, retrieval, routing
 from ..streaming import streams
 from . import view
 from .view import CLAUSES_SQL, CONTRACTS_SQL, table
@@ -144,6 +144,45 @@ def par_coverage(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("contract_id").alias("doc_id"), "ratio", "ok", F.array_join("missing_sample", ",").alias("missing"))
 
 
+@query("WITH " + CLAUSES_SQL + ", f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contract_id, substr(lower(text), 1, 80) ORDER BY clause_id) AS n FROM clauses) WHERE n = 1) SELECT contract_id, (row_number() OVER (PARTITION BY contract_id ORDER BY clause_id))::INT AS clause_id, text FROM f")
+def par_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts without headings: paragraphs, among short ones and noise, some of them twice."""
+    body = view.clauses(spark, d).groupBy("contract_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("clause_id", "text"))), lambda x: x["text"]).alias("t"))
+    noise = F.array(F.lit("Service Agreement between parties that say very little about it here"), F.lit("Too short."), F.lit("Signed by the parties at the place that is named further above"))
+    return parsing.split_document(body.select("contract_id", F.array_join(F.concat(noise, "t", noise), "\n\n").alias("text"))).select("contract_id", "clause_id", "text")
+
+
+@query("WITH " + CLAUSES_SQL + " SELECT contract_id, clause_id, 'CLAUSE ' || clause_id || ' - Terms: ' || text AS text FROM clauses")
+def par_signature(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts that end in a signature block."""
+    form = F.element_at(F.array(F.lit("\nIN WITNESS WHEREOF the parties sign below.\n________\n"), F.lit("\nSigned at Springfield\nBy: ____"), F.lit("\n__________\nthe borrower")), (F.col("contract_id") % 3 + 1).cast("int"))
+    return parsing.split_document(rendered(spark, d).withColumn("text", F.concat("text", form))).where("kind = 'clause'").select("contract_id", "clause_id", "text")
+
+
+@query("WITH " + CLAUSES_SQL + " SELECT contract_id, clause_id, CASE WHEN clause_id = 6 THEN '6' ELSE clause_id || ',6' END AS numbers FROM clauses")
+def par_clause_numbers(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.lit("See clauses "), F.col("clause_id").cast("string"), F.lit(" and Six of it, and section "), F.col("clause_id").cast("string"))
+    return view.clauses(spark, d).select("contract_id", "clause_id", F.array_join(F.transform(tx.clause_numbers(said), lambda n: n.cast("string")), ",").alias("numbers"))
+
+
+@query("WITH " + CLAUSES_SQL + " SELECT contract_id, clause_id AS number, clause_id FROM clauses WHERE clause_id <= 3")
+def par_clause_by_number(spark: SparkSession, d: str) -> DataFrame:
+    """The first two clauses have headings with their numbers, the third is known by its id only."""
+    c = view.clauses(spark, d).withColumn("kind", F.lit("clause"))
+    headed = c.withColumn("text", F.when(F.col("clause_id") == 1, F.concat(F.lit("CLAUSE ONE - "), "text")).when(F.col("clause_id") == 2, F.concat(F.lit("2. "), "text")).otherwise(F.col("text")))
+    return parsing.clause_by_number(headed, c.where("clause_id <= 3").select("contract_id", F.col("clause_id").alias("number"))).select("contract_id", "number", "clause_id")
+
+
+_COMPACT = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+
+
+@query("WITH " + CLAUSES_SQL + f", p AS (SELECT contract_id, string_agg(text, ' ' ORDER BY clause_id) AS page FROM clauses GROUP BY 1) SELECT contract_id, clause_id, instr({_COMPACT.format('page')}, substr({_COMPACT.format('text')}, 1, 40))::INT AS at FROM clauses JOIN p USING (contract_id)")
+def par_locate(spark: SparkSession, d: str) -> DataFrame:
+    c = view.clauses(spark, d)
+    page = c.groupBy("contract_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clause_id", "text"))), lambda x: x["text"]), " ").alias("page"))
+    return c.join(page, "contract_id").select("contract_id", "clause_id", parsing.locate(F.col("page"), F.col("text")).cast("int").alias("at"))
+
+
 # ------------------------------------------------------------- ingest
 
 
@@ -228,6 +267,27 @@ def ing_keep_better(spark: SparkSession, d: str) -> DataFrame:
     return out.select("contract_id", "contract_value", (F.size("extraction_warnings") > 0).alias("kept"))
 
 
+@query("WITH " + CONTRACTS_SQL + " SELECT contract_id, contract_id % 5 <> 0 AND status = 'analyzed' AS skip FROM contracts")
+def ing_can_skip(spark: SparkSession, d: str) -> DataFrame:
+    return view.contracts(spark, d).select("contract_id", ingest.can_skip(F.when(F.col("contract_id") % 5 == 0, "changed").otherwise("same"), F.col("status")).alias("skip"))
+
+
+@query("WITH " + CONTRACTS_SQL + " SELECT contract_id, array_to_string(list_filter([CASE WHEN contract_id % 2 = 0 THEN 'Same file as ' || contract_id + 1 END, CASE WHEN contract_id % 3 = 0 THEN 'Replaced the stored version' END, CASE WHEN contract_id % 5 = 0 THEN 'Part of the text is in no clause' END, CASE WHEN contract_id % 7 = 0 THEN 'OCR: no engine' END], lambda x: x IS NOT NULL), '; ') AS said FROM contracts")
+def ing_warnings(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("contract_id")
+    up = view.contracts(spark, d).select(k, F.when(k % 2 == 0, k + 1).alias("duplicate_of"), (k % 3 == 0).alias("reprocessed"), (k % 5 != 0).alias("coverage_ok"), F.when(k % 7 == 0, "no engine").alias("ocr_error"), F.lit(None).cast("string").alias("index_error"))
+    return up.select("contract_id", F.array_join(ingest.warnings(), "; ").alias("said"))
+
+
+@query("SELECT '/in/' || CASE o_orderkey % 4 WHEN 1 THEN 'b.docx' ELSE 'c.pdf' END || o_orderkey || CASE o_orderkey % 4 WHEN 1 THEN '.docx' ELSE '.pdf' END AS path, CASE WHEN o_orderkey % 4 = 1 OR o_totalprice > 400000 THEN 'skipped' ELSE 'accepted' END AS status FROM orders WHERE o_orderkey % 4 <> 0")
+def src_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Files of all orders, some hidden, some of another kind, some too large, each listed twice."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("."), k.cast("string"), F.lit(".pdf"))).when(k % 4 == 1, F.concat(F.lit("b.docx"), k.cast("string"), F.lit(".docx"))).otherwise(F.concat(F.lit("c.pdf"), k.cast("string"), F.lit(".pdf")))
+    files = o.select(F.concat(F.lit("/in/"), name).alias("path"), F.when(F.col("o_totalprice") > 400000, 60 << 20).otherwise(100).cast("long").alias("length"))
+    return ingest.listing_status(files.unionByName(files)).select("path", "status")
+
+
 # ------------------------------------------------------------- retrieval
 
 
@@ -455,6 +515,24 @@ def qry_describe(spark: SparkSession, d: str) -> DataFrame:
     return c.select("contract_id", routing.describe(c).alias("said"))
 
 
+@query("SELECT conv_id AS query_id, conv_id AS contract_id, CASE WHEN conv_id % 2 = 0 THEN 'strong' ELSE 'loose' END AS strength FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 2 = 0 OR conv_id % 3 <> 0")
+def rte_usable_names(spark: SparkSession, d: str) -> DataFrame:
+    """Every third conversation asks for a total; every second names its contract in full."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id")).distinct()
+    named = c.select("query_id", F.col("query_id").alias("contract_id"), F.when(F.col("query_id") % 2 == 0, "strong").otherwise("loose").alias("strength"))
+    asked = c.withColumn("question", F.when(F.col("query_id") % 3 == 0, "what is the total amount financed").otherwise("what does it say"))
+    return routing.usable_names(named, routing.route(asked))
+
+
+@query("SELECT conv_id AS case_id, CASE WHEN conv_id % 5 = 0 THEN 'skip' WHEN conv_id % 2 = 0 AND conv_id % 3 = 0 THEN 'pass' ELSE 'fail' END AS status FROM (SELECT DISTINCT conv_id FROM conversations)")
+def rte_evaluate(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("case_id")
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("case_id")).distinct()
+    cases = c.select(k, F.lit("semantic").alias("expect_route"), F.array(F.when(k % 5 == 0, "TODO").otherwise("IT IS 5")).alias("expect_contains"))
+    answers = c.select(k, F.when(k % 2 == 0, "It is 5.").otherwise("It is 6.").alias("answer"), F.when(k % 3 == 0, "semantic").otherwise("structured").alias("route"))
+    return conversations.evaluate(answers, cases)
+
+
 # ------------------------------------------------------------- policy library over parts
 
 _UP_SQL = "SELECT CASE WHEN id > 10 THEN id // 2 END AS id FROM "

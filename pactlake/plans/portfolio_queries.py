@@ -270,6 +270,51 @@ def fct_directory_line(spark: SparkSession, d: str) -> DataFrame:
     return directory(spark, d).select("contract_id", pf.directory_line().alias("line"))
 
 
+@query("WITH " + CONTRACTS_SQL + " SELECT contract_id FROM contracts WHERE contract_id % 3 = 0")
+def qry_scope(spark: SparkSession, d: str) -> DataFrame:
+    c = light(spark, d)
+    return pf.scope(c, pf.Spec(), named=c.where("contract_id % 3 = 0").select("contract_id")).select("contract_id")
+
+
+@query("WITH " + CONTRACTS_SQL + _rank_sql("contracts", "contract_value", "DESC", GROUP, limit=2).replace("SELECT contract_id, currency_group, position FROM c", "SELECT contract_id, position AS source_no, CASE WHEN contract_id % 2 = 0 THEN 'Header ' || contract_id ELSE 'Amount: ' || CASE WHEN currency = 'USD' THEN '$' || format('{:,.2f}', contract_value) WHEN currency = 'INR' THEN '₹' || format('{:,.2f}', contract_value) WHEN currency = 'EUR' THEN '€' || format('{:,.2f}', contract_value) ELSE trim(format('{:,.2f}', contract_value) || ' ' || coalesce(currency, '')) END END AS text FROM c"))
+def qry_sources(spark: SparkSession, d: str) -> DataFrame:
+    c = light(spark, d).withColumn("header_text", F.when(F.col("contract_id") % 2 == 0, F.concat(F.lit("Header "), F.col("contract_id").cast("string"))))
+    return pf.sources(pf.ranked(c, pf.Spec(sort_by="contract_value", limit=2))).select("contract_id", "source_no", "text")
+
+
+@query("WITH " + CHECKS_SQL + ", r AS (SELECT DISTINCT l_orderkey AS contract_id FROM lineitem) SELECT contract_id, check_id, CASE WHEN check_no % 2 = 0 THEN contract_id % 2 = 0 END AS matched FROM r, checks")
+def pol_align(spark: SparkSession, d: str) -> DataFrame:
+    """Replies that leave out every second check."""
+    checks = pol.default_checks(spark)
+    ids = [c[1] for c in pol.DEFAULT_CHECKS][::2]
+    contracts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("contract_id")).distinct()
+    said = F.array(*[F.struct(F.lit(i).alias("id"), (F.col("contract_id") % 2 == 0).alias("matched"), F.lit("").alias("reason")) for i in ids])
+    return pol.align_replies(checks, contracts.select("contract_id", F.lit(1).alias("clause_id"), said.alias("results"))).select("contract_id", "check_id", "matched")
+
+
+@query("WITH " + CLASSIFIED_SQL + " SELECT contract_id, clause_id, CASE WHEN clause_id % 2 = 0 THEN 'HR' ELSE domain END AS domain, CASE WHEN clause_id % 2 = 0 THEN 'Low' ELSE risk_level END AS risk_level, CASE WHEN clause_id % 2 = 0 THEN 'llm' ELSE 'keyword_fallback' END AS method FROM classified")
+def cls_with_model(spark: SparkSession, d: str) -> DataFrame:
+    """A model that answers for every second clause."""
+
+    def model(pdf):
+        even = pdf["clause_id"] % 2 == 0
+        return pdf.assign(m_domain=["HR" if e else None for e in even], m_risk_level=["Low" if e else None for e in even], m_reason=["said so" if e else None for e in even])
+
+    return cl.classify_with(view.clauses(spark, d), model).select("contract_id", "clause_id", "domain", "risk_level", "method")
+
+
+@query("WITH " + DIRECTORY_SQL + ", t AS (SELECT count(*) AS contracts, count(*) FILTER (status = 'analyzed') AS analyzed, count(*) FILTER (status <> 'analyzed') AS not_analyzed, sum(total_clauses)::BIGINT AS clauses, sum(high_risk_clauses)::BIGINT AS high, sum(medium_risk_clauses)::BIGINT AS medium, sum(low_risk_clauses)::BIGINT AS low FROM directory WHERE contains(filename, '_1')), p AS (SELECT *, floor(100.0 * high / clauses + 0.5)::BIGINT AS high_percent FROM t) SELECT *, CASE WHEN high_percent > 20 THEN 'red' WHEN high_percent > 10 THEN 'yellow' ELSE 'green' END AS band FROM p")
+def dsh_filtered_totals(spark: SparkSession, d: str) -> DataFrame:
+    return dash.totals(dash.filtered(directory(spark, d), classified(spark, d), name="_1"))
+
+
+@query("WITH " + CONTRACTS_SQL + r" SELECT contract_id, contains(' ' || trim(regexp_replace(regexp_replace(lower(filename), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) || ' ', ' contract 3 ') AS third, '12 Hill Road ' || contract_id AS address FROM contracts")
+def fn_party_texts(spark: SparkSession, d: str) -> DataFrame:
+    header = F.concat(F.lit("LOAN AGREEMENT\nBORROWER: "), "customer_name", F.lit(", residing at 12 Hill Road "), F.col("contract_id").cast("string"), F.lit("\nLENDER: X"))
+    third = text.contains_name(text.norm_name(F.col("filename")), F.lit("contract 3"))
+    return view.contracts(spark, d).select("contract_id", third.alias("third"), text.party_address(header, "BORROWER|CUSTOMER").alias("address"))
+
+
 # ------------------------------------------------------------- comparison
 
 
