@@ -137,7 +137,7 @@ def par_join_pages(spark: SparkSession, d: str) -> DataFrame:
 _OWN, _KEPT = (f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]{{3,}}'))" for x in ("text", "regexp_replace(text, '[A-Za-z0-9]*t[ie][A-Za-z0-9]*', ' ', 'g')"))
 
 
-@query(f"SELECT doc_id, CASE WHEN len(o) = 0 THEN 1.0::DOUBLE ELSE round(1 - len(m)::DOUBLE / len(o), 3) END AS ratio, CASE WHEN len(o) = 0 THEN true ELSE 1 - len(m)::DOUBLE / len(o) >= 0.95 END AS ok, array_to_string(list_slice(list_sort(m), 1, 20), ',') AS missing FROM (SELECT doc_id, {_OWN} AS o, list_filter({_OWN}, lambda x: NOT list_contains({_KEPT}, x)) AS m FROM documents)")
+@query(f"WITH o AS (SELECT doc_id, unnest({_OWN}) AS w FROM documents), k AS (SELECT doc_id, unnest({_KEPT}) AS w FROM documents), n AS (SELECT doc_id, count(*) AS n FROM o GROUP BY 1), m AS (SELECT doc_id, count(*) AS m, array_to_string(list_slice(list(w ORDER BY w), 1, 20), ',') AS missing FROM o ANTI JOIN k ON o.doc_id = k.doc_id AND o.w = k.w GROUP BY 1), r AS (SELECT doc_id, 1 - coalesce(m::DOUBLE / n, 0) AS r, coalesce(missing, '') AS missing FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)) SELECT doc_id, round(r, 3) AS ratio, r >= 0.95 AS ok, missing FROM r")
 def par_coverage(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("contract_id"), "text")
     out = parsing.coverage(docs, docs.withColumn("text", F.regexp_replace("text", "[A-Za-z0-9]*t[ie][A-Za-z0-9]*", " ")))  # words that a splitter lost
