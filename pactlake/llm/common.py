@@ -147,20 +147,31 @@ def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int) -> Dat
     return near.withColumn("_rank", rank).where(F.col("_rank") <= per_label).select(key, label, "n_label")
 
 
-def fit_logistic(starts: np.ndarray, index: np.ndarray, value: np.ndarray | None, y: np.ndarray, weight: np.ndarray, dim: int, l2: float = 1e-3, steps: int = 80, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model on sparse rows, by Adam over all rows at each step."""
+#: Entries of sparse rows that are worked on at once.
+ENTRIES = 1 << 20
+
+
+def row_ranges(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of sparse rows of about ENTRIES entries each."""
+    return slices(starts, ENTRIES)
+
+
+def fit_logistic(starts: np.ndarray, index: np.ndarray, value: np.ndarray | None, y: np.ndarray, weight: np.ndarray, dim: int, l2: float = 1e-3, steps: int = 80, rate: float = 0.05, scale: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model on sparse rows, by Adam over all rows at each step. An entry's value is `value`, or 1, times its feature's `scale`, if given. Rows are taken in ranges, so that only these need room for numbers of their own."""
     w, b = np.zeros(dim), 0.0
     m, v, mb, vb = np.zeros(dim), np.zeros(dim), 0.0, 0.0
-    lengths = np.diff(starts)
-    row = np.repeat(np.arange(len(y)), lengths)
+    lengths, ranges = np.diff(starts), list(row_ranges(starts))
     weight = weight / weight.sum()
     for t in range(1, steps + 1):
-        x = w[index] if value is None else w[index] * value
-        z = np.bincount(row, x, len(y)) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        g = err[row] if value is None else err[row] * value
-        g = np.bincount(index, g, dim) + l2 * w
-        gb = err.sum()
+        whole, g, gb = w if scale is None else w * scale, np.zeros(dim), 0.0
+        for i, j in ranges:
+            own, of = index[starts[i] : starts[j]], np.repeat(np.arange(j - i), lengths[i:j])
+            part = None if value is None else value[starts[i] : starts[j]]
+            z = np.bincount(of, whole[own] if part is None else whole[own] * part, j - i) + b
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j]) * weight[i:j]
+            g += np.bincount(own, err[of] if part is None else err[of] * part, dim)
+            gb += err.sum()
+        g = (g if scale is None else g * scale) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, bounded_sample, characters, crc_mod, fit_logistic, slices
+from .common import SLICE, bounded_sample, characters, crc_mod, fit_logistic, row_ranges, slices
 
 ORDERS = (4, 5)
 
@@ -84,23 +84,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return ToxicityModel(weight, 30.0 if share else -30.0, bits, orders)
     lists = rows["index"].combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
-    starts, index = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-    starts, index = starts - starts[0], index[starts[0] : starts[-1]]
-    sums = np.array([int(index[a:b].sum()) for a, b in zip(starts[:-1], starts[1:], strict=True)])
+    starts, held = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+    sums = np.array([int(held[a:b].sum()) for a, b in zip(starts[:-1], starts[1:], strict=True)])
     order = np.lexsort((sums, np.diff(starts), y))  # the same order of rows on each run
-    index = np.concatenate([index[starts[k] : starts[k + 1]] for k in order]) if len(index) else index
+    index = np.concatenate([held[starts[k] : starts[k + 1]] for k in order])
     starts, y = np.concatenate([[0], np.cumsum(np.diff(starts)[order])]), y[order]
+    del rows, lists, held
     n1, n0 = y.sum(), len(y) - y.sum()
-    border = starts[int(n0)]  # rows of label 0 come first
-    with0, with1 = np.bincount(index[:border], minlength=1 << bits), np.bincount(index[border:], minlength=1 << bits)
-    ratio = np.log((with1 + alpha) / (n1 + 2 * alpha)) - np.log((with0 + alpha) / (n0 + 2 * alpha))
-    used = (with1 + with0 >= least_texts) & (np.abs(ratio) >= least_ratio)
-    keep = used[index]
-    starts = np.concatenate([[0], np.cumsum(keep)])[starts]
+    seen = {0.0: np.zeros(1 << bits, np.int64), 1.0: np.zeros(1 << bits, np.int64)}
+    for border, kind in ((slice(0, int(n0) + 1), 0.0), (slice(int(n0), None), 1.0)):  # rows of label 0 come first
+        own = starts[border]
+        for i, j in row_ranges(own):
+            seen[kind] += np.bincount(index[own[i] : own[j]], minlength=1 << bits)
+    ratio = np.log((seen[1.0] + alpha) / (n1 + 2 * alpha)) - np.log((seen[0.0] + alpha) / (n0 + 2 * alpha))
+    used = (seen[1.0] + seen[0.0] >= least_texts) & (np.abs(ratio) >= least_ratio)
     number = (np.cumsum(used) - 1).astype(np.int32)
-    kept = number[index[keep]]
+    parts, lengths = [], []
+    for i, j in row_ranges(starts):
+        own = index[starts[i] : starts[j]]
+        keep = used[own]
+        parts.append(number[own[keep]])
+        lengths.append(np.bincount(np.repeat(np.arange(j - i), np.diff(starts[i : j + 1])), keep, j - i).astype(np.int64))
+    index = np.concatenate(parts)
+    del parts
+    starts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
     each = np.where(y > 0, total[1.0] / n1, total[0.0] / n0)
-    w, bias = fit_logistic(starts, kept, ratio[used][kept], y, each, int(used.sum()), l2=1e-2, steps=120, rate=0.01)
+    w, bias = fit_logistic(starts, index, None, y, each, int(used.sum()), l2=1e-2, steps=120, rate=0.01, scale=ratio[used])
     weight[used] = (w * ratio[used]).astype(np.float32)
     return ToxicityModel(weight, bias, bits, orders)
 
