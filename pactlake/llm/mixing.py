@@ -104,7 +104,7 @@ def mix_sized(sized: DataFrame, repeats: int = 3, weights: tuple[int, ...] = (1,
 
 
 ORACLE = r"""
-WITH sized AS (SELECT row_number() OVER () AS nth_row, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))) AS hash FROM documents),
+WITH sized AS MATERIALIZED (SELECT row_number() OVER () AS nth_row, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))) AS hash FROM documents),
 a AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
 b AS (SELECT *, (place % 3) + 1 AS weight, source_size * 3 AS full_ FROM a),
 c AS (SELECT *, row_number() OVER (ORDER BY full_ / weight, place) AS nth,
