@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -604,8 +603,7 @@ def pol_delete_label(spark: SparkSession, d: str) -> DataFrame:
 def str_daily(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/[e]vents.parquet")
-    base = spark.conf.get("spark.checkpoint.dir", "") or str(spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) or tempfile.mkdtemp(prefix="spark-stream-"))
-    base = f"{base.rstrip('/')}/daily-{uuid.uuid4().hex}"
+    base = f"{streams.shared_folder(spark)}/daily-{uuid.uuid4().hex}"
     q = streams.daily(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.schema("day timestamp, event_type string, n long, total decimal(28,4)").parquet(f"{base}/out")
