@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes (or characters) that a task turns into arrays at once; one longer text is taken whole.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 U64 = np.uint64
 _M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)

@@ -35,6 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +52,8 @@ TASK = 512
 LEADERS = 32
 #: Rows of a list of nodes up to which it is broadcast (about 80 bytes each); a longer one is joined by a shuffle.
 BROADCAST = 400_000
+#: Bytes of text that are turned into sets at once where pairs are confirmed.
+TEXTS = 4_000_000
 #: Links that a task of a component step takes.
 EDGES_A_TASK = 200_000
 COORDINATES = 64
@@ -360,8 +363,17 @@ def linked(sets: list[np.ndarray], grp: np.ndarray, i: np.ndarray, j: np.ndarray
 def confirm(rows: DataFrame, size: int, percent: int, least: int) -> DataFrame:
     """node and root (the least node that its links reach within the key) of each row with a link. Linked are likely pairs whose whole sets have at least `percent` of 100 parts in common. rows: as for `likely`, and text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole keys with texts of about TEXTS bytes together, one key at least."""
         for batch in whole(batches):
+            key = batch.column(0).to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            upto = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(9)).to_numpy(zero_copy_only=False))])[cut]
+            for a, b in slices(upto, TEXTS):
+                yield batch.slice(cut[a], cut[b] - cut[a])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
             i, j, same = likely(batch, least)
             sets = []
             for tokens, count in shingle_sets(batch.column(9), size):
