@@ -150,7 +150,7 @@ def block_of(rows: DataFrame, blocks: int):
     return F.pmod(F.xxhash64(*[F.col(c) for c, k in rows.dtypes if k in ("bigint", "int", "string")]), F.lit(blocks)).cast("int")
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, block_bytes: int = 8 << 20, out: tuple[str, str] = ("_spans", "_kept")) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, block_bytes: int = 4 << 20, out: tuple[str, str] = ("_spans", "_kept")) -> DataFrame:
     """All columns of `docs`, with spans (start and end of each removed run of bytes) and the bytes left, as `out`, which take the place of columns of these names."""
     docs = docs.drop(*out)
     total = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
@@ -204,7 +204,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
                 at = at[by_string(ids[at - s])[0] >= 2]
                 np.add.at(change, at, 1)
                 np.add.at(change, at + length, -1)
-        gone = np.cumsum(change)[:-1] > 0
+        gone = np.cumsum(change, dtype=np.int32)[:-1] > 0
         edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
         inner = offs[1:-1]
         split = inner[(inner > 0) & (inner < len(buf))]
