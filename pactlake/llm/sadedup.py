@@ -17,7 +17,7 @@ Buckets of one position are dropped as early as they are known to be single:
 Texts are shuffled once, into blocks; all else that moves are rows of identifiers: about one for each 50 bytes in step 2,
 fewer in step 3, and an answer to those that repeat. Their number grows with the input, not with its square, and not with
 how often a string repeats: a repeated identifier has a row for each block and no more, so none makes up more than one
-part in about 100,000 of the rows, and the windows that sum identifiers over blocks are short. Identifiers have 64 bits,
+part in about 50,000 of the rows, and the windows that sum identifiers over blocks are short. Identifiers have 64 bits,
 as strings are never compared themselves.
 
 Null texts count as empty, and nothing is removed from texts shorter than `length`. Repeated rows are documents of
