@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, license, lmscore, mixing, neardup, quality, sadedup, toxicity, urlfilter
+from . import decontam, langid, license, lmscore, mixing, neardup, quality, sadedup, spelling, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,10 +53,14 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.url_filter(_table(spark, folder, "pages"), urlfilter.RULES)
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_lm_score, op4_toxicity, op5_decontamination, op6_near_dedup, op7_license_scan, op8_mixing, op9_quality, op10_url_filter)}
+    own = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_lm_score, op4_toxicity, op5_decontamination, op6_near_dedup, op7_license_scan, op8_mixing, op9_quality, op10_url_filter, op13_spelling_variants)}
     return own | {"pipeline": corpus_pipeline.run}
 
 
