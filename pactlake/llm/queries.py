@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, dialogue, langid, license, lmscore, mixing, neardup, quality, sadedup, spelling, toxicity, urlfilter
+from . import decontam, dialogue, langid, license, lmscore, mixing, neardup, quality, sadedup, sharding, spelling, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return dialogue.structure(_table(spark, folder, "conversations"))
 
 
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(_table(spark, folder, "documents"))
 
@@ -64,7 +68,7 @@ def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_lm_score, op4_toxicity, op5_decontamination, op6_near_dedup, op7_license_scan, op8_mixing, op9_quality, op10_url_filter, op11_conversation_repair, op13_spelling_variants)}
+    own = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_lm_score, op4_toxicity, op5_decontamination, op6_near_dedup, op7_license_scan, op8_mixing, op9_quality, op10_url_filter, op11_conversation_repair, op12_sharding, op13_spelling_variants)}
     return own | {"pipeline": corpus_pipeline.run}
 
 
