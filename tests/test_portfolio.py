@@ -230,11 +230,12 @@ def test_search(spark):
     assert {r.passage_id for r in got} == {0, 1, 3} and got[0].passage_id in (0, 1) and all(r.score >= 0.1 for r in got)
     each = retrieval.hybrid(passages, asked, per_contract=1).collect()
     assert sorted(r.contract_id for r in each) == [0, 1]
-    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    exact = {(r.query_id, r.vec_id) for r in retrieval.nearest(vectors, queries, 10).collect()}
-    near = {(r.query_id, r.vec_id) for r in retrieval.approximate_pairs(vectors, queries, 10).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
+    asked2 = asked.unionByName(asked.withColumn("query_id", F.lit(2)))
+    scope = spark.createDataFrame([(1, 1), (2, 0), (2, 9)], "query_id int, contract_id int")
+    only = retrieval.hybrid(passages, asked2, per_contract=1, scope=scope).collect()
+    assert sorted((r.query_id, r.contract_id) for r in only) == [(1, 1), (2, 0)]
+    plan = retrieval.hybrid(passages, asked2, per_contract=1)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
 def test_focus_and_answers(spark):
