@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .replies import find_object
 
 # Fixed values.
 DATE_PATTERNS = (
@@ -162,16 +168,14 @@ def strip_reasoning(reply: Column) -> Column:
 
 
 def recover_object(reply: Column, wanted: list[str]) -> Column:
-    """The JSON object of a model's reply as text: the whole reply, what a wrapper holds (`response`, `message.content`), pieces of a stream, or an object within prose; null unless it has all wanted keys."""
-    text = strip_reasoning(reply)
-    lines = F.split(text, r"\n")
-    streamed = F.array_join(F.filter(F.transform(lines, lambda x: F.coalesce(F.get_json_object(x, "$.message.content"), F.get_json_object(x, "$.response"))), lambda x: x.isNotNull()), "")
-    wrapped = F.coalesce(F.get_json_object(text, "$.message.content"), F.get_json_object(text, "$.response"))
-    within = lambda x: F.regexp_extract(x, r"(?s)(\{.*\})", 1)
-    tries = [text, wrapped, streamed, within(text), within(strip_reasoning(wrapped)), within(streamed)]
-    has = lambda x: F.forall(F.array(*map(F.lit, wanted)), lambda k: F.array_contains(F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")), k))
-    ok = [F.when((F.length(x) > 1) & x.startswith("{") & F.try_parse_json(x).isNotNull() & has(x), x) for x in tries]
-    return F.coalesce(*ok)
+    """The JSON object of a model's reply as text: the first with all wanted keys in the reply, in the pieces of a stream, in what a wrapper holds (`response`, `message.content` and others, as deep as it goes), or within prose; null if there is none."""
+    keys = frozenset(wanted)
+
+    def found(replies: pd.Series) -> pd.Series:  # null for null
+        objects = (find_object(r, keys) for r in replies)
+        return pd.Series([None if o is None else json.dumps(o, ensure_ascii=False) for o in objects], dtype=object)
+
+    return F.pandas_udf(found, T.StringType())(strip_reasoning(reply))
 
 
 def pick(value: Column, allowed: tuple[str, ...], default: str | None = None) -> Column:

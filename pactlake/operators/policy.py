@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 # The built-in policy as (domain, check id, name, check, weight).
 DEFAULT_CHECKS = (
     ("Financial", "fin_payment", "Payment Terms", "payment terms 30 days net invoice", 5),
@@ -129,15 +131,19 @@ def align_replies(checks: DataFrame, replies: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- library of labelled policies
 
 
-def label_roots(labels: DataFrame, most_depth: int = 20) -> DataFrame:
-    """label_id and root_id of each label (id, parent_id), by doubling: after k rounds every chain of 2**k labels is resolved. A cycle has the root null."""
-    now = labels.select(F.col("id").alias("label_id"), F.coalesce("parent_id", "id").alias("up"))
-    own = labels.select(F.col("id").alias("up"), F.col("parent_id").isNull().alias("top"))
-    rounds = max(1, (most_depth - 1).bit_length())
-    for _ in range(rounds):
-        step = now.select(F.col("label_id").alias("up"), F.col("up").alias("next"))
-        now = now.join(step, "up", "left").select("label_id", F.coalesce("next", "up").alias("up"))
-    return now.join(own, "up", "left").select("label_id", F.when(F.col("top"), F.col("up")).alias("root_id"))
+def label_roots(labels: DataFrame) -> DataFrame:
+    """label_id and root_id of each label (id, parent_id), by pointer doubling: after k rounds each label points 2**k labels up, or to its root. A label that is in a cycle, leads into one or to a parent that is not there has the root null.
+
+    A round joins the labels with themselves once and is checkpointed; the last is the one that brings no further label to its root. A chain has no more labels than there are, so a label that the same number of doublings leaves elsewhere has met itself.
+    """
+    now = labels.select(F.col("id").alias("label_id"), F.coalesce("parent_id", "id").alias("up"), F.col("parent_id").isNull().alias("done"))
+    now = checkpointed(now)
+    open_, rounds = now.where("not done").count(), max(1, now.count()).bit_length()
+    while open_ and rounds:
+        above = now.select(F.col("label_id").alias("up"), F.col("up").alias("_next"), F.col("done").alias("_done"))
+        now = checkpointed(now.join(above, "up", "left").select("label_id", F.coalesce("_next", "up").alias("up"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")))
+        open_, rounds = now.where("not done").count(), rounds - 1
+    return now.select("label_id", F.when(F.col("done"), F.col("up")).alias("root_id"))
 
 
 def compile_policy(policies: DataFrame, labels: DataFrame, root_domains: DataFrame) -> DataFrame:

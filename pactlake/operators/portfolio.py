@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import parse_money
 from ..functions.text import norm_name
+from ..session import checkpointed
 
 RISK_FIELDS = ("high_risk_clauses", "medium_risk_clauses", "low_risk_clauses", "total_clauses", "policy_risk_score")
 #: Fields that break ties of a ranking by risk.
@@ -119,6 +120,21 @@ def unknown(contracts: DataFrame, filters: tuple[Filter, ...]) -> DataFrame:
     return contracts.select("contract_id", F.lit("").alias("field")).limit(0) if out is None else out
 
 
+def numbered(rows: DataFrame, group: str, order: list[Column], out: str = "position") -> DataFrame:
+    """Rows with their number in their group, from 1, in an order that leaves no ties. `group` is never null.
+
+    A range sort deals the rows out evenly, whatever the groups' sizes; a row's number is its place in its task plus the rows of its group in the tasks before, which come from one count for each task and group.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id())
+    held = checkpointed(ranged).withColumn("_task", F.shiftright("_at", 33))  # the ranges come from a sample, so they are taken once
+    tasks = held.groupBy(group, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_task")) - F.col("_n")  # a row for each task
+    tasks = tasks.select(group, "_task", "_first", before.alias("_before"))
+    numbers = held.join(tasks, [group, "_task"]).withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + 1)
+    return numbers.select(*rows.columns, out)
+
+
 def ranked(contracts: DataFrame, spec: Spec) -> DataFrame:
     """Rows with `currency_group` (amounts are ranked for each currency, else empty) and `position`, after offset and limit; ties at the limit stay. Rows without the value are left out."""
     by = spec.sort_by
@@ -135,10 +151,11 @@ def ranked(contracts: DataFrame, spec: Spec) -> DataFrame:
     if spec.limit:
         # each task passes on no more than the first ones and their ties, so a whole group is never in one task
         rows = rows.withColumn("_rank", F.rank().over(group.orderBy(turn(keys[0])))).where(F.col("_rank") <= last).drop("_rank")
-    rows = rows.withColumn("position", F.row_number().over(group.orderBy(*map(turn, keys), "contract_id")))
-    if spec.limit:
+        rows = rows.withColumn("position", F.row_number().over(group.orderBy(*map(turn, keys), "contract_id")))
         rows = rows.withColumn("_edge", F.max(F.when(F.col("position") == last, value)).over(group))
         rows = rows.where((F.col("position") <= last) | (value == F.col("_edge"))).drop("_edge")
+    else:
+        rows = numbered(rows, "currency_group", [*map(turn, keys), F.col("contract_id")])
     return rows.where(F.col("position") > spec.offset) if spec.offset else rows
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_name, norm_name, stem
+from ..functions.money import parse_money
+from ..functions.text import contains_name, norm_name, recover_object, stem
+from .portfolio import Filter, Spec, run
 
 # Words that decide a route.
 NOT_AMOUNT = r"(?i)\b(interest|rate|ratio|ltv|loan-to-value|penalt\w*|fee\w*|fine|clause\w*|terminat\w*|insur\w*|guarantee\w*|default|obligation\w*|risk\w*|terms?|condition\w*|warrant\w*|indemn\w*|confidential\w*|jurisdiction|law|tenure|duration|period|months?|years?|days?|install?ments?|payments?|mention\w*|contain\w*|say|says|include\w*)\b"
@@ -181,11 +186,101 @@ def of_party(questions: DataFrame, contracts: DataFrame) -> DataFrame:
     return asked.join(parties, "_w").where(F.size(F.array_except("_p", "_q")) == 0).select("query_id", "contract_id", "role").distinct()
 
 
+# What a reply may ask for.
+KINDS, OPERATIONS = ("structured", "semantic"), ("list", "count", "sum", "average", "group")
+FIELDS = (
+    "filename", "customer_name", "lender_name", "contract_about", "governing_law", "currency", "contract_value", "start_date", "end_date", "indemnification_clause_present", "ip_shared_with_customer",
+    "high_risk_clauses", "medium_risk_clauses", "low_risk_clauses", "total_clauses", "policy_risk_score",
+)
+SORT_FIELDS = ("contract_value", "start_date", "end_date", "customer_name", "high_risk_clauses", "medium_risk_clauses", "low_risk_clauses", "total_clauses", "policy_risk_score")
+GROUP_FIELDS = ("lender_name", "customer_name", "contract_about", "governing_law", "currency")
+OPS = ("contains", "equals", "greater_than", "less_than", "before", "after", "is_true", "is_false")
+MOST_ROWS, MOST_NAMES = 100, 10
+#: Different specs that one table of questions may ask for: each is a plan of its own.
+MOST_SPECS = 1000
+
+FULL_SPEC = "struct<operation:string,sort_by:string,order:string,limit:int,offset:int,group_by:string,filters:array<struct<field:string,op:string,value:string>>,fields:array<string>>"
+
+
 def prompt(turns: DataFrame, last: int = 4) -> DataFrame:
-    """Turns (conv_id, turn, role, text) with a routing prompt of the last turns and the question."""
+    """Turns (conv_id, turn, role, text) with a routing prompt of what a reply may hold, the last turns and the question."""
     window = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-last, -1)
     history = F.array_join(F.collect_list(F.concat(F.col("role"), F.lit(": "), F.substring("text", 1, 400))).over(window), "\n")
-    return turns.withColumn("prompt", F.concat(F.lit("Earlier turns:\n"), history, F.lit("\n\nQuestion: "), F.col("text"), F.lit("\nReply with one JSON object.")))
+    told = {"kind": KINDS, "operation": OPERATIONS, "sort_by": SORT_FIELDS, "order": ("asc", "desc"), "group_by": GROUP_FIELDS, "fields": FIELDS, "op": OPS}
+    rules = "".join(f"{k}: {', '.join(v)}\n" for k, v in told.items()) + f"limit: 1 to {MOST_ROWS}, offset: 0 to {MOST_ROWS}, filters: a list of field, op and value, contracts: names, across_contracts: true or false, standalone_question: text\n"
+    return turns.withColumn("prompt", F.concat(F.lit("Keys of the reply and their values:\n" + rules + "\nEarlier turns:\n"), history, F.lit("\n\nQuestion: "), F.col("text"), F.lit("\nReply with one JSON object.")))
+
+
+def compile_reply(reply: Column) -> Column:
+    """A router's reply as kind, spec (what portfolio.run() takes; null unless structured), contracts, across_contracts, standalone_question and problems; kind and spec are null if there is any problem.
+
+    Each part is held against what is allowed: a word outside its list, a limit or an offset out of range, a filter on an unknown field or with an unknown operation, a date or amount that can't be read and a group without its field are problems. Unknown names among `fields` are left out, and blank contracts; the first ten of these count.
+    """
+    text = recover_object(reply, ["kind"])
+    part = lambda c: F.get_json_object(text, f"$.{c}")
+    listed = lambda c: F.coalesce(F.from_json(part(c), "array<string>"), F.array().cast("array<string>"))
+    number = lambda c: F.regexp_replace(part(c), r"\.0+$", "").try_cast("int")
+    filters = F.coalesce(F.from_json(part("filters"), "array<struct<field:string,op:string,value:string>>"), F.array().cast("array<struct<field:string,op:string,value:string>>"))
+    wrong = lambda c, allowed: F.when(part(c).isNotNull() & ~part(c).isin(*allowed), F.concat(F.lit(f"{c}: "), part(c), F.lit(" is not allowed")))
+    out_of = lambda c, low: F.when(part(c).isNotNull() & ~F.coalesce(number(c).between(low, MOST_ROWS), F.lit(False)), F.concat(F.lit(f"{c}: "), part(c), F.lit(f" is not a number from {low} to {MOST_ROWS}")))
+
+    def of_filter(f: Column) -> Column:
+        named = F.coalesce(f["field"], F.lit("nothing"))
+        dated = f["op"].isin("before", "after") & ~F.coalesce(F.trim(f["value"]).rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$"), F.lit(False))
+        counted = f["op"].isin("greater_than", "less_than") & parse_money(F.coalesce(f["value"], F.lit(""))).isNull()
+        return (
+            F.when(~F.coalesce(f["field"].isin(*FIELDS), F.lit(False)), F.concat(F.lit("filters: field "), named, F.lit(" is not allowed")))
+            .when(~F.coalesce(f["op"].isin(*OPS), F.lit(False)), F.concat(F.lit("filters: operation "), F.coalesce(f["op"], F.lit("nothing")), F.lit(" is not allowed")))
+            .when(dated | counted, F.concat(F.lit("filters: value "), F.coalesce(f["value"], F.lit("nothing")), F.lit(" can't be read")))
+        )
+
+    problems = F.array_compact(F.concat(
+        F.array(
+            F.when(text.isNull(), "no object with a kind"), wrong("kind", KINDS), F.when(text.isNotNull() & part("kind").isNull(), "kind: nothing is not allowed"), wrong("operation", OPERATIONS), wrong("sort_by", SORT_FIELDS), wrong("order", ("asc", "desc")), wrong("group_by", GROUP_FIELDS),
+            out_of("limit", 1), out_of("offset", 0), F.when((part("operation") == "group") & part("group_by").isNull(), "group_by: nothing is not allowed"), F.when(part("filters").isNotNull() & ~part("filters").startswith("["), "filters: not a list"),
+        ),
+        F.transform(filters, of_filter),
+    ))
+    spec = F.struct(
+        F.coalesce(part("operation"), F.lit("list")).alias("operation"), part("sort_by").alias("sort_by"), F.coalesce(part("order"), F.lit("desc")).alias("order"), number("limit").alias("limit"), F.coalesce(number("offset"), F.lit(0)).alias("offset"), part("group_by").alias("group_by"),
+        filters.alias("filters"), F.filter(listed("fields"), lambda f: f.isin(*FIELDS)).alias("fields"),
+    ).cast(FULL_SPEC)
+    fine = F.size(problems) == 0
+    names = F.slice(F.filter(F.transform(listed("contracts"), lambda c: F.trim(c)), lambda c: c != ""), 1, MOST_NAMES)
+    return F.struct(
+        F.when(fine, part("kind")).alias("kind"), F.when(fine & (part("kind") == "structured"), spec).alias("spec"), names.alias("contracts"),
+        F.coalesce(part("across_contracts") == "true", F.lit(False)).alias("across_contracts"), F.nullif(F.trim(part("standalone_question")), F.lit("")).alias("standalone_question"), problems.alias("problems"),
+    )
+
+
+def route_with(turns: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], last: int = 4) -> DataFrame:
+    """Turns of the user (conv_id, turn, role, text) with `routed`, the compiled reply of a user's model that gets a column `prompt` and gives one `reply`. A question whose reply has problems, or none, is semantic."""
+    from .classify import with_model
+
+    asked = prompt(turns, last).where("role = 'user'").select("conv_id", "turn", "text", "prompt")
+    said = with_model(asked, model, {"reply": "string"})
+    return said.select("conv_id", "turn", "text", compile_reply(F.col("reply")).alias("routed")).withColumn("route", F.coalesce("routed.kind", F.lit("semantic")))
+
+
+def specs(compiled: DataFrame) -> list[tuple[str, Spec]]:
+    """The different specs of a table of questions (spec), with their JSON text, MOST_SPECS at most."""
+    rows = compiled.where(F.col("spec").isNotNull()).select("spec", F.to_json("spec").alias("_text")).dropDuplicates(["_text"]).limit(MOST_SPECS + 1).collect()
+    if len(rows) > MOST_SPECS:
+        raise ValueError(f"a table of questions may ask for {MOST_SPECS} different specs: split it")
+    own = lambda s: Spec(s["operation"], s["sort_by"], s["order"], s["limit"], s["offset"], s["group_by"], tuple(Filter(f["field"], f["op"], f["value"]) for f in s["filters"]), tuple(s["fields"]))
+    return [(r["_text"], own(r["spec"])) for r in rows]
+
+
+def run_compiled(compiled: DataFrame, contracts: DataFrame, operation: str = "list") -> DataFrame | None:
+    """query_id and the columns of portfolio.run() for the questions (query_id, spec) of one operation (sum and average have the same columns); None if there are none. Each different spec is run once over the directory and joined to its questions."""
+    kinds = ("sum", "average") if operation in ("sum", "average") else (operation,)
+    own = F.when(F.col("spec.group_by").isNotNull(), "group").otherwise(F.col("spec.operation"))
+    found = None
+    for text, spec in specs(compiled.where(own.isin(*kinds))):
+        out = run(contracts, spec).withColumn("_text", F.lit(text))
+        found = out if found is None else found.unionByName(out, allowMissingColumns=True)
+    asked = compiled.select("query_id", F.to_json("spec").alias("_text"))
+    return None if found is None else asked.join(found, "_text").drop("_text")
 
 
 def describe(contracts: DataFrame) -> Column:

@@ -198,6 +198,17 @@ def qry_ends_first(spark: SparkSession, d: str) -> DataFrame:
     return pf.run(light(spark, d), pf.Spec(sort_by="end_date", order="asc", limit=10)).select(*_SHOW)
 
 
+@query("WITH " + CONTRACTS_SQL + f" SELECT contract_id, {GROUP} AS currency_group, contract_value, row_number() OVER (PARTITION BY {GROUP} ORDER BY contract_value DESC, contract_id) AS position FROM contracts WHERE contract_value IS NOT NULL")
+def qry_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Every contract with its place in its currency: a ranking without a limit."""
+    return pf.run(light(spark, d), pf.Spec(sort_by="contract_value")).select("contract_id", "currency_group", "contract_value", "position")
+
+
+@query("WITH " + CONTRACTS_SQL + " SELECT * FROM (SELECT contract_id, end_date, row_number() OVER (ORDER BY end_date, contract_id) AS position FROM contracts WHERE end_date IS NOT NULL) WHERE position > 5")
+def qry_ranked_by_end(spark: SparkSession, d: str) -> DataFrame:
+    return pf.run(light(spark, d), pf.Spec(sort_by="end_date", order="asc", offset=5)).select("contract_id", "end_date", "position")
+
+
 _SUM = "count(*) AS n, sum(contract_value::DECIMAL(18,2))::DECIMAL(38,2) AS total, round(sum(contract_value::DECIMAL(18,2))::DOUBLE / count(*), 2) AS average"
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pactlake.operators import classify, compare, policy, retrieval, routing
@@ -222,6 +223,29 @@ def test_library_edits_and_sources_of_messages(spark):
     assert len(row.sources) == 100 and row.sources[0].text == "s" * 600 + " …"
 
 
+def test_ranking_without_a_limit_is_spread(spark):
+    rows = [(k, "a.pdf", float(k % 7) if k % 11 else None, "usd" if k % 3 else None, None if k % 5 else f"2024-01-{1 + k % 28:02d}") for k in range(2000)]
+    contracts = spark.createDataFrame(rows, "contract_id int, filename string, contract_value double, currency string, end_date string")
+    for by, order in (("contract_value", "desc"), ("contract_value", "asc"), ("end_date", "asc")):
+        spec = pf.Spec(sort_by=by, order=order, offset=3)
+        out = pf.ranked(contracts, spec)
+        turn = F.col(by).desc() if order == "desc" else F.col(by).asc()
+        group = pf.currency_group(F.col("currency")) if by == "contract_value" else F.lit("")
+        want = contracts.where(F.col(by).isNotNull()).withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(turn, "contract_id"))).where("position > 3")
+        assert sorted((r.contract_id, r.position) for r in out.collect()) == sorted((r.contract_id, r.position) for r in want.collect())
+        plan = out._jdf.queryExecution().toString()
+        assert "row_number" not in plan
+    assert pf.ranked(contracts.limit(0), pf.Spec(sort_by="end_date")).count() == 0
+
+
+def test_label_roots_of_any_depth(spark):
+    chain = [(k, k - 1 if k else None) for k in range(1000)]
+    rows = chain + [(2000, 2001), (2001, 2002), (2002, 2000), (2003, 2000), (3000, 3000), (4000, 9999)]
+    got = {r.label_id: r.root_id for r in policy.label_roots(spark.createDataFrame(rows, "id int, parent_id int")).collect()}
+    assert got == {k: 0 for k in range(1000)} | dict.fromkeys((2000, 2001, 2002, 2003, 3000, 4000))
+    assert policy.label_roots(spark.createDataFrame([], "id int, parent_id int")).count() == 0
+
+
 def test_search(spark):
     texts = ["interest is 1.2% a month", "Interest is  1.2% a month", "the law of the land", "late interest is 1% a month", "", None]
     passages = retrieval.embed_words(spark.createDataFrame([(k % 2, k, t) for k, t in enumerate(texts)], "contract_id int, passage_id int, text string"))

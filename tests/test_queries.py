@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from pactlake.plans import document_queries, portfolio_queries
+from pactlake.plans import document_queries, portfolio_queries, reply_queries
 
-QUERIES = portfolio_queries.QUERIES | document_queries.QUERIES
-ORACLES = portfolio_queries.ORACLES | document_queries.ORACLES
+QUERIES = portfolio_queries.QUERIES | document_queries.QUERIES | reply_queries.QUERIES
+ORACLES = portfolio_queries.ORACLES | document_queries.ORACLES | reply_queries.ORACLES
 
 
 @pytest.fixture(scope="module")

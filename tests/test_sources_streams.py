@@ -1,5 +1,7 @@
+import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pactlake.operators import dashboards, parsing
@@ -65,6 +67,49 @@ def test_incremental_ingest_equals_batch(spark, tmp_path):
     assert got == sorted(tuple(r) for r in parsing.split_document(last).select(cols).collect())
 
 
+def test_work_of_a_batch_depends_on_its_buckets(spark, tmp_path, monkeypatch):
+    """Fifty batches of a contract each: every batch reads the one folder of its bucket, and what is superseded goes."""
+    target, read = str(tmp_path / "clauses"), []
+    true_read = streams._read
+    monkeypatch.setattr(streams, "_read", lambda s, t, rows: read.append(len(rows)) or true_read(s, t, rows))
+    last = {}
+    for k in range(50):
+        last[f"c{k % 20}"] = BODY[0].replace("CLAUSE", f"CLAUSE {k} of")
+        streams.store(spark.createDataFrame([(f"c{k % 20}", last[f"c{k % 20}"])], "contract_id string, text string"), k, target, parts=6)
+    assert max(read) == 1 and len(read) == 50
+    assert len(streams.snapshots(spark, target)) == 2
+    folders = [p for p in (tmp_path / "clauses" / "data").glob("*/bucket=*") if any(p.glob("*.parquet"))]
+    named = {r[3] for n in streams.snapshots(spark, target) for r in streams.manifest(spark, target, n)}
+    assert {str(p.relative_to(tmp_path / "clauses")) for p in folders} == named and len(named) <= 7
+    cols = ["contract_id", "kind", "clause_id", "text"]
+    want = parsing.split_document(spark.createDataFrame(list(last.items()), "contract_id string, text string"))
+    assert sorted(tuple(r) for r in streams.current(spark, target).select(cols).collect()) == sorted(tuple(r) for r in want.select(cols).collect())
+
+
+def test_failed_write_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    target, frame = str(tmp_path / "clauses"), lambda *rows: spark.createDataFrame(list(rows), "contract_id string, text string")
+    assert streams.store(frame(("a", BODY[0]), ("b", BODY[1])), 0, target, parts=3)
+    before = sorted(map(str, streams.current(spark, target).collect()))
+    reader = streams.current(spark, target)
+
+    def fails(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(streams, "_publish", fails)
+        with pytest.raises(OSError):
+            streams.store(frame(("a", BODY[1])), 1, target, parts=3)
+    assert sorted(map(str, streams.current(spark, target).collect())) == before
+    streams.store(frame(("a", BODY[1])), 1, target, parts=3)
+    assert sorted(map(str, reader.collect())) == before  # began before the batch
+    assert streams.store(frame(("a", BODY[0])), 1, target, parts=3) == []  # a batch that runs again
+    streams.store(frame(("a", None)), 2, target, parts=3)
+    assert {r.contract_id for r in streams.current(spark, target).collect()} == {"b"}
+    assert {r.contract_id for r in streams.current(spark, target, 1).collect()} == {"a", "b"}
+    streams.store(frame(("c", BODY[0])), 3, target, parts=3, keep=5)
+    assert streams.snapshots(spark, target) == [1, 2, 3]
+
+
 def _run(spark, frame, name):
     q = frame.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
@@ -83,3 +128,19 @@ def test_answers_from_pieces(spark, tmp_path):
     spark.createDataFrame(rows, "answer_id long, seq long, text string, done boolean").write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema("answer_id long, seq long, text string, done boolean").parquet(str(tmp_path / "s"))
     assert [(r.answer_id, r.text) for r in _run(spark, streams.answers(stream), "answers")] == [(1, "The rate is 2%.")]
+
+
+def test_abandoned_answers_leave_the_state(spark, tmp_path):
+    """An answer without its last piece goes once the watermark has passed it, or is given as far as it came."""
+    schema = "answer_id long, seq long, text string, done boolean, ts timestamp"
+    day = lambda h: datetime.datetime(2024, 1, 1, h)
+    parts = [[(1, 0, "Half ", False, day(0)), (2, 0, "Whole", False, day(0))], [(2, 1, " answer.", True, day(1)), (3, 0, "x", True, day(6))], [(4, 0, "y", True, day(12))], [(5, 0, "z", True, day(13))]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "s" / f"k={k}"))
+    for partial, name in ((True, "told"), (False, "dropped")):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s" / "*"))
+        q = streams.answers(stream, time="ts", wait="1 hour", partial=partial).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(240)
+        got = {(r.answer_id, r.text, r.whole) for r in spark.table(name).collect()}
+        assert got == {(2, "Whole answer.", True), (3, "x", True), (4, "y", True), (5, "z", True)} | ({(1, "Half", False)} if partial else set())
+        assert q.lastProgress.stateOperators[0].numRowsTotal == 0
