@@ -58,7 +58,7 @@ def fct_labelled(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + CONTRACTS_SQL + " SELECT contract_id, coalesce(contract_value, 1.0) AS contract_value, 'label' AS value_from, customer_name, start_date, CASE WHEN contract_id % 2 = 0 THEN 1 ELSE 0 END AS n_warnings FROM contracts WHERE status = 'analyzed'")
 def fct_ground(spark: SparkSession, d: str) -> DataFrame:
-    said = view.contracts(spark, d).where("status = 'analyzed'").select("contract_id", F.lit(123456789.5).alias("contract_value"), F.lit("EUR").alias("currency"), "customer_name", F.lit("Invented Lender").alias("lender_name"), "start_date", F.when(F.col("contract_id") % 2 == 0, "next year").alias("end_date"))
+    said = view.contracts(spark, d).select("contract_id", F.lit(123456789.5).alias("contract_value"), F.lit("EUR").alias("currency"), "customer_name", F.lit("Invented Lender").alias("lender_name"), "start_date", F.when(F.col("contract_id") % 2 == 0, "next year").alias("end_date"))
     out = facts.ground(said, rendered(spark, d))
     return out.select("contract_id", "contract_value", F.try_element_at("field_sources", F.lit("contract_value")).alias("value_from"), "customer_name", "start_date", F.size("extraction_warnings").alias("n_warnings"))
 
@@ -164,12 +164,12 @@ def par_clause_numbers(spark: SparkSession, d: str) -> DataFrame:
     return view.clauses(spark, d).select("contract_id", "clause_id", F.array_join(F.transform(tx.clause_numbers(said), lambda n: n.cast("string")), ",").alias("numbers"))
 
 
-@query("WITH " + CLAUSES_SQL + " SELECT contract_id, clause_id AS number, clause_id FROM clauses WHERE clause_id <= 3")
+@query("WITH " + CLAUSES_SQL + " SELECT contract_id, clause_id AS number, clause_id FROM clauses")
 def par_clause_by_number(spark: SparkSession, d: str) -> DataFrame:
-    """The first two clauses have headings with their numbers, the third is known by its id only."""
+    """Every clause by its number: the first two have headings with it, the others are known by their id only."""
     c = view.clauses(spark, d).withColumn("kind", F.lit("clause"))
     headed = c.withColumn("text", F.when(F.col("clause_id") == 1, F.concat(F.lit("CLAUSE ONE - "), "text")).when(F.col("clause_id") == 2, F.concat(F.lit("2. "), "text")).otherwise(F.col("text")))
-    return parsing.clause_by_number(headed, c.where("clause_id <= 3").select("contract_id", F.col("clause_id").alias("number"))).select("contract_id", "number", "clause_id")
+    return parsing.clause_by_number(headed, c.select("contract_id", F.col("clause_id").alias("number"))).select("contract_id", "number", "clause_id")
 
 
 _COMPACT = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"

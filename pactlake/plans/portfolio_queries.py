@@ -367,7 +367,7 @@ def cmp_term_status(spark: SparkSession, d: str) -> DataFrame:
     return cmp.term_status(_pairs(spark, d), cmp.terms(view.clauses(spark, d))).select("id_1", "id_2", "term_key", "status")
 
 
-@query("WITH " + CLASSIFIED_SQL + ", " + _PAIRS_SQL + ", s AS MATERIALIZED (SELECT contract_id, domain, count(*) AS t, count(*) FILTER (risk_level = 'High') AS h FROM classified GROUP BY 1, 2), x AS (SELECT id_1, id_2, domain, t, h FROM pairs JOIN s ON contract_id = id_1), y AS (SELECT id_1, id_2, domain, t, h FROM pairs JOIN s ON contract_id = id_2) SELECT id_1, id_2, domain, coalesce(x.t, 0) AS total_1, coalesce(x.h, 0) AS high_1, coalesce(y.t, 0) AS total_2, coalesce(y.h, 0) AS high_2 FROM x FULL JOIN y USING (id_1, id_2, domain)")
+@query("WITH " + CLASSIFIED_SQL + ", " + _PAIRS_SQL + ", s AS MATERIALIZED (SELECT contract_id, domain, count(*) AS t, count(*) FILTER (risk_level = 'High') AS h FROM classified GROUP BY 1, 2), x AS MATERIALIZED (SELECT id_1, id_2, domain, t, h FROM pairs JOIN s ON contract_id = id_1), y AS MATERIALIZED (SELECT id_1, id_2, domain, t, h FROM pairs JOIN s ON contract_id = id_2) SELECT id_1, id_2, domain, coalesce(x.t, 0) AS total_1, coalesce(x.h, 0) AS high_1, coalesce(y.t, 0) AS total_2, coalesce(y.h, 0) AS high_2 FROM x FULL JOIN y USING (id_1, id_2, domain)")
 def cmp_domains(spark: SparkSession, d: str) -> DataFrame:
     return cmp.domain_comparison(_pairs(spark, d), cl.risk_counts(classified(spark, d), "contract_id", "domain").select("contract_id", "domain", "total_clauses", "high"))
 
@@ -476,21 +476,21 @@ def cnv_valid_id(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------- functions on amounts and texts
 
 
-@query("WITH " + CONTRACTS_SQL + " SELECT contract_id, contract_value AS us, contract_value AS european, floor(contract_value / 1000) * 1000 AS thousands FROM contracts WHERE contract_value IS NOT NULL")
+@query("WITH " + CONTRACTS_SQL + " SELECT contract_id, contract_value AS us, contract_value AS european, floor(contract_value / 1000) * 1000 AS thousands FROM contracts")
 def fn_parse_money(spark: SparkSession, d: str) -> DataFrame:
     us = F.format_number("contract_value", 2)
     european = F.translate(us, ",.", ".,")
-    return view.contracts(spark, d).where("contract_value is not null").select(
+    return view.contracts(spark, d).select(
         "contract_id", money.parse_money(F.concat(F.lit("USD "), us)).alias("us"), money.parse_money(F.concat(F.lit("EUR "), european, F.lit(" due"))).alias("european"),
         money.parse_money(F.concat(F.lit("$"), F.floor(F.col("contract_value") / 1000).cast("string"), F.lit("k on 2024-01-15"))).alias("thousands"),
     )
 
 
-@query("WITH " + CONTRACTS_SQL + " SELECT contract_id, contract_value::DECIMAL(18,2)::DOUBLE AS value, coalesce(currency, 'USD') AS currency, 1 AS n FROM contracts WHERE contract_value IS NOT NULL")
+@query("WITH " + CONTRACTS_SQL + " SELECT contract_id, contract_value::DECIMAL(18,2)::DOUBLE AS value, CASE WHEN contract_value IS NOT NULL THEN coalesce(currency, 'USD') END AS currency, CASE WHEN contract_value IS NULL THEN 0 ELSE 1 END AS n FROM contracts")
 def fn_money_amounts(spark: SparkSession, d: str) -> DataFrame:
     told = F.concat(F.lit("The bank lends "), F.coalesce("currency", F.lit("$")), F.lit(" "), F.format_number("contract_value", 2), F.lit(" for 12 months"))
-    found = view.contracts(spark, d).where("contract_value is not null").select("contract_id", money.money_amounts(told).alias("m"))
-    return found.select("contract_id", F.col("m")[0]["value"].alias("value"), F.col("m")[0]["currency"].alias("currency"), F.size("m").alias("n"))
+    found = view.contracts(spark, d).select("contract_id", money.money_amounts(F.coalesce(told, F.lit("The bank lends nothing for 12 months"))).alias("m"))
+    return found.select("contract_id", F.get("m", F.lit(0))["value"].alias("value"), F.get("m", F.lit(0))["currency"].alias("currency"), F.size("m").alias("n"))
 
 
 @query("WITH " + CLAUSES_SQL + r""" SELECT contract_id, clause_id, array_to_string(list_slice(list_concat(list_concat(regexp_extract_all(text, '\b(?:\d{1,2}[\-/]\d{1,2}[\-/]\d{2,4})\b'), regexp_extract_all(text, '\b(?:\d{4}[\-/]\d{1,2}[\-/]\d{1,2})\b')), regexp_extract_all(text, '(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\s+\d{1,2},\s+\d{4}\b')), 1, 5), ',') AS dates_found,
