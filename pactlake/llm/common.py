@@ -147,6 +147,11 @@ def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int) -> Dat
     return near.withColumn("_rank", rank).where(F.col("_rank") <= per_label).select(key, label, "n_label")
 
 
+def one_text(rows: DataFrame, keys: list[str], text: str, parts: int = 16) -> DataFrame:
+    """One row for each value of `keys`, with the text of the least hash: rows that repeat a sampled key don't make the sample larger. A partial aggregate, so a key that many rows share is no load."""
+    return rows.groupBy(*keys).agg(F.min_by(text, F.xxhash64(text)).alias(text)).repartition(parts, *keys)
+
+
 #: Entries of sparse rows that are worked on at once.
 ENTRIES = 1 << 20
 

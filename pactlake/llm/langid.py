@@ -5,7 +5,8 @@ tells whether the language's bit is 0 or 1. A text's language is the one whose c
 losses of all bits are summed, each weighted by how well its classifier separates the training texts. A text is marked
 ambiguous if the second language loses hardly more.
 
-The fit takes at most `per_label` texts of each language (whole; the same on each run); only their hashed features
+The fit takes at most `per_label` texts of each language (whole; the same on each run; of rows that share id and language,
+one); only their hashed features
 reach the driver. Prediction is one pass without a shuffle. With few languages all distinct bit splits are used
 (2**(k-1) - 1 for k languages), beyond that `code_bits` splits drawn from a fixed seed.
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, bounded_sample, characters, crc_mod, fit_logistic, free_names, slices
+from .common import SLICE, bounded_sample, characters, crc_mod, fit_logistic, free_names, one_text, slices
 
 #: Frequencies are so small that the bits' weights would have to grow very large.
 SCALE = 30.0
@@ -88,7 +89,8 @@ def _grams(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 400, bits: int = 14, code_bits: int = 31) -> LanguageModel:
     sample = bounded_sample(docs, id_col, label_col, per_label)
-    picked = docs.select(id_col, label_col, text_col).join(F.broadcast(sample), [id_col, label_col]).select(F.col(label_col).alias("_label"), F.col(text_col).alias("_text"))
+    picked = docs.select(id_col, label_col, text_col).join(F.broadcast(sample.select(id_col, label_col)), [id_col, label_col])
+    picked = one_text(picked, [id_col, label_col], text_col).select(F.col(label_col).alias("_label"), F.col(text_col).alias("_text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

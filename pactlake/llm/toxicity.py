@@ -5,7 +5,8 @@ log-count ratio of a feature compares how often labelled toxic and other texts h
 the features scaled by their ratios. Its product with the ratios is one weight for each feature, so a text's score
 needs one look-up for each distinct n-gram.
 
-The fit takes at most `per_label` labelled texts of each label (whole texts; the same on each run). Only their hashed
+The fit takes at most `per_label` labelled texts of each label (whole texts; the same on each run; of rows that share an
+id, one). Only their hashed
 features reach the driver. Scoring is one pass over all texts, without a shuffle.
 
 Empty inputs: with no labelled row of some label the score is the share of label 1 (0.0 without any label). Null and
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, bounded_sample, characters, crc_mod, fit_logistic, row_ranges, slices
+from .common import SLICE, bounded_sample, characters, crc_mod, fit_logistic, one_text, row_ranges, slices
 
 ORDERS = (4, 5)
 
@@ -67,7 +68,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model of `labels` (id_col, label_col of 0 or 1) on the texts of `docs`. At most `per_label` texts of each label are used."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).cast("int").alias("_y"))
     sample = bounded_sample(known, id_col, "_y", per_label)
-    picked = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select("_y", "n_label", F.col(text_col).alias("_text"))
+    picked = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
+    picked = one_text(picked, [id_col, "_y", "n_label"], text_col).select("_y", "n_label", F.col(text_col).alias("_text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,6 +42,27 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(docs.limit(0), labels).collect() == []
 
 
+def test_repeated_rows_do_not_enlarge_the_fit(spark):
+    """Rows that repeat a labelled id, in copies or with other texts, count as one."""
+    rows = [(k, ("you idiot " if k % 3 == 0 else "a kind word ") * (1 + k % 5), "en" if k % 2 else "de") for k in range(60)]
+    copies = spark.createDataFrame(rows + [rows[0]] * 2000 + [rows[1]] * 2000, "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
+    one, many = toxicity.fit(docs, labels), toxicity.fit(copies, labels)
+    assert np.array_equal(one.weight, many.weight) and one.bias == many.bias
+    one, many = langid.fit(docs), langid.fit(copies)
+    assert np.array_equal(one.weight, many.weight) and one.languages == many.languages
+    other = copies.withColumn("text", F.concat("text", F.monotonically_increasing_id().cast("string")))
+    seen = []
+    true = toxicity.fit_logistic
+    toxicity.fit_logistic = lambda starts, *a, **k: seen.append(len(starts) - 1) or true(starts, *a, **k)
+    try:
+        toxicity.fit(other, labels)
+    finally:
+        toxicity.fit_logistic = true
+    assert seen == [60]
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = langid.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
