@@ -11,6 +11,9 @@ passed over only where the coverage asked for cannot be reached:
 - A coverage c of n words leaves out n - ceil(c n) at most, so of any one word more than that one is in the notice. The
   longest such words of all templates are searched in all texts at once (an Aho-Corasick automaton).
 - A window must hold ceil(c n) of the template's words, counted with their repeats (a running count over the text).
+- No alignment is longer than the longest common subsequence, which a window that starts s words later exceeds by s at
+  most. So a window whose longest common subsequence (by bits, one for each word of the template) lacks s words rules out
+  the next s - 1 as well.
 
 Windows are tried from left to right, each once. Where one reaches the coverage, those that start within it are tried
 too, the densest is taken (words aligned less words between), and the search goes on behind it. So the time is linear in the
@@ -148,6 +151,18 @@ class Template:
         self.needed = max(1, ceil(least * self.size - 1e-9))
         self.signs = set(sorted(self.words, key=lambda w: (-len(w), w))[: self.size - self.needed + 1])
         self.reach = (2 * self.size - self.needed + 1, 2 * self.size)
+        self.bits: dict[str, int] = {}
+        for k, w in enumerate(self.words):
+            self.bits[w] = self.bits.get(w, 0) | 1 << k
+
+    def common(self, have: list[str], start: int) -> int:
+        """Words of the longest common subsequence of the template and the widest window from `start` on. A bit is clear where the subsequence of the words so far grows."""
+        whole = row = (1 << self.size) - 1
+        for w in have[start : start + self.reach[1]]:
+            here = row & self.bits.get(w, 0)
+            if here:
+                row = ((row + here) | (row - here)) & whole
+        return self.size - row.bit_count()
 
     def align(self, have: list[str], start: int) -> tuple[int, int, int] | None:
         """Words aligned, first and last word (in `have`) of the better window from `start` on; None if it has too few."""
@@ -177,12 +192,15 @@ class Template:
 
     def notices(self, have: list[str]) -> Iterator[tuple[int, int, int]]:
         """Words aligned, first and last word of the notices, from left to right."""
-        best = None
+        best, next_ = None, 0
         for p in self.starts(have):
             if best is not None and p > best[2]:
                 yield best
                 best = None
-            if best is not None and best[0] == self.size == best[2] - best[1] + 1:
+            if p < next_ or best is not None and best[0] == self.size == best[2] - best[1] + 1:
+                continue
+            next_ = p + self.needed - self.common(have, p)
+            if next_ > p:
                 continue
             now = self.align(have, p)
             if now is not None and (best is None or now[1] <= best[2] and dense(now) > dense(best)):

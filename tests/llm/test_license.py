@@ -126,3 +126,29 @@ def test_long_texts_take_linear_time():
     assert {x["license"] for x in scanner((lic.TEMPLATES[4][1] + "\n") * 4000)} == {"MIT"}
     assert scanner("the license of this software is the license under the terms of the public and general copy " * 10_000) == []
     assert time.process_time() - began < 60
+
+
+def test_words_of_licences_in_mixed_order_take_little_time():
+    """The longest common subsequence of each window bounds how many next ones can be passed over; a notice among such words is found."""
+    rng = random.Random(8)
+    scanner = lic.Scanner(lic.TEMPLATES, 0.8)
+    pool = [w for _, t in lic.TEMPLATES for w, _, _ in lic.words(t)]
+    text = " ".join(rng.choice(pool) for _ in range(170_000))
+    began = time.process_time()
+    found = scanner(text + "\n" + lic._ZLIB + "\n" + text)
+    assert time.process_time() - began < 40 and len(text) > 1_000_000
+    assert {"license": "Zlib", "coverage": 1.0} in [{k: x[k] for k in ("license", "coverage")} for x in found]
+
+
+def test_longest_common_subsequence_bounds_alignments():
+    rng = random.Random(2)
+    t = lic.Template("x", "a b c d e f g h a c", 0.6)
+    for _ in range(300):
+        have = [rng.choice("abcdefghz") for _ in range(40)]
+        at = rng.randrange(20)
+        window, row = have[at : at + t.reach[1]], [0] * (t.size + 1)
+        for w in window:
+            last = row[:]
+            for k, v in enumerate(t.words, 1):
+                row[k] = last[k - 1] + 1 if v == w else max(last[k], row[k - 1])
+        assert t.common(have, at) == row[-1] >= len(lic.align(window, t.words))
