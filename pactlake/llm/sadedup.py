@@ -15,10 +15,10 @@ Buckets of one position are dropped as early as they are known to be single:
 4. Each block marks its repeated positions and cuts the covered bytes.
 
 Texts are shuffled once, into blocks; all else that moves are rows of identifiers: about one for each 50 bytes in step 2,
-fewer in step 3, and an answer to those that repeat. Their number grows with the input, not with its square, and not with
-how often a string repeats: a repeated identifier has a row for each block and no more, so none makes up more than one
-part in about 50,000 of the rows, and the windows that sum identifiers over blocks are short. Identifiers have 64 bits,
-as strings are never compared themselves.
+fewer in step 3, and an answer to those that repeat. Their number grows with the input, not with its square. A repeated
+pair of identifiers has a row for each block and no more. An anchor has one for each block and each of its surroundings,
+so a passage that stands everywhere in other words makes up a share of all rows; such anchors are dealt by both identifiers
+(see totals()). Identifiers have 64 bits, as strings are never compared themselves.
 
 Null texts count as empty, and nothing is removed from texts shorter than `length`. Repeated rows are documents of
 their own: equal long rows remove each other. All columns are kept; an empty table gives an empty result.
@@ -35,9 +35,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import combine, free_names, mix, text_bytes
+from .common import combine, cut_lineage, free_names, mix, text_bytes
 
 CHUNK = 1 << 19
+#: An anchor with more rows than this, and than one in HOT_SHARE of all, is dealt apart.
+HOT_ROWS, HOT_SHARE = 100_000, 10_000
 U64 = np.uint64
 
 
@@ -145,12 +147,34 @@ def _state(anchor: np.ndarray, whole: np.ndarray, anchors: _Known, wholes: _Know
     return full, ~full & mixed, full & mixed & first
 
 
+def totals(sent: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """_block, anchor, whole, of_anchor, of_whole and first (whether the block is the first with these bytes) of the rows (_block, anchor, whole, n; written) whose anchor occurs twice or more.
+
+    A passage in differing surroundings has a row for each of them under one anchor. An anchor with more than `hot_rows` rows, or one in HOT_SHARE of all rows if that is more, is dealt by anchor and whole bytes, and its total comes from a partial aggregate; such anchors are HOT_SHARE at most, and a sketch of the frequent ones, which leaves none of them out, finds them.
+    """
+    pair = Window.partitionBy("anchor", "whole")
+    of_pair = ["_block", "anchor", "whole", "n", F.sum("n").over(pair).alias("of_whole"), (F.min("_block").over(pair) == F.col("_block")).alias("first")]
+    out = ["_block", "anchor", "whole", "of_anchor", "of_whole", "first"]
+    most = max(hot_rows, sent.count() // HOT_SHARE)
+    seen = sent.agg(F.expr(f"approx_top_k(anchor, {HOT_SHARE}, {8 * HOT_SHARE})")).first()[0] or []
+    hot = [r["item"] for r in seen if r["count"] > most]
+    cold, found = sent, None
+    if hot:
+        names = F.broadcast(sent.sparkSession.createDataFrame([(a,) for a in hot], "anchor long"))  # HOT_SHARE rows at most
+        cold, warm = sent.join(names, "anchor", "left_anti"), sent.join(names, "anchor")
+        of_anchor = F.broadcast(warm.groupBy("anchor").agg(F.sum("n").alias("of_anchor")))
+        found = warm.repartition("anchor", "whole").select(*of_pair).join(of_anchor, "anchor").select(*out)
+    # one sort by both serves both windows
+    rest = cold.repartition("anchor").select(*of_pair).withColumn("of_anchor", F.sum("n").over(Window.partitionBy("anchor"))).select(*out)
+    return (rest if found is None else rest.unionByName(found)).where("of_anchor > 1")
+
+
 def block_of(rows: DataFrame, blocks: int):
     """A block for each row, by a hash of its plain columns."""
     return F.pmod(F.xxhash64(*[F.col(c) for c, k in rows.dtypes if k in ("bigint", "int", "string")]), F.lit(blocks)).cast("int")
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, block_bytes: int = 4 << 20, out: tuple[str, str] = ("_spans", "_kept")) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, block_bytes: int = 4 << 20, out: tuple[str, str] = ("_spans", "_kept"), hot_rows: int = HOT_ROWS) -> DataFrame:
     """All columns of `docs`, with spans (start and end of each removed run of bytes) and the bytes left, as `out`, which take the place of columns of these names."""
     docs = docs.drop(*out)
     total = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
@@ -165,10 +189,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
         return _rows(key[0].as_py(), ("anchor", "whole", "n"), *run_counts(*text_bytes(table[text]), length))
 
     sent = dealt.groupBy("_block").applyInArrow(anchors, "_block int, anchor long, whole long, n long")
-    # one sort by both serves both windows
-    pair, single = Window.partitionBy("anchor", "whole"), Window.partitionBy("anchor")
-    known = sent.repartition("anchor").select("_block", "anchor", "whole", "n", F.sum("n").over(pair).alias("of_whole"), (F.min("_block").over(pair) == F.col("_block")).alias("first"))
-    known = known.select("_block", "anchor", "whole", F.sum("n").over(single).alias("of_anchor"), "of_whole", "first").where("of_anchor > 1")
+    known = totals(cut_lineage(sent), hot_rows)
 
     def strings(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
         buf, offs = text_bytes(table[text])

@@ -106,3 +106,26 @@ def test_rows_grow_with_the_input():
         pairs = [set(zip(r[0].tolist(), r[1].tolist())) for r in rows]
         assert all(len(p) == len(r[0]) and r[2].max() >= 9 for p, r in zip(pairs, rows)) and set.intersection(*pairs)
     assert 3.8 < sent[1] / sent[0] < 4.2
+
+
+@pytest.mark.parametrize("length", [20, 32])
+def test_anchors_in_many_surroundings(spark, length):
+    """A passage shorter than the window, in differing words in all documents, is dealt apart; the result is the same."""
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    passage = "the same words stand here for all"[: length - 3]
+    rows = [(k, f"{word()} {word()} {passage} {word()} {word()}" + (" and the very same end of the text" if k % 9 == 0 else ""), "s") for k in range(300)] + [(k, t, "s") for k, t in enumerate(texts(), 300)]
+    out = spark.createDataFrame(rows, SCHEMA)
+    want = brute([t for _, t, _ in rows], length)
+    for hot_rows in (3, 100_000):
+        spans = sadedup.repeated_spans(out, length=length, block_bytes=2000, hot_rows=hot_rows)
+        got = {r.doc_id: (len((r.text or "").encode()), len((r.text or "").encode()) - len(r._kept), len(r._spans), hashlib.sha256(r._kept).hexdigest()) for r in spans.collect()}
+        assert [got[k] for k, _, _ in rows] == want
+
+
+def test_totals_of_hot_anchors(spark):
+    rng = random.Random(5)
+    rows = {(rng.randrange(40), rng.choice([7, 7, 7, rng.randrange(100, 400)]), rng.randrange(300)) for _ in range(3000)}
+    sent = spark.createDataFrame([(*r, rng.randrange(1, 4)) for r in sorted(rows)], "_block int, anchor long, whole long, n long")
+    a, b = (sorted(tuple(r) for r in sadedup.totals(sent, hot).collect()) for hot in (50, 10**9))
+    assert a == b and len(a) > 1000
