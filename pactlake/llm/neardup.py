@@ -471,12 +471,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one row of each group (the least id, then text hash), and all rows without a word."""
+    """`docs` with one row of each group (the least id, then text hash, then hash of all its plain columns), and all rows without a word."""
     signed, placed = _groups(docs, id_col, text_col, size, percent)
     hashed, a_id, a_hash = free_names(docs, "hash", "id", "text_hash")
     rows = signed.join(placed.select("node", "root"), "node")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("best")).select(F.col("best.id").alias(a_id), F.col("best.text_hash").alias(a_hash))
     worded = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
     own = docs.withColumn(hashed, F.xxhash64(text_col))
-    stay = own.join(best, F.col(id_col).eqNullSafe(F.col(a_id)) & (F.col(hashed) == F.col(a_hash)), "left_semi").where(worded).dropDuplicates([id_col, hashed])
-    return stay.unionByName(own.where(~worded)).drop(hashed)
+    stay = own.join(best, F.col(id_col).eqNullSafe(F.col(a_id)) & (F.col(hashed) == F.col(a_hash)), "left_semi").where(worded)
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
+    one = stay.groupBy(F.col(id_col).alias(a_id), F.col(hashed).alias(a_hash)).agg(F.min_by(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]), F.xxhash64(*plain)).alias(hashed))
+    kept = one.select(*[F.col(f"{hashed}.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return kept.unionByName(own.where(~worded).drop(hashed))

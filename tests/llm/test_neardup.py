@@ -167,3 +167,12 @@ def test_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, text, "a", 1, 2, 3, 4), (2, text, "a", 1, 2, 3, 4), (3, "", "b", 1, 2, 3, 4)], "doc_id long, text string, node string, _hash int, _id int, _text_hash int, grp int")
     out = neardup.deduplicate(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_rows_of_one_id_and_text_leave_the_same_one(spark):
+    """Of rows that differ in other columns only, the same one stays however they are dealt."""
+    text = "one two three four five six seven eight"
+    rows = [(1, text, f"s{k}", {"a": k}) for k in range(40)] + [(2, "another text of other words altogether here", "s", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,int>")
+    got = {tuple(sorted((r.doc_id, r.source) for r in neardup.deduplicate(docs.repartition(n)).collect())) for n in (1, 3, 7)}
+    assert len(got) == 1 and len(next(iter(got))) == 2
