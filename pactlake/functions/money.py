@@ -18,6 +18,7 @@ AMOUNT = r"\d{1,2}(?:,\d{2})+,\d{3}(?:\.\d{1,2})?|\d{1,3}(?:,\d{3})+(?:\.\d{1,3}
 BEFORE = r"(US\$|R\$|CA\$|C\$|AU\$|A\$|S\$|\$|₹|€|£|¥|Rs\.?|" + CODES + r")\s?(" + AMOUNT + r")(?!\d)"
 AFTER = r"(?<![\d.,])(" + AMOUNT + r")\s?((?:" + CODES + r")\b|€|₹|£)"
 WRITTEN = r"-?\d{1,3}(?: \d{3})+,\d{1,2}(?!\d)|-?\d[\d,.]*\d|-?\d"
+GROUPED = r"^\s*(?:[A-Za-z$€£₹]{1,3}\.?\s*)?(-?\d{1,3}(?: \d{3})+)\s*(?:[A-Za-z€£₹$]{1,3})?\s*$"
 DATE_LIKE = r"\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b"
 
 
@@ -40,7 +41,7 @@ def number_from_digits(raw: Column) -> Column:
 def parse_money(text: Column) -> Column:
     """The first amount of a text, with its scale word; null for dates, empty words and texts without a number."""
     known = F.when(~F.lower(F.trim(text)).isin(*NO_VALUE), F.regexp_replace(text, DATE_LIKE, " "))
-    grouped = F.regexp_extract(known, r"^\s*(?:[A-Za-z$€£₹]{1,3}\.?\s*)?(-?\d{1,3}(?: \d{3})+)\s*(?:[A-Za-z€£₹$]{1,3})?\s*$", 1)
+    grouped = F.regexp_extract(known, GROUPED, 1)
     number = F.regexp_extract(known, f"({WRITTEN})", 1)
     rest = F.regexp_extract(known, f"(?s)(?:{WRITTEN})(.*)$", 1)
     factor = F.lit(1.0)

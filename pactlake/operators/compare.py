@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SPAN = r"(\d+\s*\([^)]+\)\s*(?:year|month|day)s?|\d+\s*(?:year|month|day)s?)"
-_DAYS = r"\d+\s*\([^)]+\)\s*(?:business\s+)?days?"
 # Terms with their patterns.
 TERMS: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("effective_date", (r"(?:effective\s+date|commences?\s+on|effective\s+from)\s*(?:is|of|on|:)?\s*([A-Za-z]+\s+\d{1,2},?\s+\d{4}|\d{1,2}\s+[A-Za-z]+\s+\d{4}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",)),
-    ("contract_duration", (r"(?:term|duration|period)\s*(?:of|is|:)?\s*" + _SPAN, r"(?:remain(?:s)?\s+in\s+force|continue)\s+for\s+" + _SPAN)),
-    ("renewal_period", (r"(?:renew(?:ed|al)?|automatic(?:ally)?\s+renew(?:ed|al)?).{0,80}?" + _SPAN,)),
-    ("payment_period", (r"(?:paid|payable|payment\s+shall\s+be\s+made).{0,80}?(?:within|net)\s+(" + _DAYS + r"|\d+\s*(?:business\s+)?days?)", r"\bnet\s+(\d+)\b")),
-    ("termination_notice", (r"(?:terminate|termination).{0,120}?(?:notice\s+of|upon|with)\s+(" + _DAYS + r"(?:\s+written\s+notice)?|\d+\s*(?:business\s+)?days?(?:\s+written\s+notice)?)", r"(\d+\s*(?:business\s+)?days?)\s+(?:prior\s+)?written\s+notice")),
+    ("contract_duration", (r"(?:term|duration|period)\s*(?:of|is|:)?\s*(\d+\s*\([^)]+\)\s*(?:year|month|day)s?|\d+\s*(?:year|month|day)s?)", r"(?:remain(?:s)?\s+in\s+force|continue)\s+for\s+(\d+\s*\([^)]+\)\s*(?:year|month|day)s?|\d+\s*(?:year|month|day)s?)")),
+    ("renewal_period", (r"(?:renew(?:ed|al)?|automatic(?:ally)?\s+renew(?:ed|al)?).{0,80}?(\d+\s*\([^)]+\)\s*(?:year|month|day)s?|\d+\s*(?:year|month|day)s?)",)),
+    ("payment_period", (r"(?:paid|payable|payment\s+shall\s+be\s+made).{0,80}?(?:within|net)\s+(\d+\s*\([^)]+\)\s*(?:business\s+)?days?|\d+\s*(?:business\s+)?days?)", r"\bnet\s+(\d+)\b")),
+    ("termination_notice", (r"(?:terminate|termination).{0,120}?(?:notice\s+of|upon|with)\s+(\d+\s*\([^)]+\)\s*(?:business\s+)?days?(?:\s+written\s+notice)?|\d+\s*(?:business\s+)?days?(?:\s+written\s+notice)?)", r"(\d+\s*(?:business\s+)?days?)\s+(?:prior\s+)?written\s+notice")),
     ("liability_cap", (r"(?:liability|aggregate\s+liability).{0,120}?(?:shall\s+not\s+exceed|limited\s+to|capped\s+at|cap(?:ped)?\s+at)\s+([^.;\n]+)", r"(unlimited\s+liability)")),
     ("governing_law", (r"(?:governed\s+by|governing\s+law)(?:\s+the\s+laws?)?(?:\s+of)?\s*([A-Za-z][A-Za-z\s,&-]{2,60})",)),
     ("jurisdiction", (r"(?:exclusive\s+jurisdiction|jurisdiction)(?:\s+of|\s+in|\s+shall\s+be)?\s*([A-Za-z][A-Za-z\s,&-]{2,60})",)),

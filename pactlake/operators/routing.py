@@ -25,6 +25,7 @@ CLAUSE_TOPIC = r"(?i)\b(terminat\w*|cancel\w*|default\w*|breach\w*|penalt\w*|fin
 # rules on a question in lower case, in the order in which they are tried
 RISKY = r"\b(riskiest|most risky|highest risks?|most (?:high[- ])?risks?|high[- ]risk)\b"
 CONTRACT = r"\bcontracts?\b"
+CONTRACTS = r"\bcontracts\b"
 OF_CLAUSE = r"\b(clause|say|mention)"
 TOP = r"\btop\s+(\d{1,2})\b"
 TOP_OF = r"\b(\d{1,2})\s+(?:largest|biggest|highest|smallest|lowest)\b"
@@ -52,7 +53,7 @@ def rule_spec(question: Column) -> Column:
     found = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit(""))
     top = F.coalesce(found(TOP), found(TOP_OF)).cast("int")
     limit = F.when(offset > 0, 1).when(top.isNotNull(), top).when(low.rlike(MANY), F.lit(None)).otherwise(1)
-    several = F.when(low.rlike(r"\bcontracts\b") & (offset == 0), F.lit(None)).otherwise(1)
+    several = F.when(low.rlike(CONTRACTS) & (offset == 0), F.lit(None)).otherwise(1)
     return (
         F.when(q.rlike(PLAIN_COUNT), spec("count"))
         .when(risky, spec(by="high_risk_clauses", limit=several, offset=offset))
