@@ -150,17 +150,18 @@ def _state(anchor: np.ndarray, whole: np.ndarray, anchors: _Known, wholes: _Know
 def totals(sent: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """_block, anchor, whole, of_anchor, of_whole and first (whether the block is the first with these bytes) of the rows (_block, anchor, whole, n; written) whose anchor occurs twice or more.
 
-    A passage in differing surroundings has a row for each of them under one anchor. An anchor with more than `hot_rows` rows, or one in HOT_SHARE of all rows if that is more, is dealt by anchor and whole bytes, and its total comes from a partial aggregate; such anchors are HOT_SHARE at most, and a sketch of the frequent ones, which leaves none of them out, finds them.
+    A passage in differing surroundings has a row for each of them under one anchor. An anchor with more than `hot_rows` rows, or one in HOT_SHARE of all rows if that is more, is dealt by anchor and whole bytes, and its total comes from a partial aggregate. Such anchors are found by counts in a sample of the whole bytes (by hash), in which about a hundred rows of each are; one that chance leaves out would only be dealt as before. They are 2 * HOT_SHARE at most.
     """
     pair = Window.partitionBy("anchor", "whole")
     of_pair = ["_block", "anchor", "whole", "n", F.sum("n").over(pair).alias("of_whole"), (F.min("_block").over(pair) == F.col("_block")).alias("first")]
     out = ["_block", "anchor", "whole", "of_anchor", "of_whole", "first"]
     most = max(hot_rows, sent.count() // HOT_SHARE)
-    seen = sent.agg(F.expr(f"approx_top_k(anchor, {HOT_SHARE}, {8 * HOT_SHARE})")).first()[0] or []
-    hot = [r["item"] for r in seen if r["count"] > most]
+    one_in = max(1, most // 100)
+    counts = sent.where(F.pmod(F.xxhash64("whole"), F.lit(one_in)) == 0).groupBy("anchor").agg(F.count(F.lit(1)).alias("_rows"))
+    hot = cut_lineage(counts.where(F.col("_rows") > most / (2 * one_in)).select("anchor"))
     cold, found = sent, None
-    if hot:
-        names = F.broadcast(sent.sparkSession.createDataFrame([(a,) for a in hot], "anchor long"))  # HOT_SHARE rows at most
+    if not hot.isEmpty():
+        names = F.broadcast(hot)  # 2 * HOT_SHARE rows at most
         cold, warm = sent.join(names, "anchor", "left_anti"), sent.join(names, "anchor")
         of_anchor = F.broadcast(warm.groupBy("anchor").agg(F.sum("n").alias("of_anchor")))
         found = warm.repartition("anchor", "whole").select(*of_pair).join(of_anchor, "anchor").select(*out)
