@@ -38,8 +38,9 @@ from pyspark.sql import types as T
 from .common import combine, cut_lineage, free_names, mix, text_bytes
 
 CHUNK = 1 << 19
-#: An anchor with more rows than this, and than one in HOT_SHARE of all, is dealt apart.
+#: An anchor with more rows than this, and than one in HOT_SHARE of all, is dealt apart; blocks that are looked at for such anchors.
 HOT_ROWS, HOT_SHARE = 100_000, 10_000
+SOME_BLOCKS = 16
 U64 = np.uint64
 
 
@@ -147,21 +148,25 @@ def _state(anchor: np.ndarray, whole: np.ndarray, anchors: _Known, wholes: _Know
     return full, ~full & mixed, full & mixed & first
 
 
-def totals(sent: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """_block, anchor, whole, of_anchor, of_whole and first (whether the block is the first with these bytes) of the rows (_block, anchor, whole, n; written) whose anchor occurs twice or more.
+def hot_anchors(sample: DataFrame, share: float, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The anchors that have more than `hot_rows` rows, and than one in HOT_SHARE of all, if the blocks at hand (rows _block, anchor, whole, n) are that share of all blocks; None if there are none. HOT_SHARE at most. Blocks are dealt by a hash, so some tell of all; an anchor that chance leaves out is only dealt like any other."""
+    sample = cut_lineage(sample)
+    most = max(hot_rows * share, sample.count() / HOT_SHARE)
+    hot = cut_lineage(sample.groupBy("anchor").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select("anchor"))
+    return None if hot.isEmpty() else hot
 
-    A passage in differing surroundings has a row for each of them under one anchor. An anchor with more than `hot_rows` rows, or one in HOT_SHARE of all rows if that is more, is dealt by anchor and whole bytes, and its total comes from a partial aggregate. Such anchors are found by counts in a sample of the whole bytes (by hash), in which about a hundred rows of each are; one that chance leaves out would only be dealt as before. They are 2 * HOT_SHARE at most.
+
+def totals(sent: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """_block, anchor, whole, of_anchor, of_whole and first (whether the block is the first with these bytes) of the rows (_block, anchor, whole, n) whose anchor occurs twice or more.
+
+    A passage in differing surroundings has a row for each of them under one anchor. Such anchors (`hot`, HOT_SHARE at most) are dealt by anchor and whole bytes, and their totals come from a partial aggregate.
     """
     pair = Window.partitionBy("anchor", "whole")
     of_pair = ["_block", "anchor", "whole", "n", F.sum("n").over(pair).alias("of_whole"), (F.min("_block").over(pair) == F.col("_block")).alias("first")]
     out = ["_block", "anchor", "whole", "of_anchor", "of_whole", "first"]
-    most = max(hot_rows, sent.count() // HOT_SHARE)
-    one_in = max(1, most // 100)
-    counts = sent.where(F.pmod(F.xxhash64("whole"), F.lit(one_in)) == 0).groupBy("anchor").agg(F.count(F.lit(1)).alias("_rows"))
-    hot = cut_lineage(counts.where(F.col("_rows") > most / (2 * one_in)).select("anchor"))
     cold, found = sent, None
-    if not hot.isEmpty():
-        names = F.broadcast(hot)  # 2 * HOT_SHARE rows at most
+    if hot is not None:
+        names = F.broadcast(hot)
         cold, warm = sent.join(names, "anchor", "left_anti"), sent.join(names, "anchor")
         of_anchor = F.broadcast(warm.groupBy("anchor").agg(F.sum("n").alias("of_anchor")))
         found = warm.repartition("anchor", "whole").select(*of_pair).join(of_anchor, "anchor").select(*out)
@@ -184,13 +189,16 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
     # inside, columns go by their place, so that they may have any name
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
     text = f"c{names.index(text_col)}"
-    dealt = own.withColumn("_block", block_of(own, blocks)).repartition(max(1, min(blocks, 100_000)), "_block")
+    placed = own.withColumn("_block", block_of(own, blocks))
+    dealt = placed.repartition(max(1, min(blocks, 100_000)), "_block")
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _rows(key[0].as_py(), ("anchor", "whole", "n"), *run_counts(*text_bytes(table[text]), length))
 
     sent = dealt.groupBy("_block").applyInArrow(anchors, "_block int, anchor long, whole long, n long")
-    known = totals(cut_lineage(sent), hot_rows)
+    few = max(1, min(SOME_BLOCKS, blocks // 8))
+    sample = placed.where(F.col("_block") < few).repartition(few, "_block").groupBy("_block").applyInArrow(anchors, sent.schema)
+    known = totals(sent, hot_anchors(sample, few / blocks, hot_rows))
 
     def strings(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
         buf, offs = text_bytes(table[text])

@@ -127,5 +127,7 @@ def test_totals_of_hot_anchors(spark):
     rng = random.Random(5)
     rows = {(rng.randrange(40), rng.choice([7, 7, 7, rng.randrange(100, 400)]), rng.randrange(300)) for _ in range(3000)}
     sent = spark.createDataFrame([(*r, rng.randrange(1, 4)) for r in sorted(rows)], "_block int, anchor long, whole long, n long")
-    a, b = (sorted(tuple(r) for r in sadedup.totals(sent, hot).collect()) for hot in (50, 10**9))
+    hot = sadedup.hot_anchors(sent.where("_block < 20"), 0.5, 50)
+    assert 7 in [r.anchor for r in hot.collect()] and sadedup.hot_anchors(sent, 1.0, 10**9) is None
+    a, b = (sorted(tuple(r) for r in sadedup.totals(sent, h).collect()) for h in (hot, None))
     assert a == b and len(a) > 1000
