@@ -46,7 +46,7 @@ class Codebook:
 
     @property
     def probe_share(self) -> float:
-        return self.probes / len(self.centres)
+        return self.probes / max(1, len(self.centres))
 
 
 # --- the fit, on the sample ---
@@ -99,7 +99,7 @@ def fit(vectors: DataFrame, k: int = 10, goal: float = 0.93, key: str = "vec_id"
     """A codebook for searches of k neighbours, with as many lists as a quarter of the sample's rows, MOST_LISTS at most."""
     rows, rng = sample_of(vectors, key, value), np.random.default_rng(7)
     if not len(rows):
-        return Codebook(np.zeros((1, WIDTH)), np.zeros((1, 1, WIDTH)), 1, k)
+        return Codebook(np.zeros((0, 0)), np.zeros((0, 256, WIDTH)), 0, k)  # no vectors: no lists
     centres = _means(rows, lists or max(1, min(MOST_LISTS, len(rows) // 4)), rng, True)
     own = _nearest_centre(rows, centres)
     rest = _padded(rows - centres[own])
@@ -172,7 +172,7 @@ def coded_candidates(index: DataFrame, block: DataFrame, book: Codebook, keep: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, book = shared.value
         names, queries = asked["by"].combine_chunks(), _unit(_matrix(asked["q"].combine_chunks()))
-        if not len(queries):
+        if not len(queries) or not len(book.centres):
             return
         to_lists, tables = queries @ book.centres.T, _tables(queries, book.parts)
         place = np.argsort(np.argsort(-to_lists, 1, kind="stable"), 1, kind="stable")
@@ -242,7 +242,7 @@ def met(index: DataFrame, queries: DataFrame, book: Codebook, value: str = "embe
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
+            if batch.num_rows and len(shared.value.centres):
                 near = np.argsort(-(_unit(_matrix(batch.column(0))) @ shared.value.centres.T), 1, kind="stable")[:, : shared.value.probes]
                 own, n = np.unique(near, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n)], ["list", "asked"])
