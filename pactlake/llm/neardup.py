@@ -5,9 +5,11 @@ copies are never compared with each other. The nodes are searched in independent
 
 - In each tree a node takes the path of its least-hashed token (minwise choice, another hash for each tree).
 - A path of up to `TASK` nodes is a leaf: all its nodes are compared.
-- Nodes of a crowded path branch again: each follows `BRANCH` tokens, chosen by hashes that the path sets, and so on
-  down, as long as that leaves at most half of the pairs to compare. A path that doesn't fall apart is compared whole,
-  in blocks of about `SMALL` nodes, each two of them in a task of their own, so no path is thinned out or cut.
+- Nodes of a crowded path branch again: each follows `BRANCH` paths of one more token, chosen by hashes that the path
+  sets, and so on down, as long as that leaves at most half of the pairs to compare. Where it doesn't, as the nodes are
+  alike, paths of several more tokens (`STEPS`) are tried, as many of them as keep the recall, as long as the rows are
+  at most one for `PAIRS_A_ROW` pairs. A path that no step breaks up is compared whole, in blocks of about
+  `SMALL` nodes, each two of them in a task of their own, so no path is thinned out or cut.
 
 Before that, the nodes of crowded paths are compared with `LEADERS` of them; what is linked is one group from then on.
 Only pairs of different groups are looked for, and paths that hold one group are done, so a group of very many near
@@ -19,7 +21,9 @@ checkpoint after each.
 Recall: at any depth, a pair of similarity s stays together in a tree with probability q = 2 - 1/s at least (the fixed
 point of q = s (1 - (1 - q) ** 2), as both take each of two branches with probability s). The number of trees is the
 least that misses a pair at the threshold with probability `MISS` at most, summed over how its 64 chosen tokens may
-agree; the equal sketch bytes asked for miss it with probability `MISS` at most, too.
+agree; the equal sketch bytes asked for miss it with probability `MISS` at most, too. A step of d tokens takes as many
+paths as it needs for the same trees to miss the pair with probability `MISS` at most, if all steps below were such
+steps; as each step's map of q rises with q, mixed steps stay together at least as well as the worst of them alone.
 
 Texts without a word have an empty set and are linked with nothing. With fewer words than a shingle has, the whole
 sequence is one shingle. Documents without an id take part; they never give a component its name, and without any named
@@ -45,6 +49,10 @@ from .common import WORD, combine, cut_lineage, free_names, lower_ascii, mix, sl
 #: Most that a pair at the threshold may be missed by: by all trees, and by its sketch.
 MISS = 1e-5
 BRANCH = 2
+#: Tokens that a path below a crowded one may take at once; the first that leaves half of the pairs at most is taken.
+STEPS = (1, 2, 4)
+#: Pairs that a row is worth: a step is tried only where it makes at most a row for so many pairs.
+PAIRS_A_ROW = 64
 SMALL = 256
 #: Nodes on one path up to which a task compares it whole.
 TASK = 512
@@ -57,18 +65,24 @@ TEXTS = 4_000_000
 #: Links that a task of a component step takes.
 EDGES_A_TASK = 200_000
 COORDINATES = 64
+#: Levels below a crowded path that the recall is worked out for; each halves its pairs, so 10^18 nodes have fewer.
+LEVELS = 120
 U64 = np.uint64
 _ADD = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _TIMES = mix(np.arange(1001, 1001 + COORDINATES, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
-def missed(threshold: float, n_trees: int) -> float:
-    """The most that `n_trees` trees of any depth miss a pair of that similarity by."""
-    out = 0.0
-    for k in range(COORDINATES + 1):
-        stays = max(0.0, 2 - COORDINATES / k) if k else 0.0
-        out += comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) * (1 - stays) ** n_trees
-    return out
+def missed(threshold: float, n_trees: int, fans: list[tuple[int, int]] | None = None) -> float:
+    """The most that `n_trees` trees of any depth miss a pair of that similarity by, whose crowded paths take any of the steps `fans` (tokens, paths)."""
+    agree = np.arange(COORDINATES + 1) / COORDINATES
+    stays = np.maximum(0.0, 2 - 1 / np.maximum(agree, 1e-9))
+    for depth, fan in fans or []:
+        q = agree.copy()
+        for _ in range(LEVELS):
+            q = agree * (1 - (1 - agree ** (depth - 1) * q) ** fan)
+        stays = np.minimum(stays, q)
+    chance = np.array([comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(COORDINATES + 1)])
+    return float((chance * (1 - stays) ** n_trees).sum())
 
 
 def trees(threshold: float) -> int:
@@ -79,6 +93,16 @@ def trees(threshold: float) -> int:
     raise ValueError(f"a threshold of {threshold} takes more than 32 trees")
 
 
+def fans(threshold: float, n_trees: int) -> list[tuple[int, int]]:
+    """The steps below a crowded path: tokens taken at once, and the least number of paths by which that many trees keep the recall."""
+    out = [(1, BRANCH)]
+    for depth in STEPS[1:]:
+        fan = next((n for n in range(BRANCH, COORDINATES) if missed(threshold, n_trees, [*out, (depth, n)]) <= MISS), None)
+        if fan:
+            out.append((depth, fan))
+    return out
+
+
 def least_equal(threshold: float) -> int:
     """The most equal bytes of a sketch that a pair of that similarity falls short of with probability `MISS` at most."""
     below, k = 0.0, 0
@@ -196,8 +220,8 @@ def paths(nodes: DataFrame, n_trees: int, which: str) -> DataFrame:
     return out if which == "crowded" else out.drop("sketch")
 
 
-def children(rows: DataFrame) -> DataFrame:
-    """The rows of crowded paths, each on `BRANCH` paths below its own (`parent`)."""
+def children(rows: DataFrame, depth: int = 1, fan: int = BRANCH) -> DataFrame:
+    """The rows of crowded paths, each on `fan` paths below its own (`parent`), which take `depth` tokens each."""
     names = ["parent", *rows.columns]
     sketch = rows.columns.index("sketch")
 
@@ -207,9 +231,14 @@ def children(rows: DataFrame) -> DataFrame:
                 continue
             key, chosen, at = batch.column(0).to_numpy().view(U64), _chosen(batch.column(sketch)), np.arange(batch.num_rows)
             h = mix(key.copy())
-            for b in range(BRANCH):
-                turn = ((h + U64(b) * (U64(1) + (h >> U64(32)) % U64(COORDINATES - 1))) % U64(COORDINATES)).astype(np.int64)
-                below = mix(combine(combine(key, turn.astype(U64) + U64(1)), chosen[at, turn].astype(U64)))
+            for b in range(fan):
+                below = key if depth == 1 else combine(key, np.full(len(key), U64(depth * COORDINATES + b)))
+                for d in range(depth):
+                    if depth == 1:  # other tokens for each path
+                        turn = (h + U64(b) * (U64(1) + (h >> U64(32)) % U64(COORDINATES - 1))) % U64(COORDINATES)
+                    else:
+                        turn = combine(h, np.full(len(h), U64(b * depth + d + 1))) % U64(COORDINATES)
+                    below = mix(combine(combine(below, turn + U64(1)), chosen[at, turn.astype(np.int64)].astype(U64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(below.view(np.int64)), *batch.columns[1:]], names)
 
     schema = T.StructType([T.StructField("parent", T.LongType()), *rows.schema.fields])
@@ -237,17 +266,25 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return split.select(key.alias("key"), "node", "tree", "whole", "first", "small", "grp", "part", (F.col("part") != F.col("other")).alias("apart"))
 
 
-def below(crowded: DataFrame) -> DataFrame:
-    """Leaves of crowded paths (ROW, sketch, grp), level by level. A level halves the pairs to compare at least, so the levels end."""
+def below(crowded: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """Leaves of crowded paths (ROW, sketch, grp), level by level. A path takes the first of the steps (tokens, paths) that halves the pairs to compare at least, so the levels end."""
     now = cut_lineage(crowded.withColumn("tree", F.lit(-1)).join(to_compare(crowded, "key"), "key"))
     leaves = as_leaves(now.limit(0))
     while not now.isEmpty():
-        left = to_compare(children(now.select(crowded.columns)), "parent", "key").groupBy(F.col("parent").alias("key")).agg(F.sum("pairs").alias("left"))
-        judged = cut_lineage(now.join(left, "key", "left").withColumn("_split", 2 * F.coalesce("left", F.lit(0.0)) <= F.col("pairs")))
-        lower = children(judged.where("_split").select(crowded.columns)).drop("parent")
-        lower = cut_lineage(lower.join(to_compare(lower, "key"), "key"))
-        leaves = leaves.unionByName(in_blocks(judged.where("not _split"))).unionByName(as_leaves(lower.where(F.col("n") <= TASK)))
-        now = lower.where(F.col("n") > TASK)
+        lower, rest = [], now
+        for depth, fan in steps:
+            room = F.col("n") >= (0 if depth == 1 else fan * PAIRS_A_ROW)
+            able = rest.where(room).select(crowded.columns)
+            if able.isEmpty():
+                continue
+            left = to_compare(children(able, depth, fan), "parent", "key").groupBy(F.col("parent").alias("key")).agg(F.sum("pairs").alias("left"))
+            judged = cut_lineage(rest.join(left, "key", "left").withColumn("_split", room & (2 * F.coalesce("left", F.lit(0.0)) <= F.col("pairs"))))
+            lower.append(children(judged.where("_split").select(crowded.columns), depth, fan).drop("parent"))
+            rest = judged.where("not _split").drop("left", "_split")
+        found = reduce(DataFrame.unionByName, lower)
+        found = cut_lineage(found.join(to_compare(found, "key"), "key"))
+        leaves = leaves.unionByName(in_blocks(rest)).unionByName(as_leaves(found.where(F.col("n") <= TASK)))
+        now = found.where(F.col("n") > TASK)
     return leaves
 
 
@@ -454,7 +491,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
         crowded = cut_lineage(paths(held.where("crowded <> 0"), n_trees, "crowded"))
         edges.append(links(around_leaders(crowded, crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")))))
         crowded = crowded.join(components(edges[0]).withColumnRenamed("root", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-        leaves = leaves.unionByName(below(cut_lineage(crowded.select("key", "node", "tree", "whole", "first", "small", "sketch", "grp"))))
+        leaves = leaves.unionByName(below(cut_lineage(crowded.select("key", "node", "tree", "whole", "first", "small", "sketch", "grp")), fans(percent / 100, n_trees)))
     edges.append(links(leaves))
     placed = nodes.select("node", "first").join(components(reduce(DataFrame.unionByName, edges)), "node", "left")
     return signed.drop("sketch"), placed.select("node", "first", F.coalesce("root", "node").alias("root"))
