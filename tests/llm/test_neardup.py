@@ -146,10 +146,6 @@ def test_stated_recall(percent):
     for _ in range(50):  # levels
         q = s * (1 - (1 - q) ** neardup.BRANCH)
         assert q >= 2 - 1 / s - 1e-9
-    steps = neardup.fans(s, neardup.trees(s))
-    assert [d for d, _ in steps] == list(neardup.STEPS) and neardup.missed(s, neardup.trees(s), steps) <= neardup.MISS
-    for depth, fan in steps[1:]:  # one path less would miss more
-        assert neardup.missed(s, neardup.trees(s), [*steps[: neardup.STEPS.index(depth)], (depth, fan - 1)]) > neardup.MISS
 
 
 @pytest.mark.parametrize("task", [24, 512])
@@ -166,40 +162,6 @@ def test_links_on_crowded_paths(spark, monkeypatch, task):
     assert got == {d: d - d % 2 for d, _ in rows}
 
 
-@pytest.mark.parametrize("common,task,pairs_a_row", [(4, 512, 64), (4, 24, 8), (5, 24, 8)])
-def test_links_on_paths_of_several_tokens(spark, monkeypatch, common, task, pairs_a_row):
-    """Texts so alike that paths of one more token don't fall apart: the pairs at 0.8 among them are found on paths of several."""
-    monkeypatch.setattr(neardup, "SMALL", min(task, 256))
-    monkeypatch.setattr(neardup, "TASK", task)
-    monkeypatch.setattr(neardup, "PAIRS_A_ROW", pairs_a_row)
-    seen, plain = set(), neardup.children
-    monkeypatch.setattr(neardup, "children", lambda rows, depth=1, fan=2: seen.add(depth) or plain(rows, depth, fan))
-    rng = random.Random(12)
-    rows = []
-    for k in range(900):
-        own = [f"c{x}" for x in range(common)] + [f"p{k}x{x}" for x in range(8 - common)]
-        rows += [(2 * k, " ".join([*own, f"z{rng.randrange(10**9)}"])), (2 * k + 1, " ".join([*own, f"z{rng.randrange(10**9)}"]))]
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1, percent=80).collect()}
-    assert got == {d: d - d % 2 for d, _ in rows} and 2 in seen
-
-
-def test_alike_pages_are_not_compared_with_each_other(spark, monkeypatch):
-    """3,000 pages of one template, alike by a third and linked with nothing, take a few hundred pairs each."""
-    rng, found, plain = random.Random(8), [], neardup.below
-
-    def below(*args):
-        found.append(plain(*args))
-        return found[-1]
-
-    monkeypatch.setattr(neardup, "below", below)
-    page = [f"p{k}" for k in range(64)]
-    rows = [(k, " ".join(page + [f"q{rng.randrange(10**9)}" for _ in range(57)])) for k in range(3000)]
-    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert out.where("kept").count() == 3000
-    sizes = [r["count"] for r in found[0].groupBy("key").count().collect()]
-    assert sum(n * (n - 1) // 2 for n in sizes) < 1000 * 3000 and sum(sizes) < 16 * 3000
-
-
 def test_columns_of_any_name(spark):
     text = "the same text of some seven words"
     docs = spark.createDataFrame([(1, text, "a", 1, 2, 3, 4), (2, text, "a", 1, 2, 3, 4), (3, "", "b", 1, 2, 3, 4)], "doc_id long, text string, node string, _hash int, _id int, _text_hash int, grp int")
