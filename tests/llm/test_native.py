@@ -1,4 +1,6 @@
 import math
+import random
+import string
 from collections import Counter
 
 import duckdb
@@ -121,3 +123,36 @@ def test_urls_without_labels(spark):
     out = urlfilter.url_filter(frame([(1, "http://a.org/", "x"), (1, "http://a.org/", "x"), (None, None, "x")]), urlfilter.RULES).collect()
     assert [r.verdict for r in out] == ["allow"] * 3
     assert urlfilter.url_filter(frame([]), urlfilter.RULES).collect() == []
+
+
+def test_all_labelled_urls_and_contexts_count(spark):
+    """More labelled URLs of a kind, and more contexts, than fitted a bounded model. Repeated rows count once."""
+    rng = random.Random(21)
+    part = lambda n: "".join(rng.choice(string.ascii_lowercase) for _ in range(n))
+    urls = sorted({f"x://com/{part(6)}" for _ in range(102_000)} | {f"x://net/es/{part(4)}" for _ in range(3_000)} | {f"x://org/{part(5)}" for _ in range(300)})
+    frame = spark.createDataFrame(list(enumerate(urls + urls[:500])), "page_id long, url string")
+    learn = [(u, rule.action == "allow") for u in urls if (rule := ruled(u, urlfilter.RULES)[2])]
+    aside = {r.url for r in spark.createDataFrame([(u,) for u in urls], "url string").where("pmod(xxhash64(5, url), 5) = 0").collect()}
+    plain = PlainModels([(u, g) for u, g in learn if u not in aside])
+    contexts = plain.totals[True] + plain.totals[False]
+    assert sum(g for _, g in learn) > 100_000 and sum(n >= urlfilter.LEAST for n in contexts.values()) > 20_000
+    got = urlfilter.url_filter(frame, urlfilter.RULES).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(urls) + 500))
+    of = {r.page_id: r for r in got}
+    for k in rng.sample(range(len(urls)), 1000):
+        assert of[k].score == pytest.approx(plain.score(urls[k]), abs=1e-9)
+    for k in range(500):
+        assert of[len(urls) + k].score == of[k].score
+    held = [(of[k].score, ruled(u, urlfilter.RULES)[2].action == "allow") for k, u in enumerate(urls) if u in aside and ruled(u, urlfilter.RULES)[2]]
+    wrong = lambda cut: sum(s < cut for s, g in held if g) / sum(g for _, g in held) + sum(s >= cut for s, g in held if not g) / sum(not g for _, g in held)
+    assert wrong(got[0].cut) <= min(wrong(s) for s in {round(s, 2) for s, _ in held}) + 0.01
+
+
+def test_grams_dealt_apart_or_broadcast(spark, monkeypatch):
+    """Whether grams are broadcast as frequent ones or shuffled, the results are the same."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    out = []
+    for share in (1, 100, 10**9):
+        monkeypatch.setattr(urlfilter, "HOT_SHARE", share)
+        out.append(sorted(map(str, urlfilter.url_filter(pages, urlfilter.RULES).collect())))
+    assert out[0] == out[1] == out[2] and len(out[0]) == pages.count()
