@@ -87,6 +87,16 @@ def test_columns_of_any_name(spark):
     assert sorted((r.doc_id, r.text, *r[2:]) for r in out.collect() if r.text is not None) == [(1, "", *names), (2, "", *names)] and out.where("text is null").count() == 1
 
 
+def test_plans_of_wide_tables(spark, monkeypatch):
+    """The blocks that are looked at for hot anchors carry no column but the text: what Spark derives from their choice doubles with each."""
+    seen, plain = [], sadedup.hot_anchors
+    monkeypatch.setattr(sadedup, "hot_anchors", lambda sample, *a: seen.append(sample) or plain(sample, *a))
+    names = [f"n{k}" for k in range(9)]
+    docs = spark.createDataFrame([(1, "ab" * 300, *names), (2, "ab" * 300, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    assert sorted((r.doc_id, r.text, *r[2:]) for r in sadedup.remove_repeats(docs, length=100).collect()) == [(1, "", *names), (2, "", *names)]
+    assert seen[0]._jdf.queryExecution().optimizedPlan().children().head().output().size() <= 3
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(9)
     shared = "".join(rng.choice("abcdefghij ") for _ in range(3000))
