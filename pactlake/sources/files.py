@@ -15,7 +15,8 @@ POLICY = "policy_id string, risk_threshold int, context string, domains array<st
 
 def decode(content: Column) -> Column:
     """Bytes as text: UTF-8 without its mark, else windows-1252, else latin-1 (for the five bytes that windows-1252 lacks)."""
-    utf8 = F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^﻿", "")
+    read = F.try_validate_utf8(content.cast("string"))
+    utf8 = F.when(F.startswith(read, F.lit("﻿")), F.substring(read, F.lit(2), F.length(read))).otherwise(read)  # no pattern, which would copy the text twice
     latin = F.decode(content, "ISO-8859-1")
     western = F.translate(latin, "".join(map(chr, CP1252)), "".join(CP1252.values()))
     return F.coalesce(utf8, F.when(latin.rlike(r"[\x{81}\x{8d}\x{8f}\x{90}\x{9d}]"), latin).otherwise(western))
@@ -29,10 +30,14 @@ def unreadable(path: Column, content: Column) -> Column:
 
 
 def read_contracts(spark: SparkSession, folder: str, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
-    """Pages (contract_id, filename, page_no, text) of text files, cut at form feeds, and the files that are no text (path, reason)."""
+    """Pages (contract_id, filename, page_no, text) of text files, cut at form feeds, and the files that are no text (path, reason).
+
+    A file is a contract: its hash and its encoding are those of the whole, so a task holds each of its files as one row, some four times over.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     files = files.withColumn("reason", unreadable(F.col("path"), F.col("content")))
-    good = files.where(F.col("reason").isNull()).select(F.sha2("content", 256).alias("contract_id"), base_name(F.col("path")).alias("filename"), F.split(decode(F.col("content")), "\f").alias("_p"))
+    good = files.where(F.col("reason").isNull()).select(F.sha2("content", 256).alias("contract_id"), base_name(F.col("path")).alias("filename"), decode(F.col("content")).alias("_t"))
+    good = good.withColumn("_p", F.when(F.contains("_t", F.lit("\f")), F.split("_t", "\f")).otherwise(F.array("_t"))).drop("_t")
     pages = good.select("contract_id", "filename", F.posexplode("_p").alias("page_no", "text")).withColumn("page_no", F.col("page_no") + 1)
     return pages, files.where(F.col("reason").isNotNull()).select("path", "reason")
 
